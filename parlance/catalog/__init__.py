@@ -4,7 +4,7 @@ import importlib
 
 from parlance.catalog.registry import ORACLE, QUERIES
 
-for _name in ("segmentation",):
+for _name in ("segmentation", "transcripts", "speakers", "evals"):
     importlib.import_module(f"parlance.catalog.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.operators.scans import Scan, prefix_scan
+from parlance.operators.vectors import mean_vectors
 from parlance.sources.tables import given
 
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z
@@ -145,3 +146,51 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
             F.least(F.length("word") / F.lit(10.0), F.lit(1.0)).alias("prob"),
         )
     )
+
+
+# -- embeddings -------------------------------------------------------------------------
+
+USERS = 5
+
+CTE["clusters"] = f"""clusters AS (
+  SELECT vec_id AS cluster_id, vec_id % {USERS} AS user_id, vec_id // 10 AS session_id, label AS voice,
+         'SPEAKER_' || lpad(CAST(vec_id % 10 AS VARCHAR), 2, '0') AS label,
+         CAST(embedding AS DOUBLE[]) AS embedding
+  FROM embeddings)"""
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings as speaker clusters: ten per session, users share the sessions out."""
+    return given(spark, d, "embeddings").select(
+        F.col("vec_id").alias("cluster_id"),
+        (F.col("vec_id") % USERS).alias("user_id"),
+        F.floor(F.col("vec_id") / 10).cast("long").alias("session_id"),
+        F.col("label").alias("voice"),
+        F.concat(F.lit("SPEAKER_"), F.lpad((F.col("vec_id") % 10).cast("string"), 2, "0")).alias("label"),
+        F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+
+
+CTE["voices"] = """voices AS (
+  SELECT user_id, user_id * 100 + voice AS id, list(m ORDER BY i) AS embedding, max(n) AS mention_count,
+         CASE WHEN voice % 3 > 0 THEN 'Voice ' || voice END AS name, voice % 4 = 0 AS is_user,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(voice AS INTEGER)) AS created_at
+  FROM (SELECT user_id, voice, i, avg(embedding[i]) AS m, count(*) AS n
+        FROM clusters, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i) GROUP BY ALL)
+  GROUP BY user_id, voice)"""
+
+
+def voices(spark: SparkSession, d: str) -> DataFrame:
+    """The mean vector per user and label as known speakers."""
+    rows = clusters(spark, d)
+    means = mean_vectors(rows, ["user_id", "voice"], "embedding")
+    counts = rows.groupBy("user_id", "voice").agg(F.count("*").cast("int").alias("mention_count"))
+    return means.join(counts, ["user_id", "voice"]).select(
+        "user_id",
+        (F.col("user_id") * 100 + F.col("voice")).alias("id"),
+        "embedding",
+        "mention_count",
+        F.when(F.col("voice") % 3 > 0, F.concat(F.lit("Voice "), F.col("voice").cast("string"))).alias("name"),
+        (F.col("voice") % 4 == 0).alias("is_user"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.col("voice"))).alias("created_at"),
+    )

@@ -26,7 +26,7 @@ def connect(folder: str):
 
 
 def cell(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return "\\N"
     if isinstance(value, float):
         if math.isnan(value):
