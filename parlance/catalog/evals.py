@@ -48,7 +48,7 @@ last AS (SELECT case_id, len(r) AS ref_words, len(h) AS hyp_words, (row_[-1] >>
 scores AS (SELECT *, ref_words - substitutions - deletions AS hits FROM last)"""
 # A cell packs cost, substitutions, insertions and deletions, 15 bits each.
 for _name, _value in (("C", 1 << 45), ("S", 1 << 30), ("N", 1 << 15), ("D", 1)):
-    SQL_PAIRS = re.sub(rf"\b{_name}\b", str(_value), SQL_PAIRS)
+    SQL_PAIRS = re.sub(rf"\b{_name}\b(?!\}})", str(_value), SQL_PAIRS)
 
 WORD_COLUMNS = ("substitutions", "insertions", "deletions", "hits", "ref_words", "hyp_words")
 
@@ -176,10 +176,10 @@ def elementary_cells(spark, d):
     b.with_cte("activity", "spoken", recursive=True)
     + ","
     + SQL_DER
-    + ' SELECT session_id AS "case", ref, hyp, round(shared_s, 4) AS shared_s FROM overlap',
+    + ' SELECT session_id AS "case", ref, hyp, round(shared_s, 6) AS shared_s FROM overlap',
 )
 def co_active_time(spark, d):
-    return ev.co_active(cells(spark, d)[2]).withColumn("shared_s", F.round("shared_s", 4))
+    return ev.co_active(cells(spark, d)[2]).withColumn("shared_s", F.round("shared_s", 6))
 
 
 @query(
@@ -200,8 +200,8 @@ def label_mapping(spark, d):
 totals AS (SELECT session_id, SUM(d * nr) AS total, SUM(d * greatest(0, nr - nh)) AS miss, SUM(d * greatest(0, nh - nr)) AS fa,
                   SUM(d * least(nr, nh)) AS paired FROM counts GROUP BY ALL),
 correct AS (SELECT session_id, SUM(shared_s) AS c FROM mapping GROUP BY ALL)
-SELECT session_id AS "case", round((miss + fa + paired - COALESCE(c, 0)) / total, 5) AS der, round(miss, 4) AS miss_s,
-       round(fa, 4) AS false_alarm_s, round(paired - COALESCE(c, 0), 4) AS confusion_s, round(total, 4) AS ref_speech_s
+SELECT session_id AS "case", round((miss + fa + paired - COALESCE(c, 0)) / total, 6) AS der, round(miss, 6) AS miss_s,
+       round(fa, 6) AS false_alarm_s, round(paired - COALESCE(c, 0), 6) AS confusion_s, round(total, 6) AS ref_speech_s
 FROM totals LEFT JOIN correct USING (session_id)""",
 )
 def diarization_errors(spark, d):
@@ -210,8 +210,8 @@ def diarization_errors(spark, d):
     )
     return rows.select(
         "case",
-        F.round("der", 5).alias("der"),
-        *[F.round(c, 4).alias(c) for c in ("miss_s", "false_alarm_s", "confusion_s", "ref_speech_s")],
+        F.round("der", 6).alias("der"),
+        *[F.round(c, 6).alias(c) for c in ("miss_s", "false_alarm_s", "confusion_s", "ref_speech_s")],
     )
 
 
@@ -226,13 +226,13 @@ mine AS (SELECT 'r' AS side, session_id, s, e FROM ivs WHERE side = 'r' AND spea
 total AS (SELECT session_id, SUM(e - s) AS t FROM mine WHERE side = 'r' GROUP BY ALL),
 hit AS (SELECT r.session_id, SUM(least(r.e, h.e) - greatest(r.s, h.s)) AS t FROM mine r JOIN mine h
         ON r.session_id = h.session_id AND r.side = 'r' AND h.side = 'h' AND r.s < h.e AND h.s < r.e GROUP BY ALL)
-SELECT session_id AS "case", round(COALESCE(hit.t, 0) / total.t, 6) AS user_acc, round(total.t, 4) AS ref_user_s
+SELECT session_id AS "case", round(COALESCE(hit.t, 0) / total.t, 6) AS user_acc, round(total.t, 6) AS ref_user_s
 FROM total LEFT JOIN hit USING (session_id)""",
 )
 def wearer_attribution(spark, d):
     ref = reference(spark, d).withColumn("speaker", F.when(F.col("speaker") == "view", "USER").otherwise(F.col("speaker")))
     rows = ev.wearer_attribution(ref, hypothesis(spark, d), bucket_s=BUCKET_S, chunk_s=DAY)
-    return rows.select("case", b.r6("user_acc").alias("user_acc"), F.round("ref_user_s", 4).alias("ref_user_s"))
+    return rows.select("case", b.r6("user_acc").alias("user_acc"), F.round("ref_user_s", 6).alias("ref_user_s"))
 
 
 SQL_SUITE_WORDS = "totals AS (SELECT count(*) AS cases, count(*) FILTER (ref_words = 0) AS failed, sum(substitutions + insertions + deletions) AS errors, sum(ref_words) AS ref_words FROM scores)"

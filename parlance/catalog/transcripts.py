@@ -174,7 +174,7 @@ def labels_by_overlap(spark, d):
     "shared_speech",
     b.with_cte("activity", "spoken")
     + """
-SELECT a.session_id, round(SUM(least(a.end_s, c.end_s) - greatest(a.start_s, c.start_s)), 4) AS shared_s
+SELECT a.session_id, round(SUM(least(a.end_s, c.end_s) - greatest(a.start_s, c.start_s)), 6) AS shared_s
 FROM spoken a JOIN spoken c ON a.session_id = c.session_id AND a.start_s < c.end_s AND c.start_s < a.end_s
 WHERE a.speaker = 'view' AND c.speaker = 'click' GROUP BY a.session_id""",
 )
@@ -183,7 +183,7 @@ def shared_speech(spark, d):
     shared = intersection_seconds(
         rows.filter("speaker = 'view'"), rows.filter("speaker = 'click'"), ["session_id"], bucket_s=BUCKET_S
     )
-    return shared.select("session_id", F.round("shared_s", 4).alias("shared_s"))
+    return shared.select("session_id", F.round("shared_s", 6).alias("shared_s"))
 
 
 @query(
