@@ -18,7 +18,7 @@ MEDIA_TYPES = {
 
 
 def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def confidence(raw: Column) -> Column:
@@ -29,7 +29,7 @@ def confidence(raw: Column) -> Column:
 def score_or_null(raw: Column) -> Column:
     """Text or number to 0..1; anything unreadable or NaN is null."""
     number = raw.try_cast("double")
-    return F.when(~F.isnan(number), clamp(number, 0.0, 1.0))
+    return F.when(number.isNotNull() & ~F.isnan(number), clamp(number, 0.0, 1.0))
 
 
 def iso_timestamp(raw: Column) -> Column:
