@@ -4,7 +4,7 @@ import importlib
 
 from parlance.catalog.registry import ORACLE, QUERIES
 
-for _name in ("segmentation", "transcripts", "speakers", "evals", "archive", "daily", "changes", "triggers", "extraction", "exports"):
+for _name in ("segmentation", "transcripts", "speakers", "evals", "archive", "daily", "changes", "triggers", "extraction", "exports", "streams"):
     importlib.import_module(f"parlance.catalog.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
