@@ -81,16 +81,16 @@ def hypothesis(spark, d):
     )
 
 
-SQL_DER = f"""
-hyp AS (SELECT session_id, start_s + 600 AS start_s, end_s + 600 AS end_s,
-   CASE WHEN k % 10 = 0 THEN 'P' WHEN speaker = 'view' THEN 'USER' ELSE upper(substr(speaker, 1, 2)) END AS speaker FROM spoken),
-sides AS (SELECT 'r' AS side, session_id, speaker, start_s, end_s FROM spoken UNION ALL SELECT 'h', session_id, speaker, start_s, end_s FROM hyp),
+def sql_der(ref: str, hyp: str, collar: float) -> str:
+    """CTEs that score one labelling against another."""
+    return f"""
+sides AS (SELECT 'r' AS side, session_id, speaker, start_s, end_s FROM {ref} UNION ALL SELECT 'h', session_id, speaker, start_s, end_s FROM {hyp}),
 f1 AS (SELECT *, CASE WHEN start_s <= MAX(end_s) OVER (PARTITION BY side, session_id, speaker ORDER BY start_s, end_s
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM sides),
 f2 AS (SELECT *, SUM(o) OVER (PARTITION BY side, session_id, speaker ORDER BY start_s, end_s) AS g FROM f1),
 ivs AS (SELECT side, session_id, speaker, MIN(start_s) AS s, MAX(end_s) AS e FROM f2 GROUP BY side, session_id, speaker, g),
 edges AS (SELECT DISTINCT session_id, unnest([s, e]) AS p FROM ivs WHERE side = 'r'),
-c1 AS (SELECT session_id, p - {COLLAR} AS s, p + {COLLAR} AS e FROM edges),
+c1 AS (SELECT session_id, p - {collar} AS s, p + {collar} AS e FROM edges),
 c2 AS (SELECT *, CASE WHEN s <= MAX(e) OVER (PARTITION BY session_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
                       THEN 0 ELSE 1 END AS o FROM c1),
 c3 AS (SELECT *, SUM(o) OVER (PARTITION BY session_id ORDER BY s, e) AS g FROM c2),
@@ -105,9 +105,14 @@ counts AS (SELECT session_id, lo, d, count(*) FILTER (side = 'r') AS nr, count(*
 overlap AS (SELECT r.session_id, r.speaker AS ref, h.speaker AS hyp, SUM(r.d) AS shared_s
             FROM active r JOIN active h ON r.session_id = h.session_id AND r.lo = h.lo AND r.side = 'r' AND h.side = 'h' GROUP BY ALL)"""
 
-SQL_MAPPED = (
-    SQL_DER
-    + """,
+
+SQL_HYP = """
+hyp AS (SELECT session_id, start_s + 600 AS start_s, end_s + 600 AS end_s,
+   CASE WHEN k % 10 = 0 THEN 'P' WHEN speaker = 'view' THEN 'USER' ELSE upper(substr(speaker, 1, 2)) END AS speaker FROM spoken)"""
+SQL_DER = SQL_HYP + "," + sql_der("spoken", "hyp", COLLAR)
+
+SQL_MAPPING = """
+
 labels AS (SELECT session_id, side, list_sort(list(DISTINCT speaker)) AS l FROM ivs GROUP BY ALL),
 sized AS (SELECT r.session_id, r.l AS refs, h.l AS hyps, len(r.l) > len(h.l) AS flip
           FROM labels r JOIN labels h ON r.session_id = h.session_id AND r.side = 'r' AND h.side = 'h'),
@@ -126,18 +131,21 @@ mapping AS (SELECT m.session_id, o.ref, o.hyp, o.shared_s FROM
    (SELECT session_id, CASE WHEN flip THEN many[used[n]] ELSE few[n] END AS ref, CASE WHEN flip THEN few[n] ELSE many[used[n]] END AS hyp
     FROM (SELECT *, unnest(range(1, len(few) + 1)) AS n FROM chosen WHERE r = 1)) m
    JOIN overlap o ON o.session_id = m.session_id AND o.ref = m.ref AND o.hyp = m.hyp AND o.shared_s > 0)"""
-)
+SQL_TOTALS = """,
+totals AS (SELECT session_id, SUM(d * nr) AS total, SUM(d * greatest(0, nr - nh)) AS miss, SUM(d * greatest(0, nh - nr)) AS fa,
+                  SUM(d * least(nr, nh)) AS paired FROM counts GROUP BY ALL),
+correct AS (SELECT session_id, SUM(shared_s) AS c FROM mapping GROUP BY ALL)"""
+SQL_MAPPED = SQL_DER + "," + SQL_MAPPING
 
 
-def unions(spark, d):
-    mine = lambda df: iv.union_intervals(iv.valid(df), ["case", "speaker"], chunk_s=DAY)
-    return ev.settle(mine(reference(spark, d)), "ref"), ev.settle(mine(hypothesis(spark, d)), "hyp")
+def sides(spark, d):
+    return ev.merged_sides(reference(spark, d), hypothesis(spark, d), DAY)
 
 
 def cells(spark, d):
-    ref, hyp = unions(spark, d)
-    zones = iv.no_score_collars(ref, ["case"], COLLAR, DAY)
-    return ref, hyp, ev.settle(ev.active_cells(ref, hyp, zones, BUCKET_S), "cells")
+    both = sides(spark, d)
+    zones = iv.no_score_collars(ev.side_of(both, "r"), ["case"], COLLAR, DAY)
+    return both, ev.settle(ev.active_cells(both, zones, BUCKET_S), "cells")
 
 
 @query(
@@ -148,8 +156,7 @@ def cells(spark, d):
     + ' SELECT session_id AS "case", round(s, 6) AS start_s, round(e, 6) AS end_s FROM zones',
 )
 def no_score_collars(spark, d):
-    ref, _ = unions(spark, d)
-    zones = iv.no_score_collars(ref, ["case"], COLLAR, DAY)
+    zones = iv.no_score_collars(ev.side_of(sides(spark, d), "r"), ["case"], COLLAR, DAY)
     return zones.select("case", b.r6("start").alias("start_s"), b.r6("end").alias("end_s"))
 
 
@@ -161,12 +168,10 @@ def no_score_collars(spark, d):
     + ' SELECT session_id AS "case", round(lo, 6) AS lo, round(hi, 6) AS hi FROM cells WHERE hi - lo > 1e-9',
 )
 def elementary_cells(spark, d):
-    ref, hyp = unions(spark, d)
-    zones = ev.settle(iv.no_score_collars(ref, ["case"], COLLAR, DAY), "zones")
-    points = None
-    for side in (ref, hyp, zones):
-        rows = side.select("case", F.explode(F.array("start", "end")).alias("point"))
-        points = rows if points is None else points.unionByName(rows)
+    both = sides(spark, d)
+    zones = ev.settle(iv.no_score_collars(ev.side_of(both, "r"), ["case"], COLLAR, DAY), "zones")
+    ends = lambda df: df.select("case", F.explode(F.array("start", "end")).alias("point"))
+    points = ends(both).unionByName(ends(zones))
     found = iv.elementary_cells(points, ["case"], chunk_s=DAY)
     return found.select("case", b.r6("lo").alias("lo"), b.r6("hi").alias("hi"))
 
@@ -179,7 +184,7 @@ def elementary_cells(spark, d):
     + ' SELECT session_id AS "case", ref, hyp, round(shared_s, 6) AS shared_s FROM overlap',
 )
 def co_active_time(spark, d):
-    return ev.co_active(cells(spark, d)[2]).withColumn("shared_s", F.round("shared_s", 6))
+    return ev.co_active(cells(spark, d)[1]).withColumn("shared_s", F.round("shared_s", 6))
 
 
 @query(
@@ -187,8 +192,8 @@ def co_active_time(spark, d):
     b.with_cte("activity", "spoken", recursive=True) + "," + SQL_MAPPED + ' SELECT session_id AS "case", ref, hyp FROM mapping',
 )
 def label_mapping(spark, d):
-    ref, hyp, found = cells(spark, d)
-    return ev.label_mapping(ref, hyp, ev.co_active(found))
+    both, found = cells(spark, d)
+    return ev.label_mapping(both, ev.co_active(found))
 
 
 @query(
@@ -196,10 +201,8 @@ def label_mapping(spark, d):
     b.with_cte("activity", "spoken", recursive=True)
     + ","
     + SQL_MAPPED
-    + """,
-totals AS (SELECT session_id, SUM(d * nr) AS total, SUM(d * greatest(0, nr - nh)) AS miss, SUM(d * greatest(0, nh - nr)) AS fa,
-                  SUM(d * least(nr, nh)) AS paired FROM counts GROUP BY ALL),
-correct AS (SELECT session_id, SUM(shared_s) AS c FROM mapping GROUP BY ALL)
+    + SQL_TOTALS
+    + """
 SELECT session_id AS "case", round((miss + fa + paired - COALESCE(c, 0)) / total, 6) AS der, round(miss, 6) AS miss_s,
        round(fa, 6) AS false_alarm_s, round(paired - COALESCE(c, 0), 6) AS confusion_s, round(total, 6) AS ref_speech_s
 FROM totals LEFT JOIN correct USING (session_id)""",
@@ -266,29 +269,67 @@ def timed_segments(spark, d, shift: float):
     )
 
 
-@query("evaluation_suite")
-def evaluation_suite(spark, d):
-    """All cases at once: a conversation against its own segments, two seconds late."""
+SQL_SUITE = (
+    """
+labelled AS (SELECT session_id, pos, start_s, end_s, CASE speaker WHEN 'user' THEN 'USER' ELSE speaker END AS speaker FROM segments),
+changed AS (SELECT *, CASE WHEN speaker = LAG(speaker) OVER (PARTITION BY session_id ORDER BY pos) THEN 0 ELSE 1 END AS o FROM labelled),
+numbered AS (SELECT *, SUM(o) OVER (PARTITION BY session_id ORDER BY pos) AS g FROM changed),
+ref AS (SELECT session_id, speaker, min(start_s) AS start_s, max(end_s) AS end_s FROM numbered GROUP BY session_id, speaker, g),
+hyp AS (SELECT session_id, speaker, start_s + 2 AS start_s, end_s + 2 AS end_s FROM ref),"""
+    + sql_der("ref", "hyp", 0.25)
+    + ","
+    + SQL_MAPPING
+    + SQL_TOTALS
+    + """,
+users AS (SELECT session_id, SUM(e - s) AS t FROM ivs WHERE side = 'r' AND speaker = 'USER' GROUP BY ALL),
+hits AS (SELECT r.session_id, SUM(least(r.e, h.e) - greatest(r.s, h.s)) AS t FROM ivs r JOIN ivs h ON r.session_id = h.session_id
+   AND r.side = 'r' AND h.side = 'h' AND r.speaker = 'USER' AND h.speaker = 'USER' AND r.s < h.e AND h.s < r.e GROUP BY ALL),
+counted AS (SELECT session_id, SUM(n) AS n FROM (SELECT conv_id AS session_id, len(list_filter(string_split(regexp_replace(regexp_replace(
+   lower(nfc_normalize(text)), '\\(×\\d+\\)', ' ', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')) AS n FROM conversations) GROUP BY ALL),
+rows_ AS (SELECT c.session_id, n, 1 / n AS wer, (miss + fa + paired - COALESCE(c, 0)) / total AS der, miss + fa + paired - COALESCE(c, 0) AS wrong,
+   total, COALESCE(hits.t, 0) / users.t AS user_acc, hits.t AS hit_s, users.t AS user_s
+  FROM counted c LEFT JOIN totals USING (session_id) LEFT JOIN correct USING (session_id) LEFT JOIN users USING (session_id) LEFT JOIN hits USING (session_id))"""
+)
+
+
+def conversation_suite(spark, d):
+    """All cases at once: a conversation against itself with one more word, two seconds late."""
     ref, hyp = timed_segments(spark, d, 0.0), timed_segments(spark, d, 2.0)
     texts = ev.hypothesis_text(ref, ref.select("case").distinct().withColumn("text", F.lit("")))
     both = texts.select(
-        "case", F.lit(True).alias("verified"), F.col("hypothesis").alias("reference"),
+        "case",
+        F.lit(True).alias("verified"),
+        F.col("hypothesis").alias("reference"),
         F.concat(F.lit("oui "), F.col("hypothesis")).alias("hypothesis"),
     )
-    rows = ev.suite(both, ref, hyp)
+    return ev.suite(both, ref, hyp)
+
+
+@query(
+    "evaluation_suite",
+    b.with_cte("segments", recursive=True)
+    + ","
+    + SQL_SUITE
+    + ' SELECT session_id AS "case", true AS verified, round(wer, 6) AS wer, round(der, 6) AS der, round(user_acc, 6) AS user_acc, CAST(NULL AS VARCHAR) AS error FROM rows_',
+)
+def evaluation_suite(spark, d):
+    rows = conversation_suite(spark, d)
     return rows.select("case", "verified", *[b.r6(c).alias(c) for c in ("wer", "der", "user_acc")], "error")
 
 
-@query("evaluation_totals")
+@query(
+    "evaluation_totals",
+    b.with_cte("segments", recursive=True)
+    + ","
+    + SQL_SUITE
+    + """ SELECT count(*) AS cases, 0 AS failed, round(count(*) / sum(n), 6) AS wer, round(sum(wrong) / sum(total), 6) AS der,
+ round(sum(total), 5) AS ref_speech_s, round(sum(hit_s) / sum(user_s), 6) AS user_acc FROM rows_""",
+)
 def evaluation_totals(spark, d):
-    ref, hyp = timed_segments(spark, d, 0.0), timed_segments(spark, d, 2.0)
-    texts = ev.hypothesis_text(ref, ref.select("case").distinct().withColumn("text", F.lit("")))
-    both = texts.select(
-        "case", F.lit(True).alias("verified"), F.col("hypothesis").alias("reference"),
-        F.concat(F.lit("oui "), F.col("hypothesis")).alias("hypothesis"),
+    totals = ev.suite_totals(conversation_suite(spark, d))
+    return totals.select(
+        "cases", "failed", *[b.r6(c).alias(c) for c in ("wer", "der", "user_acc")], F.round("ref_speech_s", 5).alias("ref_speech_s")
     )
-    totals = ev.suite_totals(ev.suite(both, ref, hyp))
-    return totals.select("cases", "failed", *[b.r6(c).alias(c) for c in ("wer", "der", "ref_speech_s", "user_acc")])
 
 
 @query(
@@ -369,3 +410,62 @@ def unknown_cases(spark, d):
     wanted = given(spark, d, "labels").select(F.col("doc_id").alias("case"))
     known = given(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("case"))
     return ev.unknown_cases(wanted, known)
+
+
+@query(
+    "cases_with_metrics",
+    'SELECT doc_id AS "case", COALESCE(quality = 1, false) AS verified, round(CASE WHEN quality IS NOT NULL THEN doc_id / 7e0 END, 6) AS wer FROM documents LEFT JOIN labels USING (doc_id)',
+)
+def cases_with_metrics(spark, d):
+    from parlance.sources.evalfiles import with_latest
+
+    listed = cases(spark, d).select("case", F.coalesce("verified", F.lit(False)).alias("verified"))
+    metrics = given(spark, d, "labels").select(F.col("doc_id").alias("case"), (F.col("doc_id") / F.lit(7.0)).alias("wer"))
+    return with_latest(listed, metrics).select("case", "verified", b.r6("wer").alias("wer"))
+
+
+@query(
+    "vocabulary_prompt",
+    b.with_cte("activity")
+    + """,
+heard AS (SELECT event_type || ' ' || (k % 50) AS name, count(*) AS n FROM activity GROUP BY ALL),
+top AS (SELECT name, n FROM heard ORDER BY n DESC, name LIMIT 15)
+SELECT 'Hello. ' || string_agg(name, ', ' ORDER BY n DESC, name) || '.' AS prompt FROM top""",
+)
+def vocabulary_prompt(spark, d):
+    heard = b.activity(spark, d).select(
+        F.concat("event_type", F.lit(" "), (F.col("k") % 50).cast("string")).alias("name"),
+        F.col("ts").alias("mentioned_at"),
+    )
+    nobody = heard.limit(0).select("name", F.col("mentioned_at").alias("created_at"))
+    return ev.vocabulary_prompt("Hello. ", ev.known_names(nobody, heard))
+
+
+@query(
+    "spoken_languages",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fr' WHEN doc_id % 3 = 1 THEN lang ELSE 'auto' END AS language FROM documents",
+)
+def spoken_languages(spark, d):
+    configured = F.when(F.col("doc_id") % 3 == 0, "fr").otherwise("auto")
+    hint = F.when(F.col("doc_id") % 3 == 1, F.col("lang")).otherwise("")
+    return given(spark, d, "documents").select("doc_id", ev.spoken_language(configured, hint).alias("language"))
+
+
+@query(
+    "case_drafts",
+    b.with_cte("segments")
+    + """
+SELECT '2024-01-0' || (1 + session_id % 9) || '-' || session_id AS "case", pos, round_even(start_s, 2) AS start_s, trim(text) AS text, speaker FROM segments""",
+)
+def case_drafts(spark, d):
+    rows = b.segments(spark, d)
+    sessions = rows.select("session_id").distinct().select(
+        "session_id",
+        (b.at("2024-01-01 00:00:00") + F.make_dt_interval((F.col("session_id") % 9).cast("int"))).alias("started_at"),
+        F.lit("/audio/x.ogg").alias("audio_path"),
+        F.lit("").alias("text"),
+    )
+    drafts, refused = ev.case_drafts(sessions, rows)
+    return drafts.unionByName(refused.limit(0), allowMissingColumns=True).select(
+        "case", "pos", F.col("start").alias("start_s"), "text", "speaker"
+    )

@@ -125,3 +125,26 @@ def frame_silences(spark, d):
 def silence_cut_conversations(spark, d):
     rows = cuts(spark, d)
     return rows.select("session_id", "idx", b.r6("start").alias("start_s"), b.r6("end").alias("end_s"))
+
+
+SWEEP = [
+    {"threshold": 0.5, "min_speech_s": 1.0, "min_silence_s": 2.0, "gap_s": 6.0, "pad_s": 0.25},
+    {"threshold": 0.5, "min_speech_s": 1.0, "min_silence_s": 2.0, "gap_s": 1e9, "pad_s": 0.25},
+]
+
+
+@query(
+    "parameter_sweep",
+    b.with_cte("frames")
+    + ","
+    + SQL_CUTS
+    + """,
+kept_ AS (SELECT session_id, count(*) AS n, sum(end_s - start_s) AS s FROM convs GROUP BY ALL)
+SELECT CAST(0 AS INTEGER) AS setting, d.session_id, COALESCE(n, 0) AS n_conversations, round(COALESCE(s, 0), 6) AS speech_s,
+       round(COALESCE(s, 0) / duration_s * 100, 5) AS speech_pct FROM durations d LEFT JOIN kept_ USING (session_id)
+UNION ALL SELECT 1, session_id, 1, round(duration_s, 6), 100 FROM durations""",
+)
+def parameter_sweep(spark, d):
+    frames = b.frames(spark, d)
+    rows = seg.parameter_sweep(frames, durations(frames), SWEEP, FRAME_S)
+    return rows.withColumns({"speech_s": b.r6("speech_s"), "speech_pct": F.round("speech_pct", 5)})

@@ -115,15 +115,47 @@ def centroids_after_linking(spark, d):
     return flat(rows, "user_id", "speaker_id")
 
 
-@query("linked_in_order")
+SQL_ORDERED = """
+items AS (SELECT user_id, cluster_id, label, embedding, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY cluster_id) AS r FROM clusters),
+fold AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS r, []::STRUCT(id BIGINT, n BIGINT, c DOUBLE[])[] AS known, NULL::BIGINT AS cluster_id, NULL::BIGINT AS speaker_id,
+         NULL::BOOLEAN AS is_new, NULL::BIGINT AS mention_count FROM items
+  UNION ALL
+  SELECT user_id, r, CASE WHEN hit_at IS NULL THEN list_append(known, {'id': cluster_id, 'n': 1::BIGINT, 'c': embedding})
+      ELSE list_transform(known, lambda x, i: CASE WHEN i = hit_at THEN {'id': x.id, 'n': x.n + 1,
+          'c': list_transform(x.c, lambda v, j: CAST(CAST((v * x.n + embedding[j]) / (x.n + 1) AS FLOAT) AS DOUBLE))} ELSE x END) END,
+    cluster_id, CASE WHEN hit_at IS NULL THEN cluster_id ELSE known[hit_at].id END, hit_at IS NULL, CASE WHEN hit_at IS NULL THEN 1 ELSE known[hit_at].n + 1 END
+  FROM (SELECT *, CASE WHEN list_max(scores) > 0.2 THEN list_position(scores, list_max(scores)) END AS hit_at
+        FROM (SELECT i.user_id, i.r, f.known, i.cluster_id, i.embedding,
+                     list_transform(f.known, lambda x: list_cosine_similarity(x.c, i.embedding)) AS scores
+              FROM fold f JOIN items i ON i.user_id = f.user_id AND i.r = f.r + 1)))"""
+
+
+@query(
+    "linked_in_order",
+    b.with_cte("clusters", recursive=True)
+    + ","
+    + SQL_ORDERED
+    + " SELECT user_id, cluster_id, speaker_id, is_new, CAST(mention_count AS INTEGER) AS mention_count FROM fold WHERE r > 0",
+)
 def linked_in_order(spark, d):
-    rows = sp.link_ordered(b.clusters(spark, d).withColumn("ord", F.col("cluster_id")), threshold=0.3)
-    return rows.select("user_id", "cluster_id", "speaker_id", "is_new", "mention_count", "is_user")
+    rows = sp.link_ordered(b.clusters(spark, d).withColumn("ord", F.col("cluster_id")), threshold=0.2)
+    return rows.select("user_id", "cluster_id", "speaker_id", "is_new", "mention_count")
 
 
-@query("registry_after_ordered_linking")
+@query(
+    "registry_after_ordered_linking",
+    b.with_cte("clusters", recursive=True)
+    + ","
+    + SQL_ORDERED
+    + """,
+ends AS (SELECT user_id, arg_max(known, r) AS known FROM fold GROUP BY user_id),
+voices_ AS (SELECT user_id, unnest(known) AS v FROM ends)
+SELECT user_id, v.id AS speaker_id, CAST(v.n AS INTEGER) AS mention_count, i - 1 AS dim, round(v.c[i], 6) AS x
+FROM voices_, LATERAL (SELECT unnest(generate_series(1, len(v.c))) AS i)""",
+)
 def registry_after_ordered_linking(spark, d):
-    rows = sp.link_ordered(b.clusters(spark, d).withColumn("ord", F.col("cluster_id")), threshold=0.3)
+    rows = sp.link_ordered(b.clusters(spark, d).withColumn("ord", F.col("cluster_id")), threshold=0.2)
     return flat(sp.registry_after(rows), "user_id", "speaker_id", "mention_count")
 
 
@@ -315,3 +347,67 @@ def embedding_codec(spark, d):
     return back.select(
         "vec_id", F.octet_length("blob").cast("long").alias("n_bytes"), (F.col("back") == F.col("embedding")).alias("same")
     )
+
+
+@query(
+    "missing_merge_ids",
+    b.with_cte("clusters", "voices") + " SELECT DISTINCT user_id, cluster_id AS id FROM clusters WHERE cluster_id NOT IN (SELECT id FROM voices)",
+)
+def missing_merge_ids(spark, d):
+    wanted = b.clusters(spark, d).select("user_id", F.col("cluster_id").alias("id"))
+    return sp.missing_selection(b.voices(spark, d).select(F.col("id").alias("v")).join(wanted, F.col("v") == F.col("id")).select("user_id", "id"), wanted)
+
+
+@query(
+    "registry_after_merge",
+    b.with_cte("clusters", "voices")
+    + """,
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY name IS NOT NULL DESC, mention_count DESC, created_at, id) AS r FROM voices)
+SELECT arg_min(id, r) AS id, arg_min(name, r) FILTER (name IS NOT NULL) AS name, CAST(sum(mention_count) AS INTEGER) AS mention_count, bool_or(is_user) AS is_user
+FROM ranked GROUP BY user_id""",
+)
+def registry_after_merge(spark, d):
+    known = b.voices(spark, d)
+    primaries, mapping = sp.merged_speakers(known, known.select(F.col("user_id").alias("merge_id"), "id"))
+    return sp.after_merge(known, primaries, mapping).select("id", "name", "mention_count", "is_user")
+
+
+@query(
+    "updated_previews",
+    b.with_cte("activity", "spoken", "clusters", "voices")
+    + ","
+    + SQL_LINKED
+    + """,
+clips AS (SELECT speaker_id, session_id, start_s, least(end_s, start_s + 15) - start_s AS len, pos FROM linked),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY speaker_id ORDER BY len DESC, pos) AS r FROM clips)
+SELECT v.id, CASE WHEN b.len > 9 THEN CAST(b.session_id AS VARCHAR) END AS preview_session FROM voices v LEFT JOIN best b ON b.speaker_id = v.id AND b.r = 1""",
+)
+def updated_previews(spark, d):
+    stored = b.voices(spark, d).select(
+        "id", F.lit(None).cast("long").alias("preview_audio_session_id"), F.lit(1.0).alias("preview_start_s"), F.lit(10.0).alias("preview_end_s")
+    )
+    clips = linked_segments(spark, d).withColumnRenamed("pos", "ord")
+    rows = sp.updated_previews(stored, clips)
+    return rows.select("id", F.col("preview_audio_session_id").cast("string").alias("preview_session"))
+
+
+@query(
+    "segments_with_speaker_ids",
+    b.with_cte("activity", "spoken", "clusters", "voices")
+    + ","
+    + SQL_NEAREST
+    + """,
+links AS (SELECT c.session_id, c.label, COALESCE(speaker_id, c.cluster_id) AS speaker_id FROM clusters c LEFT JOIN best ON best.cluster_id = c.cluster_id AND r = 1)
+SELECT s.session_id, s.pos, CAST(l.speaker_id AS VARCHAR) AS speaker_id FROM
+ (SELECT session_id, pos, 'SPEAKER_' || lpad(CAST(k % 12 AS VARCHAR), 2, '0') AS speaker FROM spoken) s
+LEFT JOIN links l ON l.session_id = s.session_id AND l.label = s.speaker""",
+)
+def segments_with_speaker_ids(spark, d):
+    clusters = b.clusters(spark, d)
+    links = sp.link_frozen(clusters, b.voices(spark, d)).join(
+        clusters.select("cluster_id", "session_id", "label"), "cluster_id"
+    )
+    rows = b.spoken(spark, d).select(
+        "session_id", "pos", F.concat(F.lit("SPEAKER_"), F.lpad((F.col("k") % 12).cast("string"), 2, "0")).alias("speaker")
+    )
+    return sp.with_speaker_ids(rows, links).select("session_id", "pos", "speaker_id")

@@ -266,3 +266,48 @@ def scoring_tokens(spark, d):
     return rows.select(
         "conv_id", "turn", F.size("words").cast("long").alias("n_words"), F.concat_ws(" ", "words").alias("words")
     )
+
+
+@query(
+    "transferred_labels",
+    b.with_cte("activity", "spoken")
+    + ","
+    + SQL_TURNS
+    + """,
+fresh AS (SELECT session_id, pos, start_s + 900 AS start_s, end_s + 900 AS end_s FROM spoken),
+pairs AS (SELECT f.session_id, f.pos, t.speaker, ROW_NUMBER() OVER (PARTITION BY f.session_id, f.pos
+    ORDER BY least(f.end_s, t.end_s) - greatest(f.start_s, t.start_s) DESC, t.start_s, t.end_s) AS r
+  FROM fresh f JOIN turns t ON f.session_id = t.session_id AND f.start_s < t.end_s AND t.start_s < f.end_s)
+SELECT f.session_id, f.pos, p.speaker FROM fresh f LEFT JOIN pairs p ON p.session_id = f.session_id AND p.pos = f.pos AND p.r = 1""",
+)
+def transferred_labels(spark, d):
+    """Labels carried from stored turns to segments transcribed anew, a quarter of an hour off."""
+    stored = iv.turns(b.spoken(spark, d), gap_tolerance_s=3600.0, chunk_s=DAY)
+    fresh = b.spoken(spark, d).select(
+        "session_id", "pos", (F.col("start") + 900).alias("start"), (F.col("end") + 900).alias("end"),
+        F.lit(None).cast("string").alias("speaker"),
+    )
+    return label_by_overlap(fresh, stored, bucket_s=BUCKET_S).select("session_id", "pos", "speaker")
+
+
+@query(
+    "saved_rows",
+    b.with_cte("lines") + " SELECT session_id, pos FROM lines WHERE trim(text) <> '' OR pos % 2 = 0",
+)
+def saved_rows(spark, d):
+    speaker = F.when(F.col("pos") % 2 == 0, F.col("speaker")).otherwise(F.lit(" "))
+    return tr.drop_blank_rows(b.lines(spark, d).withColumn("speaker", speaker)).select("session_id", "pos")
+
+
+@query(
+    "framed_activity",
+    b.with_cte("activity")
+    + " SELECT user_id, CAST(floor(t / 0.032e0) AS BIGINT) AS frame_idx, count(*) AS n, round(max(least(value / 5e1, 1)), 6) AS prob FROM activity GROUP BY ALL",
+)
+def framed_activity(spark, d):
+    from parlance.plans.segmentation import frame_index
+
+    rows = b.activity(spark, d).groupBy("user_id", frame_index(F.col("t")).alias("frame_idx"))
+    return rows.agg(
+        F.count("*").alias("n"), b.r6(F.max(F.least(F.col("value") / F.lit(50.0), F.lit(1.0)))).alias("prob")
+    )

@@ -68,7 +68,7 @@ def prefix_scan(
     source = df.withColumn(_CHUNK, chunk)
     for name, scan in scans.items():
         source = source.withColumn(f"__v_{name}", scan.value)
-    order_key = F.struct(*order)
+    order_key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     within = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(_UNBOUNDED, -1)
 

@@ -10,7 +10,7 @@ from parlance.functions.text import string_or_null, strip, tokens
 from parlance.operators.alignment import best_mapping, edit_counts_udf
 from parlance.operators.intervals import cut_at_buckets, no_score_collars, turns, union_intervals, valid
 from parlance.operators.overlap import intersection_seconds
-from parlance.plans.transcripts import WEARER
+from parlance.plans.transcripts import WEARER, editing_rows
 from parlance.session import settle
 
 COLLAR_S = 0.25
@@ -54,20 +54,27 @@ def hypothesis_text(segments: DataFrame, transcripts: DataFrame) -> DataFrame:
     return transcripts.join(joined, "case", "left").select("case", F.coalesce("joined", "text").alias("hypothesis"))
 
 
-def _pieces(ref: DataFrame, hyp: DataFrame, zones: DataFrame | None, bucket_s: float) -> DataFrame:
-    tag = lambda df, side: df.withColumn("side", F.lit(side))
-    rows = tag(ref, "r").unionByName(tag(hyp, "h"))
-    if zones is not None:
-        rows = rows.unionByName(tag(zones.withColumn("speaker", F.lit(None).cast("string")), "x"))
-    return cut_at_buckets(rows, bucket_s)
+def merged_sides(ref_turns: DataFrame, hyp_turns: DataFrame, chunk_s: float = 3600.0) -> DataFrame:
+    """Both labellings as one table of merged intervals: ``side`` (``r``, ``h``), case, speaker, times."""
+    tag = lambda df, side: valid(df).select(F.lit(side).alias("side"), "case", "speaker", "start", "end")
+    both = tag(ref_turns, "r").unionByName(tag(hyp_turns, "h"))
+    return settle(union_intervals(both, ["side", "case", "speaker"], chunk_s=chunk_s), "sides")
+
+
+def side_of(sides: DataFrame, side: str) -> DataFrame:
+    return sides.filter(F.col("side") == side).drop("side")
 
 
-def active_cells(ref: DataFrame, hyp: DataFrame, zones: DataFrame | None, bucket_s: float) -> DataFrame:
+def active_cells(sides: DataFrame, zones: DataFrame | None, bucket_s: float) -> DataFrame:
     """Elementary intervals with their active speakers: ``case, d, refs, hyps``.
 
     Everything is cut at bucket borders, so a long case is many independent buckets.
     """
-    pieces = settle(_pieces(ref, hyp, zones, bucket_s), "pieces")
+    rows = sides
+    if zones is not None:
+        excluded = zones.select(F.lit("x").alias("side"), "case", F.lit("").alias("speaker"), "start", "end")
+        rows = sides.unionByName(excluded)
+    pieces = settle(cut_at_buckets(rows, bucket_s), "pieces")
     points = pieces.select("case", "bucket", F.explode(F.array("start", "end")).alias("lo")).distinct()
     inside = Window.partitionBy("case", "bucket").orderBy("lo")
     cells = (
@@ -93,15 +100,15 @@ def co_active(cells: DataFrame) -> DataFrame:
     return pairs.groupBy("case", "ref", "hyp").agg(F.sum("d").alias("shared_s"))
 
 
-def label_mapping(ref: DataFrame, hyp: DataFrame, overlap: DataFrame) -> DataFrame:
+def label_mapping(sides: DataFrame, overlap: DataFrame) -> DataFrame:
     """Best one-to-one mapping per case, over its matrix of summed overlaps.
 
     A group holds one row per label and per pair of labels that ever speak together.
     """
-    rows = (
-        overlap.select("case", "ref", "hyp", "shared_s")
-        .unionByName(ref.select("case", F.col("speaker").alias("ref")).distinct(), allowMissingColumns=True)
-        .unionByName(hyp.select("case", F.col("speaker").alias("hyp")).distinct(), allowMissingColumns=True)
+    labels = sides.select("case", "side", "speaker").distinct()
+    name = lambda side: F.when(F.col("side") == side, F.col("speaker"))
+    rows = overlap.select("case", "ref", "hyp", "shared_s").unionByName(
+        labels.select("case", name("r").alias("ref"), name("h").alias("hyp"), F.lit(None).cast("double").alias("shared_s"))
     )
     schema = overlap.select("case", "ref", "hyp").schema
 
@@ -128,11 +135,16 @@ def diarization_errors(
 
     ``cases`` lists the cases that must appear; those that cannot be scored get an ``error``.
     """
-    ref = settle(union_intervals(valid(ref_turns), ["case", "speaker"], chunk_s=chunk_s), "ref")
-    hyp = settle(union_intervals(valid(hyp_turns), ["case", "speaker"], chunk_s=chunk_s), "hyp")
-    hyp = hyp.join(ref.select("case").distinct(), "case", "left_semi")
-    zones = no_score_collars(ref, ["case"], collar, chunk_s) if collar > 0 else None
-    cells = settle(active_cells(ref, hyp, zones, bucket_s), "cells")
+    wanted = (cases if cases is not None else ref_turns).select("case").distinct()
+    return errors_of_sides(merged_sides(ref_turns, hyp_turns, chunk_s), wanted, collar, bucket_s, chunk_s)
+
+
+def errors_of_sides(
+    sides: DataFrame, cases: DataFrame, collar: float, bucket_s: float, chunk_s: float
+) -> DataFrame:
+    """DER per case from merged intervals."""
+    zones = no_score_collars(side_of(sides, "r"), ["case"], collar, chunk_s) if collar > 0 else None
+    cells = settle(active_cells(sides, zones, bucket_s), "cells")
     n_ref, n_hyp = F.size("refs"), F.size("hyps")
     totals = cells.groupBy("case").agg(
         F.sum(F.col("d") * n_ref).alias("ref_speech_s"),
@@ -143,19 +155,15 @@ def diarization_errors(
     overlap = settle(co_active(cells), "overlap")
     # Time in which a mapped pair is active together is exactly its summed overlap.
     correct = (
-        overlap.join(label_mapping(ref, hyp, overlap), ["case", "ref", "hyp"])
+        overlap.join(label_mapping(sides, overlap), ["case", "ref", "hyp"])
         .groupBy("case")
         .agg(F.sum("shared_s").alias("correct_s"))
     )
-    speakers = lambda df, name: df.groupBy("case").agg(F.countDistinct("speaker").alias(name))
-    wanted = (cases if cases is not None else ref_turns).select("case").distinct()
-    rows = (
-        wanted.join(speakers(ref, "ref_speakers"), "case", "left")
-        .join(speakers(hyp, "hyp_speakers"), "case", "left")
-        .join(totals, "case", "left")
-        .join(correct, "case", "left")
-    )
-    scored = F.coalesce(F.col("ref_speech_s") > 0, F.lit(False))
+    named = lambda side: F.countDistinct(F.when(F.col("side") == side, F.col("speaker")))
+    speakers = sides.groupBy("case").agg(named("r").alias("ref_speakers"), named("h").alias("hyp_speakers"))
+    rows = cases.join(speakers, "case", "left").join(totals, "case", "left").join(correct, "case", "left")
+    has_ref = F.coalesce(F.col("ref_speakers") > 0, F.lit(False))
+    scored = has_ref & F.coalesce(F.col("ref_speech_s") > 0, F.lit(False))
     confusion = F.col("paired_s") - F.coalesce("correct_s", F.lit(0.0))
     keep = lambda c: F.when(scored, c)
     return rows.select(
@@ -166,8 +174,8 @@ def diarization_errors(
         keep(confusion).alias("confusion_s"),
         keep(F.col("ref_speech_s")).alias("ref_speech_s"),
         keep(F.col("ref_speakers")).alias("ref_speakers"),
-        keep(F.coalesce("hyp_speakers", F.lit(0))).alias("hyp_speakers"),
-        F.when(F.col("ref_speakers").isNull(), F.lit(NO_SPEECH)).when(~scored, F.lit(NOTHING_SCORED)).alias("error"),
+        keep(F.col("hyp_speakers")).alias("hyp_speakers"),
+        F.when(~has_ref, F.lit(NO_SPEECH)).when(~scored, F.lit(NOTHING_SCORED)).alias("error"),
     )
 
 
@@ -175,11 +183,15 @@ def wearer_attribution(
     ref_turns: DataFrame, hyp_turns: DataFrame, label: str = WEARER, bucket_s: float = 300.0, chunk_s: float = 3600.0
 ) -> DataFrame:
     """Share of the wearer's reference speech that the hypothesis also gives to the wearer."""
-    mine = lambda df: union_intervals(
-        valid(df).filter(F.col("speaker") == label), ["case"], chunk_s=chunk_s
-    )
-    ref = settle(mine(ref_turns), "ref")
-    hit = intersection_seconds(ref, mine(hyp_turns), ["case"], bucket_s)
+    mine = lambda df: df.filter(F.col("speaker") == label)
+    return attribution_of_sides(merged_sides(mine(ref_turns), mine(hyp_turns), chunk_s), label, bucket_s)
+
+
+def attribution_of_sides(sides: DataFrame, label: str, bucket_s: float) -> DataFrame:
+    """Wearer attribution per case from merged intervals."""
+    mine = sides.filter(F.col("speaker") == label)
+    ref, hyp = side_of(mine, "r"), side_of(mine, "h")
+    hit = intersection_seconds(ref, hyp, ["case"], bucket_s)
     total = ref.groupBy("case").agg(F.sum(F.col("end") - F.col("start")).alias("ref_user_s"))
     return total.join(hit, "case", "left").select(
         "case", (F.coalesce("shared_s", F.lit(0.0)) / F.col("ref_user_s")).alias("user_acc"), "ref_user_s"
@@ -194,11 +206,14 @@ def suite(
 
     ``pairs``: ``case, verified, reference, hypothesis``; segments: ``case, start, end, speaker``.
     """
-    ref = settle(turns(ref_segments, ["case"], gap_tolerance_s, chunk_s), "ref_turns")
-    hyp = settle(turns(hyp_segments, ["case"], gap_tolerance_s, chunk_s), "hyp_turns")
+    tag = lambda df, side: df.select(F.lit(side).alias("side"), "case", "start", "end", "speaker")
+    both = tag(ref_segments, "r").unionByName(tag(hyp_segments, "h"))
+    folded = settle(turns(both, ["side", "case"], gap_tolerance_s, chunk_s), "turns")
+    sides = merged_sides(side_of(folded, "r"), side_of(folded, "h"), chunk_s)
+    labelled = side_of(folded, "r").select("case").distinct()
     words = word_errors(pairs).withColumnRenamed("error", "wer_error")
-    der = diarization_errors(ref, hyp, collar=collar, bucket_s=bucket_s, chunk_s=chunk_s).withColumnRenamed("error", "der_error")
-    user = wearer_attribution(ref, hyp, bucket_s=bucket_s, chunk_s=chunk_s)
+    der = errors_of_sides(sides, labelled, collar, bucket_s, chunk_s).withColumnRenamed("error", "der_error")
+    user = attribution_of_sides(sides, WEARER, bucket_s)
     return (
         words.join(der, "case", "left")
         .join(user, "case", "left")
@@ -295,3 +310,27 @@ def spoken_language(configured: Column, detected: Column) -> Column:
     return F.when(configured != "auto", configured).otherwise(
         F.coalesce(F.nullif(detected, F.lit("")), F.lit("auto"))
     )
+
+
+def case_drafts(sessions: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Editing rows of new cases, and the sessions that cannot become one with the reason.
+
+    ``sessions``: ``session_id, started_at, audio_path, text`` (the latest transcript's).
+    """
+    named = sessions.withColumn(
+        "case", default_case_name(F.col("started_at"), F.col("session_id").cast("string"))
+    )
+    reason = (
+        F.when(F.col("audio_path").isNull(), "audio is gone")
+        .when(F.col("text").isNull(), "no transcript yet")
+        .when(~valid_case_name(F.col("case")), "bad case name")
+    )
+    usable = named.filter(reason.isNull())
+    rows = editing_rows(segments, usable.select("session_id", "text")).join(
+        usable.select("session_id", "case"), "session_id"
+    )
+    empty = usable.join(rows.select("session_id").distinct(), "session_id", "left_anti").withColumn(
+        "reason", F.lit("transcript is empty")
+    )
+    refused = named.withColumn("reason", reason).filter(F.col("reason").isNotNull()).unionByName(empty)
+    return rows, refused.select("session_id", "case", "reason")

@@ -263,3 +263,37 @@ def activity_conversations(
     return rows.groupBy("user_id", "idx").agg(
         F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("n_events")
     )
+
+
+def parameter_sweep(
+    frames: DataFrame, durations: DataFrame, settings: list[dict[str, float]], frame_s: float = FRAME_SECONDS
+) -> DataFrame:
+    """Speech kept under several settings: ``setting, session_id, n_conversations, speech_s, speech_pct``.
+
+    Each setting holds ``threshold, min_speech_s, min_silence_s, gap_s, pad_s``; thresholds and
+    speech lengths are held within the ranges that the settings allow.  Settings that share a
+    threshold share its hysteresis pass.
+    """
+    found, regions = None, {}
+    for n, setting in enumerate(settings):
+        threshold = min(max(setting["threshold"], 0.05), 0.95)
+        min_speech_s = min(max(setting["min_speech_s"], 0.0), 5.0)
+        if threshold not in regions:
+            regions[threshold] = settle(speech_regions(frames, frame_s, threshold), "regions")
+        speech = settle(bridged_speech(regions[threshold], durations, min_speech_s, setting["min_silence_s"]), "bridged")
+        silences = silences_between(speech, durations, setting["min_silence_s"])
+        kept = conversations_from_silences(durations, silences, setting["gap_s"], setting["pad_s"])
+        total = kept.groupBy("session_id").agg(
+            F.count("*").alias("n_conversations"), F.sum(F.col("end") - F.col("start")).alias("speech_s")
+        )
+        rows = durations.join(total, "session_id", "left").select(
+            F.lit(n).alias("setting"),
+            "session_id",
+            F.coalesce("n_conversations", F.lit(0)).alias("n_conversations"),
+            F.coalesce("speech_s", F.lit(0.0)).alias("speech_s"),
+            F.when(F.col("duration_s") > 0, F.coalesce("speech_s", F.lit(0.0)) / F.col("duration_s") * 100)
+            .otherwise(F.lit(0.0))
+            .alias("speech_pct"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
