@@ -16,7 +16,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.session import settle
+from parlance.session import parallelism, settle
 
 BLOCK = 2048
 
@@ -105,7 +105,8 @@ def nearest(
             return pd.DataFrame({n: pd.Series(dtype="object") for n in schema.fieldNames()})
         return pd.concat(found)
 
-    scored = left.unionByName(right).groupBy(group, "bq", "bc").applyInPandas(best, schema)
+    blocks = left.unionByName(right).repartition(parallelism(q), group, "bq", "bc")
+    scored = blocks.groupBy(group, "bq", "bc").applyInPandas(best, schema)
     ranked = scored.groupBy(group, query_id).agg(F.max("similarity").alias("similarity"), F.min_by(
         candidate_id, F.struct(-F.col("similarity"), F.col(candidate_id))
     ).alias(candidate_id))
@@ -119,7 +120,7 @@ def _block_pairs(df: DataFrame, group: str, node: str, vector: str, block: int)
     placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return placed.select(
         group, F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", node, vector
-    )
+    ).repartition(parallelism(df), group, "b1", "b2")
 
 
 def similar_pairs(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from parlance.operators.alignment import best_mapping, edit_counts_udf
 from parlance.operators.intervals import cut_at_buckets, no_score_collars, turns, union_intervals, valid
 from parlance.operators.overlap import intersection_seconds
 from parlance.plans.transcripts import WEARER, editing_rows
-from parlance.session import settle
+from parlance.session import parallelism, settle
 
 COLLAR_S = 0.25
 CASE_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,80}$"  # fixed value: allowed case names
@@ -24,8 +24,7 @@ def word_errors(pairs: DataFrame) -> DataFrame:
     """WER counts per row of ``case, reference, hypothesis``; ``error`` marks an empty reference."""
     words = pairs.withColumns({"r": tokens(F.col("reference")), "h": tokens(F.col("hypothesis"))})
     # The alignment is the cost; spread the pairs over all tasks whatever their bytes.
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = words.repartition(tasks, F.xxhash64("case", "reference")).withColumn("c", edit_counts_udf()("r", "h"))
+    counted = words.repartition(parallelism(pairs), F.xxhash64("case", "reference")).withColumn("c", edit_counts_udf()("r", "h"))
     n_ref, n_hyp = F.size("r").cast("long"), F.size("h").cast("long")
     wrong = (n_ref == 0) & (n_hyp > 0)
     errors = F.col("c.substitutions") + F.col("c.insertions") + F.col("c.deletions")
@@ -66,7 +65,7 @@ def side_of(sides: DataFrame, side: str) -> DataFrame:
 
 
 def active_cells(sides: DataFrame, zones: DataFrame | None, bucket_s: float) -> DataFrame:
-    """Elementary intervals with their active speakers: ``case, d, refs, hyps``.
+    """Speakers active in each scored elementary interval: ``case, bucket, lo, d, side, speaker``.
 
     Everything is cut at bucket borders, so a long case is many independent buckets.
     """
@@ -77,27 +76,39 @@ def active_cells(sides: DataFrame, zones: DataFrame | None, bucket_s: float) ->
     pieces = settle(cut_at_buckets(rows, bucket_s), "pieces")
     points = pieces.select("case", "bucket", F.explode(F.array("start", "end")).alias("lo")).distinct()
     inside = Window.partitionBy("case", "bucket").orderBy("lo")
-    cells = (
-        points.withColumn("hi", F.lead("lo").over(inside))
-        .filter(F.col("hi") - F.col("lo") > 1e-9)
-        .withColumn("mid", (F.col("lo") + F.col("hi")) / 2)
+    cells = points.withColumn("hi", F.lead("lo").over(inside)).filter(F.col("hi") - F.col("lo") > 1e-9)
+    key = ["case", "bucket"]
+    mid = (F.col("lo") + F.col("hi")) / 2
+    within = (F.col("start") <= mid) & (mid < F.col("end"))
+    zone = pieces.filter("side = 'x'").select(*[F.col(k).alias(f"z_{k}") for k in key], "start", "end")
+    scored = cells.join(
+        zone, (F.col("case") == F.col("z_case")) & (F.col("bucket") == F.col("z_bucket")) & within, "left_anti"
     )
-    hits = cells.join(pieces, ["case", "bucket"]).filter((F.col("start") <= F.col("mid")) & (F.col("mid") < F.col("end")))
-    speaker = lambda side: F.array_sort(F.collect_set(F.when(F.col("side") == side, F.col("speaker"))))
-    return (
-        hits.groupBy("case", "bucket", "lo", "hi")
-        .agg(speaker("r").alias("refs"), speaker("h").alias("hyps"), F.bool_or(F.col("side") == "x").alias("excluded"))
-        .filter(~F.col("excluded"))
-        .select("case", (F.col("hi") - F.col("lo")).alias("d"), "refs", "hyps")
+    hits = scored.join(pieces.filter("side <> 'x'"), key).filter(within)
+    return hits.select("case", "bucket", "lo", (F.col("hi") - F.col("lo")).alias("d"), "side", "speaker")
+
+
+def speech_totals(cells: DataFrame) -> DataFrame:
+    """Scored seconds per case: reference speech, missed, false and paired time."""
+    n = lambda side: F.count_if(F.col("side") == side)
+    counts = cells.groupBy("case", "bucket", "lo").agg(
+        F.max("d").alias("d"), n("r").alias("n_ref"), n("h").alias("n_hyp")
+    )
+    n_ref, n_hyp, zero = F.col("n_ref"), F.col("n_hyp"), F.lit(0)
+    return counts.groupBy("case").agg(
+        F.sum(F.col("d") * n_ref).alias("ref_speech_s"),
+        F.sum(F.col("d") * F.greatest(zero, n_ref - n_hyp)).alias("miss_s"),
+        F.sum(F.col("d") * F.greatest(zero, n_hyp - n_ref)).alias("false_alarm_s"),
+        F.sum(F.col("d") * F.least(n_ref, n_hyp)).alias("paired_s"),
     )
 
 
 def co_active(cells: DataFrame) -> DataFrame:
     """Seconds in which a reference and a hypothesis speaker are both active."""
-    pairs = cells.select("case", "d", F.explode("refs").alias("ref"), "hyps").select(
-        "case", "d", "ref", F.explode("hyps").alias("hyp")
-    )
-    return pairs.groupBy("case", "ref", "hyp").agg(F.sum("d").alias("shared_s"))
+    key = ["case", "bucket", "lo"]
+    ref = cells.filter("side = 'r'").select(*key, "d", F.col("speaker").alias("ref"))
+    hyp = cells.filter("side = 'h'").select(*key, F.col("speaker").alias("hyp"))
+    return ref.join(hyp, key).groupBy("case", "ref", "hyp").agg(F.sum("d").alias("shared_s"))
 
 
 def label_mapping(sides: DataFrame, overlap: DataFrame) -> DataFrame:
@@ -112,15 +123,17 @@ def label_mapping(sides: DataFrame, overlap: DataFrame) -> DataFrame:
     )
     schema = overlap.select("case", "ref", "hyp").schema
 
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        both = part[part["ref"].notna() & part["hyp"].notna()]
-        shared = {(r, h): s for r, h, s in zip(both["ref"], both["hyp"], both["shared_s"])}
-        found = best_mapping(sorted(part["ref"].dropna().unique()), sorted(part["hyp"].dropna().unique()), shared)
-        return pd.DataFrame(
-            {"case": part["case"].iloc[0], "ref": list(found), "hyp": list(found.values())}, index=range(len(found))
-        )
+    def assign(part: pa.Table) -> pa.Table:
+        table = part.to_pydict()
+        rows_of = list(zip(table["ref"], table["hyp"], table["shared_s"]))
+        shared = {(r, h): x for r, h, x in rows_of if r is not None and h is not None}
+        refs, hyps = {r for r, _, _ in rows_of} - {None}, {h for _, h, _ in rows_of} - {None}
+        found = best_mapping(sorted(refs), sorted(hyps), shared)
+        columns = [[table["case"][0]] * len(found), list(found), list(found.values())]
+        return pa.table([pa.array(c, part.schema.field(n).type) for c, n in zip(columns, names)], names=names)
 
-    return rows.groupBy("case").applyInPandas(assign, schema)
+    names = ["case", "ref", "hyp"]
+    return rows.repartition(parallelism(rows), "case").groupBy("case").applyInArrow(assign, schema)
 
 
 def diarization_errors(
@@ -145,13 +158,7 @@ def errors_of_sides(
     """DER per case from merged intervals."""
     zones = no_score_collars(side_of(sides, "r"), ["case"], collar, chunk_s) if collar > 0 else None
     cells = settle(active_cells(sides, zones, bucket_s), "cells")
-    n_ref, n_hyp = F.size("refs"), F.size("hyps")
-    totals = cells.groupBy("case").agg(
-        F.sum(F.col("d") * n_ref).alias("ref_speech_s"),
-        F.sum(F.col("d") * F.greatest(F.lit(0), n_ref - n_hyp)).alias("miss_s"),
-        F.sum(F.col("d") * F.greatest(F.lit(0), n_hyp - n_ref)).alias("false_alarm_s"),
-        F.sum(F.col("d") * F.least(n_ref, n_hyp)).alias("paired_s"),
-    )
+    totals = speech_totals(cells)
     overlap = settle(co_active(cells), "overlap")
     # Time in which a mapped pair is active together is exactly its summed overlap.
     correct = (

@@ -12,7 +12,7 @@ from parlance.functions.answers import answer_object, objects_at, plain_at, stri
 from parlance.functions.text import cap, string_or_null
 from parlance.functions.values import confidence, iso_timestamp, score_or_null
 from parlance.plans.transcripts import RENDER_BUDGET
-from parlance.session import settle
+from parlance.session import settle, spread
 
 TITLE_LIMIT = 200
 CATEGORIES = ("topics", "calendar_events", "action_items", "decisions", "people_mentioned")
@@ -45,7 +45,8 @@ def ingested(responses: DataFrame, enabled: dict[str, bool] | None = None) -> di
     session has the session's id.  Disabled categories yield no rows.
     """
     on = {c: True for c in CATEGORIES} | (enabled or {})
-    rows = settle(parsed(responses).drop("raw"), "answers")
+    # Finding the object is the costly part; it runs once, over all tasks.
+    rows = settle(parsed(spread(responses)).drop("raw"), "answers")
     good = rows.filter(F.col("error").isNull()).withColumn("v", F.parse_json("object"))
     v = F.col("v")
     topics = strings_at(v, "$.topics")

@@ -13,9 +13,9 @@ from parlance.functions.text import string_or_null
 from parlance.functions.vectors import is_zero
 from parlance.operators.vectors import mean_vectors, nearest, similarity_components
 from parlance.plans.transcripts import PREVIEW_SECONDS, WEARER
+from parlance.session import parallelism
 
 LINK_THRESHOLD = 0.6
-FOLD_ROWS = 1024
 
 
 def merge_clusters(turns: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
@@ -141,7 +141,7 @@ def link_ordered(clusters: DataFrame, threshold: float = LINK_THRESHOLD) -> Data
 
     ordered = (
         clusters.select("user_id", "ord", "cluster_id", "label", "embedding")
-        .repartition("user_id")
+        .repartition(parallelism(clusters), "user_id")
         .sortWithinPartitions("user_id", "ord", "cluster_id")
     )
     return ordered.mapInPandas(fold, schema)

@@ -66,3 +66,21 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     path = shared_path(spark, label)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def parallelism(df: DataFrame) -> int:
+    """Tasks to give to work whose cost does not follow its bytes.
+
+    An explicit count also keeps adaptive execution from merging such small partitions.
+    """
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all tasks where the input has fewer splits than the cluster has cores.
+
+    A large input has more splits than that and is left as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -21,7 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.intervals import time_chunk
 from parlance.operators.scans import Scan, island_ids, prefix_scan
-from parlance.session import settle
+from parlance.session import parallelism, settle
 
 PACKET, START, STOP = "packet", "audio-start", "audio-stop"
 FIELDS = ["connection_id", "started_us", "ended_us", "n_packets", "bytes", "rate", "closed_by"]
@@ -114,7 +114,7 @@ def closed_segments(packets: DataFrame, interval_s: float, as_of_us: int | None
     parts = island_ids(
         settle(rated, "packets"), ["connection_id"], chunk, ["us", "seq"], ["us", "kind"], opens, name="part"
     )
-    ordered = parts.repartition("connection_id", "part").sortWithinPartitions("connection_id", "part", "us", "seq")
+    ordered = parts.repartition(parallelism(packets), "connection_id", "part").sortWithinPartitions("connection_id", "part", "us", "seq")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, segment = None, Segment()
