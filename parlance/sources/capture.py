@@ -44,7 +44,7 @@ def silence_logs(spark: SparkSession, folder: str) -> DataFrame:
 
     A log is one small file of a capture, so it is read whole and split on its row.
     """
-    files = spark.read.option("wholetext", "true").text(folder).withColumn("path", F.input_file_name())
+    files = spark.read.text(folder, wholetext=True).withColumn("path", F.input_file_name())
     return files.select("path", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line_no", "line"))
 
 

@@ -21,7 +21,7 @@ _CASE = r"([^/]+)/[^/]+$"
 def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Whole small files ``folder/<case>/name``: ``case, value``."""
     try:
-        rows = spark.read.option("wholetext", "true").text(f"{folder}/*/{name}")
+        rows = spark.read.text(f"{folder}/*/{name}", wholetext=True)
     except AnalysisException:  # no case has such a file
         return spark.range(0).select(F.lit("").alias("case"), F.lit("").alias("value"))
     return rows.select(F.regexp_extract(F.input_file_name(), _CASE, 1).alias("case"), "value")
