@@ -398,7 +398,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 CTE["versions"] = """versions AS (
-  SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS audio_session_id, l_shipdate AS created_at,
+  SELECT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS id, l_orderkey AS audio_session_id, l_shipdate AS created_at,
          l_returnflag || l_linestatus || ' ' || l_partkey AS text, CASE WHEN l_linenumber % 2 = 0 THEN 'en' ELSE 'auto' END AS language
   FROM lineitem)"""
 
@@ -406,7 +406,7 @@ CTE["versions"] = """versions AS (
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as successive transcripts of a session."""
     return given(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10000000 + F.col("l_partkey")).alias("id"),
         F.col("l_orderkey").alias("audio_session_id"),
         F.col("l_shipdate").alias("created_at"),
         F.concat("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_partkey").cast("string")).alias("text"),
