@@ -13,7 +13,10 @@ LINE_CHUNK = 4096
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """Files below a folder: ``path, length, modificationTime``; their bytes are not read."""
+    """Files below a folder: ``path, length, modificationTime``; their bytes are not read.
+
+    Spark's scan leaves out files without any byte, so empty uploads do not appear at all.
+    """
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
