@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import exact_dedup, line_dedup, mixing, token_files
+from parlance.llm import exact_dedup, line_dedup, mixing, near_dedup, token_files
 from parlance.llm.registry import query
 
 
@@ -95,3 +95,8 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.without_repeats(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)

@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def odd_constants(count: int, seed: int) -> np.ndarray:
     """``count`` pseudo-random odd 64-bit multipliers."""
     with np.errstate(over="ignore"):
-        at = np.arange(1, count + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed & MASK64)
+        at = np.arange(1, count + 1, dtype=np.uint64) * GOLDEN + np.uint64(int(seed) & MASK64)
     return mix(at) | np.uint64(1)
 
 
