@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import exact_dedup, line_dedup, mixing, near_dedup, token_files
+from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, token_files
 from parlance.llm.registry import query
 
 
@@ -100,3 +100,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per contaminated document and benchmark item."""
+    found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.drop("text_hash")
