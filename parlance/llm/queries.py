@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, token_files
+from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, token_files
 from parlance.llm.registry import query
 
 
@@ -107,3 +107,9 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """One row per contaminated document and benchmark item."""
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.without_shared_windows(table(spark, folder, "documents"), width=13, with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
