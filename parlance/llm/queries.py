@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, token_files
+from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
 from parlance.llm.registry import query
 
 
@@ -113,3 +113,11 @@ def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.without_shared_windows(table(spark, folder, "documents"), width=13, with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    found = toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
