@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, token_files, toxicity
+from parlance.llm import decontaminate, exact_dedup, language, line_dedup, main_text, mixing, near_dedup, substring_dedup, token_files, toxicity
 from parlance.llm.registry import query
 
 
@@ -121,3 +121,13 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
     found = toxicity.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_text(table(spark, folder, "pages"))
+
+
+@query("op2_page_language")
+def op2_page_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.page_languages(table(spark, folder, "pages"), table(spark, folder, "documents"))
