@@ -48,4 +48,12 @@ def labelled_pages() -> list[str]:
     def fill(layout: str, scale: float) -> str:
         return re.sub(r"~(\d+)", lambda m: " ".join(["word"] * max(1, round(int(m[1]) * scale))), layout)
 
-    return [fill(layout, scale) for layout in LAYOUTS for scale in SCALES]
+    return [fill(layout, scale) for whole in LAYOUTS for layout in _cuts(whole) for scale in SCALES]
+
+
+def _cuts(layout: str) -> list[str]:
+    """A layout, and where it has an article also without what stands before it, after it, and both."""
+    found = re.search(r"<(article|main)>.*?</\1>", layout, re.S)
+    if found is None:
+        return [layout]
+    return [layout, layout[found.start() :], layout[: found.end()], found[0]]

@@ -46,7 +46,7 @@ STANDS_FOR = {
 SEPARATORS = ".-_*'·,~^/\\:"
 
 SWAP, DROP, KEEP = 1.0, 0.5, 9.0  # channel costs
-DOUBLED, REPEATED = 4.0, 0.7  # of leaving out a letter from a pair, and from a longer run
+DOUBLED, REPEATED = 6.0, 0.7  # of leaving out a letter from a pair, and from a longer run
 
 _EDGE = np.zeros(256, dtype=bool)  # signs that end a word and are no part of it
 _EDGE[[ord(c) for c in "\"'()[]{}<>.,;:?!*&%#~^=/\\-_`"]] = True

@@ -38,6 +38,14 @@ def test_plain_pages(spark, tree):
     assert texts(spark, tree, page, f"<p>{TEXT}</p>") == {0: " ".join((TEXT * 2).split()), 1: " ".join(TEXT.split())}
 
 
+def test_article_alone(spark, tree):
+    parts = ["<article><p>", "<main><h1>", "<body><nav><a href=x>no</a></nav><article><p>", "<div class=ad>no</div><main><p>a</p><p>"]
+    for text in ("one", "a few words here", TEXT):
+        got = texts(spark, tree, *[p + text for p in parts])
+        want = " ".join(text.split())
+        assert got == {0: want, 1: want, 2: want, 3: "a " + want}
+
+
 def test_odd_pages(spark, tree):
     odd = [None, "", "<", "<p", "<!-- open", "<script>var a", "</div></p>", "<article>" + "<p>w" * 3000, "<article><p>cut <a hre", "a < b and c > d " * 9]
     got = texts(spark, tree, *odd)
