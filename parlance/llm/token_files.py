@@ -17,6 +17,7 @@ empty table gives no file; other columns are not read.
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import uuid
 import zlib
@@ -33,7 +34,7 @@ from parlance.llm.words import GOLDEN, MASK64, mix, text_bytes
 from parlance.session import settle, shared_path
 
 #: Distinct words whose ids a task remembers; beyond it, it forgets them all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 GAMMA = 2.0
 LEVELS = 24
 MANIFEST = "doc_id long, shard int, place long, offset long, n_tokens long, copy_in_shard long"
@@ -83,36 +84,87 @@ def _read_range(path: str, start: int, size: int) -> bytes:
 # ---------------------------------------------------------------- tokens
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(definition: str):
-    from tokenizers import Tokenizer
+#: Signs that a tokenizer of the kind in ``_signs_apart`` always parts from the letters before them.
+SIGNS = ".,;:!?*&%#$"
+
+
+def _signs_apart(definition: str) -> bool:
+    """Whether the tokenizer lowers case and keeps letters and signs in different pieces, by its stated pattern."""
+    stated = json.loads(definition)
+    steps = json.dumps(stated.get("normalizer") or {})
+    pieces = [p.get("pattern", {}).get("Regex", "") for p in (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return '"Lowercase"' in steps and any("[\\p{L}]+|" in p and p.endswith("[^\\s\\p{L}\\p{N}]+") for p in pieces)
+
+
+class WordEncoder:
+    """Ids of words, each encoded once while it is remembered.
+
+    Many words are encoded as one text with a special token between them, which saves a result object a word. Where
+    letters and signs are kept apart, "Word," is put together from "word" and ",".
+    """
+
+    def __init__(self, definition: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.border = special[0] if special else None
+        self.apart = _signs_apart(definition)
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            piece = words[at : at + 4096]
+            if self.border is None or any(self.border[0] in w for w in piece):
+                out.extend(np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(piece, add_special_tokens=False))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([self.border[0].join(piece)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cuts = np.flatnonzero(ids == self.border[1])
+            packed = ids.tobytes()
+            out.extend(packed[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]))
+        return out
+
+    def _stem(self, word: str) -> tuple[str, str]:
+        if not self.apart or "<" in word or not word.isascii():
+            return word, ""
+        stem = word.rstrip(SIGNS)
+        return (stem.lower(), word[len(stem) :]) if stem[-1:].isalpha() else (word, "")
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            self.stems.clear()
+            fresh = words
+        stems = [self._stem(w.decode()) for w in fresh]
+        new = list({part for pair in stems for part in pair if part and part not in self.stems})
+        self.stems.update(zip(new, self._encode(new)))
+        self.stems[""] = b""
+        self.known.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in zip(fresh, stems))
+        return [self.known[w] for w in words]
+
 
-    return Tokenizer.from_str(definition), {}
+@lru_cache(maxsize=1)
+def _encoder(definition: str) -> WordEncoder:
+    return WordEncoder(definition)
 
 
 def encode_column(definition: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a string column, and how many each row has.
 
-    For tokenizers whose pieces never cross ASCII white space and drop it: each distinct word is
-    encoded once and looked up from then on.
+    For tokenizers whose pieces never cross ASCII white space and drop it.
     """
-    tokenizer, known = _tokenizer(definition)
     if column.null_count:
         column = column.fill_null("")
     words = pc.ascii_split_whitespace(column.cast(pa.large_string()))
     coded = words.flatten().dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    fresh = [w for w in distinct if w not in known]
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = distinct
-    for at in range(0, len(fresh), 20_000):
-        piece = fresh[at : at + 20_000]
-        for word, found in zip(piece, tokenizer.encode_batch(piece, add_special_tokens=False)):
-            known[word] = np.array(found.ids, dtype=np.uint32)
-    ids = [known[w] for w in distinct]
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-    flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
+    raw, edges = text_bytes(coded.dictionary)
+    raw, edges = raw.tobytes(), edges.tolist()
+    ids = _encoder(definition).ids([raw[a:b] for a, b in zip(edges[:-1], edges[1:])])
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     length = sizes[which] if len(which) else np.zeros(0, dtype=np.int64)
     before = np.cumsum(length) - length
@@ -154,7 +206,7 @@ def write_shards(docs: DataFrame, definition: str, folder: str, end_id: int, wid
         out, place, offset, last, copy = None, 0, 0, object(), 0
         for whole in batches:
             column = whole.column(1)
-            for at, to in _row_ranges(column, 1 << 21):
+            for at, to in _row_ranges(column, 1 << 22):
                 ids, sizes = _with_end(*encode_column(shared.value, column.slice(at, to - at)), end_id)
                 if out is None:
                     out = _WholeFile(_shard_name(folder, shard))
