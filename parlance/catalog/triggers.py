@@ -78,9 +78,7 @@ quoted AS (SELECT *, CASE WHEN regexp_full_match(transcript, '[a-zA-Z0-9_@%+=:,.
 SELECT id, "start", phrase AS matched_phrase, 'notify --id=' || id || ' ' || qp || ' $unknown $5 -- ' || qt AS command_resolved FROM quoted""",
 )
 def trigger_invocations(spark, d):
-    found = tg.matched(texts(spark, d), action(spark)).select("conversation_id", "nth", "start")
-    log = tg.invocations(texts(spark, d), action(spark))
-    return log.join(found, ["conversation_id", "nth"]).select(
+    return tg.invocations(texts(spark, d), action(spark)).select(
         F.col("conversation_id").alias("id"), "start", "matched_phrase", "command_resolved"
     )
 

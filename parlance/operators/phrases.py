@@ -1,8 +1,10 @@
-"""Phrase hits in texts, as an Arrow function."""
+"""Phrase hits in texts: a left-to-right sweep over one pattern of all phrases."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,51 +12,86 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 
-def occurrences(text: str, phrase: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each hit of one phrase; a hit begins after the one before."""
-    at = text.find(phrase)
-    while at >= 0:
-        yield at, at + len(phrase)
-        at = text.find(phrase, at + len(phrase))
+class PhraseSweep:
+    """Finds the hits of a set of phrases and the slices that they open, in one pass over a text.
 
+    A hit counts where no earlier accepted hit covers its start; at one place the shortest phrase wins. A phrase never
+    overlaps its own last hit, accepted or not.
+    """
 
-def matches(text: str, phrases: list[str], stops: list[str]) -> list[dict]:
-    """Accepted hits in text order with the slice that each one opens.
+    def __init__(self, phrases: tuple[str, ...], stops: tuple[str, ...]):
+        self.keys: dict[str, str] = {}  # lower-cased phrase to the phrase as given, the first in order of equal ones
+        for phrase in sorted(p for p in phrases if p and p.strip()):
+            self.keys.setdefault(phrase.lower().strip(), phrase)
+        self.order = sorted(self.keys, key=len)
+        alternatives = lambda words: "|".join(re.escape(w) for w in words)
+        self.start = re.compile(f"(?=(?:{alternatives(self.order)}))") if self.order else None
+        ends = sorted({s.lower().strip() for s in stops if s and s.strip()})
+        self.stop = re.compile(f"(?=(?:{alternatives(ends)}))") if ends else None
+
+    def hits(self, lowered: str) -> Iterator[tuple[int, int, str]]:
+        if self.start is None:
+            return
+        free = dict.fromkeys(self.order, 0)
+        border = 0
+        for place in self.start.finditer(lowered):
+            at = place.start()
+            for key in self.order:
+                if at >= free[key] and lowered.startswith(key, at):
+                    free[key] = at + len(key)
+                    if at >= border:
+                        border = at + len(key)
+                        yield at, border, self.keys[key]
+
+    def slices(self, text: str) -> list[tuple[str, int, int, str]]:
+        """``phrase, start, end, transcript``: a slice ends at the next hit, at a stop phrase or with the text."""
+        lowered, out = text.lower(), []
+        open_hit: tuple[int, int, str] | None = None
+        for hit in [*self.hits(lowered), None]:
+            if open_hit is not None:
+                begin, end, phrase = open_hit
+                until = len(text) if hit is None else hit[0]
+                stop = self.stop.search(lowered, end) if self.stop else None
+                if stop is not None:
+                    until = min(until, stop.start())
+                out.append((phrase, begin, end, text[begin:until].strip()))
+            open_hit = hit
+        return out
+
+
+@lru_cache(maxsize=256)
+def sweep(phrases: tuple[str, ...], stops: tuple[str, ...]) -> PhraseSweep:
+    return PhraseSweep(phrases, stops)
 
-    Hits are taken by start, the shorter first, and must not overlap.  The slice begins with
-    the phrase and runs to the next accepted hit, the first stop phrase or the end.
-    """
-    lowered = text.lower()
-    wanted = [(p, p.lower().strip()) for p in phrases if p and p.strip()]
-    cuts = [s.lower().strip() for s in stops if s and s.strip()]
-    hits = sorted((start, end, p) for p, key in wanted for start, end in occurrences(lowered, key))
-    taken: list[tuple[int, int, str]] = []
-    for hit in hits:
-        if not taken or hit[0] >= taken[-1][1]:
-            taken.append(hit)
-    ends = [hit[0] for hit in taken[1:]] + [len(text)]
-    out = []
-    for (start, end, phrase), until in zip(taken, ends):
-        for stop in cuts:
-            at = lowered.find(stop, end)
-            if 0 <= at < until:
-                until = at
-        out.append({"phrase": phrase, "start": start, "end": end, "transcript": text[start:until].strip()})
-    return out
+
+MATCH = "action int, nth int, phrase string, start int, end int, transcript string"
+
+
+def mentions_any(text: Column, phrases: Column) -> Column:
+    """Whether a text holds one of the phrases at all, whatever their case."""
+    lowered = F.lower(text)
+    named = F.filter(phrases, lambda p: p.isNotNull() & (F.length(F.trim(p)) > 0))
+    # letters whose lower case depends on the runtime never rule a text out
+    return F.exists(named, lambda p: F.contains(lowered, F.lower(F.trim(p)))) | text.rlike("[^\\x00-\\x7F]")
 
 
 def phrase_matches(text: Column, phrases: Column, stops: Column) -> Column:
-    """Array of ``phrase, start, end, transcript`` per text."""
-    kind = ArrayType(StructType.fromDDL("phrase string, start int, end int, transcript string"))
+    """Matches of several lists in one text: an array of ``action, nth, phrase, start, end, transcript``.
 
-    @F.pandas_udf(kind)
+    ``phrases`` and ``stops`` are arrays of lists, one of each per action; ``action`` is the place of the list. Texts without
+    any phrase stay in the JVM.
+    """
+
+    @F.pandas_udf(ArrayType(StructType.fromDDL(MATCH)))
     def found(texts: pd.Series, wanted: pd.Series, ended: pd.Series) -> pd.Series:
-        none: list[str] = []
-        return pd.Series(
-            [
-                [] if t is None or w is None else matches(t, list(w), none if s is None else list(s))
-                for t, w, s in zip(texts, wanted, ended)
-            ]
-        )
-
-    return found(text, phrases, stops)
+        out = []
+        for text, lists, stop_lists in zip(texts, wanted, ended):
+            rows = []
+            if text is not None and lists is not None:
+                for action, (words, ends) in enumerate(zip(lists, stop_lists)):
+                    slices = sweep(tuple(words if words is not None else ()), tuple(ends if ends is not None else ())).slices(text)
+                    rows += [{"action": action, "nth": n, "phrase": p, "start": a, "end": b, "transcript": t} for n, (p, a, b, t) in enumerate(slices)]
+            out.append(rows)
+        return pd.Series(out)
+
+    return found(F.when(mentions_any(text, F.flatten(phrases)), text), phrases, stops)

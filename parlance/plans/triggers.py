@@ -41,17 +41,18 @@ def matched(texts: DataFrame, actions: DataFrame) -> DataFrame:
     """Matches of each user's enabled actions: one row per accepted hit.
 
     ``texts``: ``user_id, conversation_id, text``; ``actions``: ``id, user_id, phrases,
-    stop_phrases, command, enabled``.
+    stop_phrases, command, enabled``. A user's actions (a settings list) meet each text once.
     """
-    live = actions.filter("enabled").select(
-        "user_id", F.col("id").alias("wake_action_id"), "phrases", "stop_phrases", "command"
-    )
-    found = texts.join(live, "user_id").withColumn(
-        "matches", phrase_matches(F.col("text"), F.col("phrases"), F.col("stop_phrases"))
-    )
-    return found.select(
-        "user_id", "wake_action_id", "conversation_id", "text", "command", F.posexplode("matches").alias("nth", "m")
-    ).select("user_id", "wake_action_id", "conversation_id", "nth", "m.*", "text", "command")
+    no_words = F.array().cast("array<string>")
+    listed = F.struct("id", F.coalesce("phrases", no_words).alias("phrases"), F.coalesce("stop_phrases", no_words).alias("stop_phrases"), "command")
+    live = actions.filter("enabled").groupBy("user_id").agg(F.array_sort(F.collect_list(listed)).alias("actions"))
+    found = texts.join(live, "user_id").withColumn("matches", phrase_matches(F.col("text"), F.col("actions.phrases"), F.col("actions.stop_phrases")))
+    rows = found.select("user_id", "conversation_id", "text", "actions", F.explode("matches").alias("m"))
+    action = F.get("actions", F.col("m.action"))
+    return rows.select(
+        "user_id", action["id"].alias("wake_action_id"), "conversation_id", "m.nth", "m.phrase", "m.start", "m.end", "m.transcript",
+        "text", action["command"].alias("command"),
+    )
 
 
 def invocations(texts: DataFrame, actions: DataFrame) -> DataFrame:
@@ -67,6 +68,7 @@ def invocations(texts: DataFrame, actions: DataFrame) -> DataFrame:
         "wake_action_id",
         "conversation_id",
         "nth",
+        "start",
         F.col("phrase").alias("matched_phrase"),
         F.col("transcript").alias("input_text"),
         resolved(F.col("command"), variables).alias("command_resolved"),

@@ -13,7 +13,7 @@ from parlance.functions import ical
 from parlance.functions.answers import first_object, mended
 from parlance.functions.text import phrase_list, shell_quoted, without_fences, without_thinking
 from parlance.functions.vectors import cosine
-from parlance.operators.phrases import matches
+from parlance.operators.phrases import sweep
 from parlance.operators.vectors import nearest, similar_pairs, similarity_components
 from parlance.plans import archive as ar
 from parlance.plans import daily as dy
@@ -39,10 +39,11 @@ def one(spark, sql_value, fn):
 
 
 def test_collapse(spark):
-    rows = [(0.0, 1.0, "Hello "), (1.0, 2.0, "hello"), (2.0, 3.0, "HELLO"), (3.0, 4.0, ""), (4.0, 5.0, ""), (5.0, 6.0, ""),
-            (6.0, 7.0, "a"), (7.0, 8.0, "a"), (8.0, 9.0, "b")]
+    texts = ["ok.", " OK.", "Ok. ", "ok.", "then", "then", "", "", "", "so", "and so", "And so", "and so"]
+    rows = [(float(i), i + 0.5, t) for i, t in enumerate(texts)]
     got = tr.collapse_repeats(segments(spark, *rows)).orderBy("pos").collect()
-    assert [(r.text, r.start, r.end) for r in got] == [("Hello  (×3)", 0.0, 3.0)] + [(t, s, e) for s, e, t in rows[3:]]
+    want = [("ok. (×4)", 0.0, 3.5), ("then", 4.0, 4.5), ("then", 5.0, 5.5)] + [("", i, i + 0.5) for i in (6.0, 7.0, 8.0)] + [("so", 9.0, 9.5), ("and so (×3)", 10.0, 12.5)]
+    assert [(" ".join(r.text.split()), r.start, r.end) for r in got] == want
     again = tr.collapse_repeats(spark.createDataFrame(got, SEG)).orderBy("pos").collect()
     assert again == got
 
@@ -137,12 +138,46 @@ def test_cosine(spark):
     assert value("1D, 0D", "0D, 0D") == 0.0 and value("1D", "1D, 0D") == 0.0
 
 
-def test_phrases():
-    text = "Hey Jarvis set a timer over and out. hey jarvis, lights"
-    got = matches(text, ["Hey Jarvis", " "], ["over"])
-    assert [(m["start"], m["end"], m["transcript"]) for m in got] == [(0, 10, "Hey Jarvis set a timer"), (37, 47, "hey jarvis, lights")]
-    assert [m["phrase"] for m in matches("abcabc", ["abc", "ab"], [])] == ["ab", "ab"]
-    assert matches("nothing", ["x"], []) == []
+def slow_slices(text, phrases, stops):
+    """Every place of every phrase by comparison, then accepted from the left."""
+    low, places = text.lower(), []
+    for phrase in phrases:
+        key, at = phrase.lower().strip(), 0
+        while key and at + len(key) <= len(low):
+            hit = low[at : at + len(key)] == key
+            places += [(at, at + len(key), phrase)] if hit else []
+            at += len(key) if hit else 1
+    taken = []
+    for place in sorted(places):
+        if not taken or place[0] >= taken[-1][1]:
+            taken.append(place)
+    out = []
+    for i, (begin, end, phrase) in enumerate(taken):
+        borders = [taken[i + 1][0] if i + 1 < len(taken) else len(text)]
+        borders += [low.find(s.lower(), end) for s in stops if low.find(s.lower(), end) >= 0]
+        out.append((phrase, begin, end, text[begin : min(borders)].strip()))
+    return out
+
+
+def test_phrase_sweep_equals_comparison():
+    rng = random.Random(8)
+    piece = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(3000):
+        text = piece("xyX ", rng.randrange(30))
+        phrases = sorted({piece("xy", rng.randrange(1, 4)) for _ in range(3)})
+        stops = [piece("xy", 2)]
+        assert sweep(tuple(phrases), tuple(stops)).slices(text) == slow_slices(text, phrases, stops)
+    assert sweep((" ", ""), ()).slices("any text") == []
+
+
+def test_each_action_meets_its_own_user(spark):
+    actions = spark.createDataFrame(
+        [(1, "u", ["note"], ["end"], "a", True), (2, "u", ["NOTE this", "done"], [], "b", True), (3, "u", ["note"], [], "c", False), (4, "w", ["note"], None, "d", True)],
+        "id int, user_id string, phrases array<string>, stop_phrases array<string>, command string, enabled boolean",
+    )
+    texts = spark.createDataFrame([("u", 10, "Note this down end done"), ("w", 11, "nothing"), ("w", 12, None), ("v", 13, "note")], "user_id string, conversation_id int, text string")
+    got = sorted((r.wake_action_id, r.conversation_id, r.nth, r.transcript) for r in tg.matched(texts, actions).collect())
+    assert got == [(1, 10, 0, "Note this down"), (2, 10, 0, "Note this down end"), (2, 10, 1, "done")]
 
 
 def test_commands(spark):

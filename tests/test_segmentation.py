@@ -1,5 +1,6 @@
 """Hand-computed cases and brute-force checks of the interval and frame operators."""
 
+import itertools
 import random
 
 import pytest
@@ -10,37 +11,53 @@ from parlance.operators.scans import Scan, interval_islands, island_ids, prefix_
 from parlance.plans import segmentation as seg
 from parlance.sources import capture
 
-CUTS = {
-    "no silence": (120.0, [], 0.0, [(0, 120)]),
-    "all silence": (120.0, [(0, 120)], 0.0, []),
-    "short pauses": (120.0, [(10, 11), (40, 42), (80, 82)], 0.0, [(0, 120)]),
-    "long split": (200.0, [(45, 130)], 0.0, [(0, 45), (130, 200)]),
-    "edges": (500.0, [(0, 90), (200, 280), (400, 500)], 0.0, [(90, 200), (280, 400)]),
-    "two splits": (400.0, [(50, 130), (250, 320)], 0.0, [(0, 50), (130, 250), (320, 400)]),
-    "short edge silence": (150.0, [(20, 25), (130, 149)], 0.0, [(0, 150)]),
-    "no duration": (0.0, [(0, 10)], 0.0, []),
-}
-
-
 def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_conversation_cuts(spark):
-    sessions = spark.createDataFrame([(k, v[0]) for k, v in CUTS.items()], "session_id string, duration_s double")
+def cuts_by_second(duration, silences, gap):
+    """Conversations of a capture in whole seconds: what is left of silences of at least ``gap`` seconds."""
+    quiet = set()
+    for start, end in silences:
+        if end - start >= gap:
+            quiet.update(range(start, min(end, duration)))
+    out, begin = [], None
+    for second in range(duration + 1):
+        loud = second < duration and second not in quiet
+        if loud and begin is None:
+            begin = second
+        if not loud and begin is not None:
+            out.append((begin, second))
+            begin = None
+    return out
+
+
+def test_conversation_cuts_equal_seconds(spark):
+    rng = random.Random(11)
+    cases = {"still": (0, []), "whole": (77, []), "mute": (77, [(0, 77)])}
+    for number in range(40):
+        at, silences = 0, []
+        while at < 900:
+            start = at + rng.randrange(0, 130)
+            at = start + rng.randrange(1, 120)
+            silences.append((start, at))
+            at += 1
+        cases[f"c{number}"] = (at - rng.randrange(0, 2) * 40, [(s, min(e, at)) for s, e in silences])
+    cases = {k: (d, [(s, min(e, d)) for s, e in q if s < d]) for k, (d, q) in cases.items()}
+    sessions = spark.createDataFrame([(k, float(v[0])) for k, v in cases.items()], "session_id string, duration_s double")
     silences = spark.createDataFrame(
-        [(k, float(s), float(e)) for k, v in CUTS.items() for s, e in v[1]], "session_id string, start double, end double"
+        [(k, float(s), float(e)) for k, v in cases.items() for s, e in v[1]], "session_id string, start double, end double"
     )
     found = seg.conversations_from_silences(sessions, silences, 60.0)
-    want = sorted((k, i, float(s), float(e)) for k, v in CUTS.items() for i, (s, e) in enumerate(v[3]))
-    assert rows(found, "session_id", "idx", "start", "end") == want
+    want = [(k, i, float(s), float(e)) for k, v in cases.items() for i, (s, e) in enumerate(cuts_by_second(*v, 60))]
+    assert rows(found, "session_id", "idx", "start", "end") == sorted(want)
 
 
-def test_padding_is_clamped(spark):
-    sessions = spark.createDataFrame([("a", 200.0)], "session_id string, duration_s double")
-    silences = spark.createDataFrame([("a", 45.0, 130.0)], "session_id string, start double, end double")
-    found = seg.conversations_from_silences(sessions, silences, 60.0, pad_s=0.5)
-    assert rows(found, "start", "end") == [(0.0, 45.5), (129.5, 200.0)]
+def test_padding_stays_inside(spark):
+    sessions = spark.createDataFrame([("p", 310.0)], "session_id string, duration_s double")
+    silences = spark.createDataFrame([("p", 71.0, 160.0), ("p", 230.0, 310.0)], "session_id string, start double, end double")
+    found = seg.conversations_from_silences(sessions, silences, 60.0, pad_s=2.0)
+    assert rows(found, "start", "end") == [(0.0, 73.0), (158.0, 232.0)]
 
 
 def frames(spark, blocks):
@@ -51,24 +68,6 @@ def frames(spark, blocks):
     return spark.createDataFrame(data, "session_id string, frame_idx long, prob double")
 
 
-def test_hysteresis(spark):
-    found = seg.speech_regions(
-        frames(
-            spark,
-            {
-                "block": [(10, 0.0), (10, 0.9), (10, 0.0)],
-                "dip": [(5, 0.9), (3, 0.4), (5, 0.9), (5, 0.1)],
-                "open end": [(3, 0.0), (4, 0.9)],
-                "never": [(5, 0.45)],
-            },
-        ),
-        frame_s=0.1,
-        chunk_frames=4,
-    )
-    got = [(s, round(a, 6), round(e, 6)) for s, a, e in rows(found, "session_id", "start", "end")]
-    assert got == [("block", 1.0, 2.0), ("dip", 0.0, 1.3), ("open end", 0.3, 0.7)]
-
-
 def test_hysteresis_equals_a_state_machine(spark):
     rng = random.Random(7)
     probs = {s: [rng.random() for _ in range(300)] for s in "abc"}
@@ -90,18 +89,39 @@ def test_hysteresis_equals_a_state_machine(spark):
         seg.speech_regions(df, 1.0, 0.3, 0.7)
 
 
-def test_silences_from_frames(spark):
-    blocks = {
-        "lead and trail": ([(10, 0.0), (10, 0.9), (10, 0.0)], 3.0, [(0, 1), (2, 3)]),
-        "blip": ([(10, 0.0), (2, 0.9), (10, 0.0)], 2.2, [(0, 2.2)]),
-        "bridged": ([(10, 0.9), (3, 0.0), (10, 0.9)], 2.3, []),
-        "blip in long silence": ([(10, 0.9), (30, 0.0), (2, 0.9), (30, 0.0), (10, 0.9)], 8.2, [(1.0, 7.2)]),
-        "no duration": ([(3, 0.9)], 0.0, []),
-    }
-    durations = spark.createDataFrame([(k, v[1]) for k, v in blocks.items()], "session_id string, duration_s double")
-    found = seg.silences_from_frames(frames(spark, {k: v[0] for k, v in blocks.items()}), durations, frame_s=0.1)
-    got = [(s, round(a, 6), round(e, 6)) for s, a, e in rows(found, "session_id", "start", "end")]
-    assert got == sorted((k, float(a), float(e)) for k, v in blocks.items() for a, e in v[2])
+def quiet_by_frame(probs, rise=0.5, fall=0.35, bridge=5, least=3):
+    """Silent frame runs: speech by two thresholds, short pauses bridged, then short speech dropped."""
+    speech, on = [], False
+    for p in probs:
+        on = p >= fall if on else p >= rise
+        speech.append(on)
+    runs = [[on, len(list(part))] for on, part in itertools.groupby(speech)]
+    for i, (on, size) in enumerate(runs):
+        if not on and 0 < i < len(runs) - 1 and size < bridge:
+            runs[i][0] = True
+    runs = [[on, sum(n for _, n in part)] for on, part in itertools.groupby(runs, lambda r: r[0])]
+    at, out = 0, []
+    for on, size in runs:
+        if not on or size < least:
+            if out and out[-1][1] == at:
+                out[-1] = (out[-1][0], at + size)
+            else:
+                out.append((at, at + size))
+        at += size
+    return [(a, b) for a, b in out if b - a >= bridge]
+
+
+def test_silences_equal_a_frame_walk(spark):
+    rng = random.Random(23)
+    blocks = {}
+    for number in range(30):
+        parts = [(rng.randrange(1, 12), rng.choice([0.05, 0.4, 0.8])) for _ in range(rng.randrange(1, 14))]
+        blocks[f"s{number}"] = parts
+    probs = {k: [p for n, p in v for _ in range(n)] for k, v in blocks.items()}
+    durations = spark.createDataFrame([(k, len(v) * 0.1) for k, v in probs.items()] + [("gone", 0.0)], "session_id string, duration_s double")
+    found = seg.silences_from_frames(frames(spark, blocks), durations, frame_s=0.1, min_silence_s=0.45, min_speech_s=0.25)
+    got = [(s, round(a * 10), round(e * 10)) for s, a, e in rows(found, "session_id", "start", "end")]
+    assert got == sorted((k, a, e) for k, v in probs.items() for a, e in quiet_by_frame(v))
 
 
 def test_scans_equal_plain_windows(spark):
