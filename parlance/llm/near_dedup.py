@@ -5,9 +5,10 @@
    four minima are the bucket keys: two sets of similarity 0.8 share none of the 32 with a chance of 5e-8.
 3. Each bucket ties its members to its smallest node. A pair whose signatures agree in fewer than 60 % of the
    minima is dropped (at similarity 0.8 that takes 5.8 standard deviations), the others are confirmed on full sets.
-4. Components. Where a bucket still holds several, the pairs across components are compared by signature, block
-   by block, and confirmed in the same way, the best pair of each node first and then all others. Pairs inside a
-   component are never looked at, so a large group of near copies costs about one comparison per member.
+4. Components. Where a bucket still holds several, block by block the nodes that may be linked across components are
+   tied together, by size and signature; each tied group's texts are then compared once, and a pair is confirmed
+   only while its components are not yet joined. Pairs never leave a task, and pairs inside a component are never
+   looked at, so a large group of near copies costs about one comparison per member.
 
 Cases: a null or blank text has an empty set, is linked with nothing and is its own component; a text shorter
 than a shingle is one shingle; rows with equal ids share their component ids but are compared by their own texts; a
@@ -31,8 +32,8 @@ from parlance.session import settle
 HASHES, BAND_ROWS = 128, 4
 BANDS = HASHES // BAND_ROWS
 AGREEING = 77  # of 128
-#: Members of one side of a comparison block, and pairs of one group that are confirmed in one task.
-BLOCK, GROUP = 1024, 500
+#: Signatures and texts on one side of a comparison cell, and pairs of one node that are confirmed in one group.
+BLOCK, TEXT_BLOCK, GROUP = 1024, 256, 500
 
 FEATURES = "doc_id long, text_hash long, n_shingles long, node binary, signature binary"
 FEATURES_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
@@ -60,6 +61,13 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the similarity."""
+    spot = np.searchsorted(one, other)
+    common = int((one[np.minimum(spot, len(one) - 1)] == other).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """Minima of every set under each hash function; rows of empty sets are zero."""
     out = np.zeros((len(sets), HASHES), dtype=np.uint16)
@@ -106,7 +114,7 @@ def bucket_rows(sets: DataFrame) -> DataFrame:
     bands = [F.xxhash64(F.lit(b), F.substring("signature", b * size + 1, size)) for b in range(BANDS)]
     keys = sets.select("node", F.explode(F.array(*bands)).alias("key"))
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members"))
-    return keys.join(leaders.filter("members > 1"), "key").select("key", "node", "leader", "members")
+    return keys.join(leaders.filter("members > 1"), "key").select("key", "node", "leader")
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +124,12 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
 
-def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("signature").alias("signature_a"))
-    other = sets.select(F.col("node").alias("b"), F.col("signature").alias("signature_b"))
-    met = pairs.join(one, "a").join(other, "b").select("a", "b", "signature_a", "signature_b")
+def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose sizes allow the similarity and whose signatures agree enough."""
+    one = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("signature").alias("signature_a"))
+    other = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("signature").alias("signature_b"))
+    met = pairs.join(one, "a").join(other, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    met = met.select("a", "b", "signature_a", "signature_b")
     return met.mapInArrow(_agreeing, "a binary, b binary")
 
 
@@ -152,9 +161,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
                     if side == 0:
                         at, hub_set = (hub, group), found
                     elif at == (hub, group):
-                        common = np.searchsorted(hub_set, found)
-                        common = int((hub_set[np.minimum(common, len(hub_set) - 1)] == found).sum())
-                        if 100 * common >= percent * (len(hub_set) + len(found) - common):
+                        if _linked(hub_set, found, percent):
                             out.append((node, hub))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["u", "v"])
@@ -167,104 +174,136 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(known, F.col("node") == F.col("known"), "left").drop("known").withColumn("root", F.coalesce("root", "node"))
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs across components that share a bucket and agree enough by signature.
+def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Deal rows ``key, node, root`` of mixed groups into comparison cells ``key, x, y``.
 
-    A bucket's rows are split into those in its first component and the others; each block of others meets every block
-    of the first component and the other blocks. ``best_only`` gives one pair per node and component: the one that
-    agrees most.
+    A group's most frequent root is its main one. Rows of other roots are cut into blocks x; each meets every block y >= 0 of
+    the main root's rows and every other block (y < 0: block -y-1). Rows of the main root never meet each other, so a
+    group that is one component but for a few rows costs a copy or so per row.
     """
-    rooted = _rooted(buckets.select("key", "node", "members"), roots)
-    spread = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("members").alias("members"))
-    firsts = _rooted(buckets.select("key", F.col("leader").alias("node")).distinct(), roots).select("key", F.col("root").alias("main"))
-    mixed = rooted.drop("members").join(spread.filter("low != high").select("key", "members"), "key").join(firsts, "key")
-    other = F.col("root") != F.col("main")
-    blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    sizes = mixed.filter(other).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("other_blocks"))
-    rows = mixed.join(sizes, "key").withColumn("other", other)
-    mine_other = F.pmod(F.xxhash64("node"), F.col("other_blocks")).cast("int")
-    # cells (x, y): x a block of others; y >= 0 a block of the first component, y < 0 block -y-1 of the others
-    place = F.struct
-    as_first = F.transform(F.sequence(F.lit(0), F.col("other_blocks") - 1), lambda x: place(x.alias("x"), mine.alias("y")))
-    to_first = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: place(mine_other.alias("x"), y.cast("int").alias("y")))
-    to_other = F.transform(
-        F.sequence(F.lit(0), F.col("other_blocks") - 1),
-        lambda z: place(F.least(z, mine_other).alias("x"), (-F.greatest(z, mine_other) - 1).alias("y")),
-    )
-    cells = rows.select("key", "node", "root", "other", F.inline(F.when(F.col("other"), F.concat(to_first, to_other)).otherwise(as_first)))
-    signed = cells.join(sets.select("node", "signature"), "node").select("key", "x", "y", "node", "root", "other", "signature")
+    parts = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = parts.groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("all_rows"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    groups = groups.filter("all_rows > main_rows").select(key, "main", blocks(F.col("main_rows")).alias("mains"), blocks(F.col("all_rows") - F.col("main_rows")).alias("others"))
+    mixed = rows.join(groups, key).withColumn("other", F.col("root") != F.col("main"))
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    mine_main, mine_other = at(F.col("mains")), at(F.col("others"))
+    of_main = F.transform(every(F.col("others")), lambda x: cell(x, mine_main))
+    to_main = F.transform(every(F.col("mains")), lambda y: cell(mine_other, y))
+    to_other = F.transform(every(F.col("others")), lambda z: cell(F.least(z, mine_other), -F.greatest(z, mine_other) - 1))
+    dealt = F.when(F.col("other"), F.concat(to_main, to_other)).otherwise(of_main)
+    return mixed.select(key, "node", "root", "other", F.inline(dealt))
+
+
+class _Cell:
+    """The rows of one cell: which of them may still be linked, and what has been joined in it."""
+
+    def __init__(self, nodes: list[bytes], roots: list[bytes], others: list[bool], sizes: np.ndarray, signed: np.ndarray, percent: int):
+        self.nodes, self.sizes, self.signed, self.percent = nodes, sizes, signed, percent
+        self.others = [i for i, other in enumerate(others) if other]
+        number = {root: i for i, root in enumerate(dict.fromkeys(roots))}
+        self.root = np.array([number[r] for r in roots])
+
+    def near(self, i: int) -> np.ndarray:
+        """Rows of other roots whose sizes and signatures allow a link with row i."""
+        fits = 100 * np.minimum(self.sizes, self.sizes[i]) >= self.percent * np.maximum(self.sizes, self.sizes[i])
+        rows = np.flatnonzero(fits & (self.root != self.root[i]))
+        return rows[(self.signed[rows] == self.signed[i]).sum(axis=1) >= AGREEING]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Columns of the rows of one cell after another; the cell is the first ``keys`` columns."""
+    cell, held = None, []
+    for batch in batches:
+        for row in zip(*(column.to_pylist() for column in batch.columns)):
+            if row[:keys] != cell:
+                if held:
+                    yield list(zip(*held))
+                cell, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield list(zip(*held))
+
+
+def possible_links(buckets: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Ties ``u, v`` that connect all nodes which may be linked across components, by sizes and signatures.
+
+    Not the pairs: of each cell only a tie from every such node to one that stands for those it may be linked with.
+    """
+    rooted = _rooted(buckets.select("key", "node"), roots)
+    cells = _cells(rooted, "key", BLOCK).join(sets.select("node", "n_shingles", "signature"), "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
-        for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if row[:3] != cell:
-                    if held:
-                        yield from _across(held, best_only)
-                    cell, held = row[:3], []
-                held.append(row[3:])
-        if held:
-            yield from _across(held, best_only)
-
-    found = signed.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(compare, "a binary, b binary, agree int, root_b binary")
-    if best_only:
-        found = found.groupBy("a", "root_b").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))
-    return found.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
-
-
-def _across(held: list[tuple], best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Agreeing pairs of one cell: each of the others against all rows of another component."""
-    nodes = [r[0] for r in held]
-    roots = [r[1] for r in held]
-    number = {root: i for i, root in enumerate(dict.fromkeys(roots))}
-    root_at = np.array([number[r] for r in roots])
-    signed = np.frombuffer(b"".join(r[3] for r in held), dtype=np.uint16).reshape(-1, HASHES)
-    out = []
-    for i in (i for i, row in enumerate(held) if row[2]):
-        agree = (signed == signed[i]).sum(axis=1)
-        good = np.flatnonzero((agree >= AGREEING) & (root_at != root_at[i]))
-        if best_only and len(good):
-            good = good[np.argsort(-agree[good], kind="stable")]
-            good = good[np.unique(root_at[good], return_index=True)[1]]
-        out.extend((nodes[i], nodes[j], int(agree[j]), roots[j]) for j in good)
-    for at in range(0, len(out), 20_000):
-        columns = list(zip(*out[at : at + 20_000]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())],
-            names=["a", "b", "agree", "root_b"],
-        )
+        for nodes, known, others, sizes, signed in _by_cell(batches, 3):
+            cell = _Cell(nodes, known, others, np.array(sizes), np.frombuffer(b"".join(signed), dtype=np.uint16).reshape(-1, HASHES), percent)
+            top = np.arange(len(nodes))  # the node that each one is tied to
+            for i in cell.others:
+                near = cell.near(i)
+                if len(near):
+                    met = np.unique(top[np.append(near, i)])
+                    top[np.isin(top, met)] = met[0]
+            tied = np.flatnonzero(top != np.arange(len(nodes)))
+            if len(tied):
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in tied], pa.binary()), pa.array([nodes[top[i]] for i in tied], pa.binary())], names=["u", "v"])
+
+    rows = cells.select("key", "x", "y", "node", "root", "other", "n_shingles", "signature")
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(compare, "u binary, v binary").distinct()
+
+
+def links_across(ties: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links ``u, v`` across components among tied nodes, confirmed on full sets.
+
+    Each tied group's texts are dealt to cells, where all pairs across components that sizes and signatures allow are confirmed
+    until their components are joined. Only joining links leave a cell.
+    """
+    grouped = connected_components(ties).select("node", F.col("root").alias("team"))
+    cells = _cells(_rooted(grouped, roots), "team", TEXT_BLOCK).join(sets.select("node", "rep"), "node")
+    wanted = cells.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("team", "x", "y", "node", "root", "other")).alias("targets"))
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
+    sent = rows.join(wanted, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")))
+    sent = sent.dropDuplicates(["row_id", "row_hash"]).select("text", F.inline("targets")).select("team", "x", "y", "node", "root", "other", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, known, others, texts in _by_cell(batches, 3):
+            column = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+            sets = [s for piece in W.slices(column, "text", 1 << 19) for s in shingle_sets(piece.column(0), width)]
+            cell = _Cell(nodes, known, others, np.array([len(s) for s in sets]), signatures(sets), percent)
+            out = []
+            for i in cell.others:
+                for j in cell.near(i):
+                    if cell.root[i] != cell.root[j] and _linked(sets[i], sets[j], percent):
+                        out.append((nodes[i], nodes[j]))
+                        cell.root[cell.root == cell.root[i]] = cell.root[j]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], names=["u", "v"])
+
+    return sent.repartition("team", "x", "y").sortWithinPartitions("team", "x", "y", "node").mapInArrow(check, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row; ``percent`` is at least 80."""
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row; ``percent`` is at least 80."""
     if percent < 80:
         raise ValueError("bands and signatures are laid out for similarities of 0.8 and more")
     rows = settle(features(docs, width, id_col, text_col), "shingles")
     rep = F.struct("doc_id", "text_hash")
-    filled = rows.filter("n_shingles > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.first("signature").alias("signature"))
+    filled = rows.filter("n_shingles > 0").groupBy("node").agg(F.min(rep).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     sets = settle(filled, "shingle-sets")
     buckets = settle(bucket_rows(sets), "buckets")
     again = (width, percent, id_col, text_col)
 
-    pairs = settle(alike(buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets), "pairs")
+    stars = buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = settle(alike(stars, sets, percent), "pairs")
     links = settle(confirmed(pairs, sets, docs, *again), "confirmed")
     roots = settle(connected_components(links), "roots")
-    for best_only in (True, False):
-        tried = settle(open_pairs(buckets, roots, sets, best_only).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if tried.isEmpty():
-            if best_only:
-                continue
-            break
-        more = settle(confirmed(tried, sets, docs, *again), "confirmed")
-        pairs = pairs.unionByName(tried)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = settle(connected_components(links), "roots")
-
-    found = _rooted(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "node"), roots)
+    ties = settle(possible_links(buckets, roots, sets, percent), "ties")
+    more = settle(links_across(ties, roots, sets, docs, *again), "confirmed")
+    roots = settle(connected_components(links.unionByName(more)), "roots")
+
+    found = _rooted(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "node", "text_hash"), roots)
     lowest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = found.join(lowest, "root").select("doc_id", "n_shingles", "component_id")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = found.join(lowest, "root").select("doc_id", "n_shingles", "component_id", "text_hash")
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     out = linked.unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")

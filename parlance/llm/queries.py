@@ -99,7 +99,7 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), width=4, percent=80).drop("text_hash")
 
 
 @query("op7_decontaminate")
