@@ -36,21 +36,20 @@ def r6(column: Column | str) -> Column:
 
 CTE["activity"] = f"""activity AS (
   SELECT event_id, user_id, event_type, value, ts,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+         TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
          (epoch_us(ts) - {EPOCH_US}) / 1e6 AS t
   FROM events)"""
 
 
 def activity(spark: SparkSession, d: str) -> DataFrame:
     """Events as capture activity: ``t`` seconds since the epoch of the data."""
-    # The property text is always ``{"k": n}``; cutting the number out is far cheaper than parsing.
     return given(spark, d, "events").select(
         "event_id",
         "user_id",
         "event_type",
         "value",
         "ts",
-        F.expr("CAST(substring(props, 7, length(props) - 7) AS BIGINT)").alias("k"),
+        F.get_json_object("props", "$.k").try_cast("bigint").alias("k"),
         ((F.unix_micros("ts") - EPOCH_US) / F.lit(1e6)).alias("t"),
     )
 

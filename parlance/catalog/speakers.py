@@ -69,6 +69,18 @@ scored AS (SELECT c.user_id, c.cluster_id, v.id AS speaker_id, list_cosine_simil
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY s DESC, speaker_id) AS r FROM scored WHERE s > 0.6)"""
 
 
+SQL_LINKS = (
+    SQL_NEAREST
+    + """,
+alone AS (SELECT user_id, cluster_id, embedding FROM clusters ANTI JOIN (SELECT cluster_id FROM best WHERE r = 1) USING (cluster_id)),
+near AS (SELECT x.user_id, x.cluster_id AS a, y.cluster_id AS b FROM alone x JOIN alone y USING (user_id)
+         WHERE x.cluster_id = y.cluster_id OR list_cosine_similarity(x.embedding, y.embedding) >= 0.6),
+reach AS (SELECT user_id, a, b FROM near UNION SELECT r.user_id, r.a, n.b FROM reach r JOIN near n ON n.user_id = r.user_id AND n.a = r.b),
+links AS (SELECT user_id, cluster_id, speaker_id, false AS is_new FROM best WHERE r = 1
+          UNION ALL SELECT user_id, a, -min(b) - 1, true FROM reach GROUP BY user_id, a)"""
+)
+
+
 @query(
     "nearest_speakers",
     b.with_cte("clusters", "voices")
@@ -84,12 +96,11 @@ def nearest_speakers(spark, d):
 
 @query(
     "linked_clusters",
-    b.with_cte("clusters", "voices")
+    b.with_cte("clusters", "voices", recursive=True)
     + ","
-    + SQL_NEAREST
+    + SQL_LINKS
     + """
-SELECT c.user_id, c.cluster_id, COALESCE(speaker_id, c.cluster_id) AS speaker_id, speaker_id IS NULL AS is_new
-FROM clusters c LEFT JOIN best ON best.cluster_id = c.cluster_id AND r = 1""",
+SELECT user_id, cluster_id, speaker_id, is_new FROM links""",
 )
 def linked_clusters(spark, d):
     rows = sp.link_frozen(b.clusters(spark, d), b.voices(spark, d))
@@ -98,14 +109,12 @@ def linked_clusters(spark, d):
 
 @query(
     "centroids_after_linking",
-    b.with_cte("clusters", "voices")
+    b.with_cte("clusters", "voices", recursive=True)
     + ","
-    + SQL_NEAREST
+    + SQL_LINKS
     + """,
-links AS (SELECT c.user_id, COALESCE(speaker_id, c.cluster_id) AS speaker_id, c.embedding
-          FROM clusters c LEFT JOIN best ON best.cluster_id = c.cluster_id AND r = 1),
 weighted AS (SELECT user_id, id AS speaker_id, embedding, mention_count AS w FROM voices
-             UNION ALL SELECT user_id, speaker_id, embedding, 1 FROM links)
+             UNION ALL SELECT l.user_id, speaker_id, embedding, 1 FROM links l JOIN clusters c USING (cluster_id))
 SELECT user_id, speaker_id, i - 1 AS dim, round(sum(embedding[i] * w) / sum(w), 6) AS x
 FROM weighted, LATERAL (SELECT unnest(generate_series(1, len(embedding))) AS i) GROUP BY ALL""",
 )
@@ -393,14 +402,13 @@ def updated_previews(spark, d):
 
 @query(
     "segments_with_speaker_ids",
-    b.with_cte("activity", "spoken", "clusters", "voices")
+    b.with_cte("activity", "spoken", "clusters", "voices", recursive=True)
     + ","
-    + SQL_NEAREST
-    + """,
-links AS (SELECT c.session_id, c.label, COALESCE(speaker_id, c.cluster_id) AS speaker_id FROM clusters c LEFT JOIN best ON best.cluster_id = c.cluster_id AND r = 1)
+    + SQL_LINKS
+    + """
 SELECT s.session_id, s.pos, CAST(l.speaker_id AS VARCHAR) AS speaker_id FROM
  (SELECT session_id, pos, 'SPEAKER_' || lpad(CAST(k % 12 AS VARCHAR), 2, '0') AS speaker FROM spoken) s
-LEFT JOIN links l ON l.session_id = s.session_id AND l.label = s.speaker""",
+LEFT JOIN (SELECT session_id, label, speaker_id FROM links JOIN clusters USING (cluster_id)) l ON l.session_id = s.session_id AND l.label = s.speaker""",
 )
 def segments_with_speaker_ids(spark, d):
     clusters = b.clusters(spark, d)

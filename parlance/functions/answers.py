@@ -30,7 +30,10 @@ def first_object(text: str) -> str:
 
 
 def mended(text: str) -> str | None:
-    """A cut-off object closed again; a trailing half pair is dropped.  None if that fails."""
+    """A damaged object closed at the last place that makes sense; what follows it is dropped.
+
+    None if that fails or leaves no member.
+    """
     stack: list[str] = []
     cuts: list[tuple[int, tuple[str, ...]]] = []  # where the text may end, and what is open there
     tail = ""
@@ -45,32 +48,43 @@ def mended(text: str) -> str | None:
             cuts.append((token.start(), tuple(stack)))
         elif stack:
             stack.pop()
-    tries = [(len(text), tuple(stack), tail)] + [(end, open_, "") for end, open_ in reversed(cuts[-2:])]
+    # from the end backwards: as little as possible is dropped
+    tries = [(len(text), tuple(stack), tail)] + [(end, open_, "") for end, open_ in reversed(cuts)]
     for end, open_, quote in tries:
         body = text[:end]
         if quote and body.endswith("\\"):
             body = body[:-1]
         whole = body + quote + "".join(_CLOSE[c] for c in reversed(open_))
-        if _is_object(whole):
+        if _object_of(whole):
             return whole
     return None
 
 
-def _is_object(text: str) -> bool:
+def _object_of(text: str) -> dict | None:
+    """The object that a text holds; None for anything else."""
     try:
-        return isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
+        value = json.loads(text, parse_constant=lambda _: None)
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
 
 
 def _recovered(text: str | None) -> tuple[str | None, bool]:
     if text is None:
         return None, False
     found = first_object(text)
-    if _is_object(found):
-        return found, False
+    whole = _object_of(found)
+    if whole is not None:
+        return _dumped(whole), False
     fixed = mended(found) if found.startswith("{") else None
-    return fixed, fixed is not None
+    if fixed is None:
+        return None, False
+    return _dumped(_object_of(fixed)), True
+
+
+def _dumped(value: dict) -> str:
+    """JSON as every reader takes it: the last of repeated keys, null for NaN and infinities."""
+    return json.dumps(value, ensure_ascii=False, allow_nan=False)
 
 
 def recovered(text: Column) -> Column:

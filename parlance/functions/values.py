@@ -35,7 +35,20 @@ def score_or_null(raw: Column) -> Column:
 def iso_timestamp(raw: Column) -> Column:
     """ISO-8601 text to an instant; anything else is null.  No offset means UTC."""
     text = F.trim(raw)
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"), text.try_cast("timestamp"))
+    pattern = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})([.,]\d{1,9})?)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    week = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|[T ])"
+    # a week date becomes its calendar day: the Monday of the week of 4 January, plus weeks and days
+    monday = F.date_trunc("week", F.make_date(F.regexp_extract(text, week, 1).try_cast("int"), F.lit(1), F.lit(4))).cast("date")
+    shift = (F.regexp_extract(text, week, 2).try_cast("int") - 1) * 7 + F.coalesce(F.regexp_extract(text, week, 3).try_cast("int"), F.lit(1)) - 1
+    real = F.regexp_extract(text, week, 2).try_cast("int").between(1, 53)
+    text = F.when(text.rlike(week) & real, F.concat(F.date_add(monday, shift).cast("string"), F.regexp_replace(text, week, ""))).otherwise(text)
+    part = lambda i: F.regexp_extract(text, pattern, i)
+    or_zero = lambda i: F.when(part(i) == "", F.lit("00")).otherwise(part(i))
+    offset = F.regexp_replace(F.upper(part(8)), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    offset = F.when(part(8) == "", F.lit("Z")).when(offset.endswith(":"), F.concat(offset, F.lit("00"))).otherwise(offset)
+    clock = F.concat(or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.translate(part(7), ",", "."))
+    whole = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), clock, offset)
+    return F.when(text.rlike(pattern), whole.try_cast("timestamp"))
 
 
 def iso_date(raw: Column) -> Column:

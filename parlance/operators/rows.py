@@ -22,11 +22,15 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int)
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= k).drop("__rank")
 
 
-def updated(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """New version of ``df``: rows named in ``changes`` take its columns, also nulls."""
-    new = changes.select(
-        F.col(key), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns]
-    )
+def updated(df: DataFrame, changes: DataFrame, key: str, columns: Sequence[str], order: str = "changed_at") -> DataFrame:
+    """New version of ``df``: rows named in ``changes`` take its columns, also nulls.
+
+    Of several changes of a row the newest by ``order`` counts, where ``changes`` has that column; else, and among equally
+    new ones, the one with the greatest values. No change ever doubles a row.
+    """
+    by = F.struct(*[F.col(c) for c in ([order] if order in changes.columns else [])], *[F.col(c) for c in columns])
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), by).alias("__new"))
+    new = last.select(key, F.lit(True).alias("__hit"), *[F.col("__new")[c].alias(f"__{c}") for c in columns])
     hit = F.coalesce("__hit", F.lit(False))
     return (
         df.join(new, key, "left")

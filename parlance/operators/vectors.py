@@ -7,7 +7,7 @@ query (or a spanning forest), never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from parlance.session import parallelism, settle
 
@@ -54,8 +55,8 @@ def nearest(
     Ties go to the smallest candidate id.  Returns ``group, query_id, candidate_id,
     similarity`` for queries that have a match.
     """
-    q = queries.select(group, query_id, vector)
-    c = candidates.select(group, candidate_id, vector)
+    q = queries.filter(F.col(vector).isNotNull()).select(group, query_id, vector)
+    c = candidates.filter(F.col(vector).isNotNull()).select(group, candidate_id, vector)
     sizes = _blocks(q, group, "nq", block).join(_blocks(c, group, "nc", block), group)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     blank = lambda df, name: F.lit(None).cast(df.schema[name].dataType).alias(name)
@@ -127,6 +128,7 @@ def similar_pairs(
     df: DataFrame, group: str, node: str, vector: str = "embedding", threshold: float = 0.6, block: int = BLOCK
 ) -> DataFrame:
     """Pairs ``a < b`` of one group whose similarity reaches the threshold, with the similarity."""
+    df, named = _by_width(df, group, vector)
     pairs = _block_pairs(df, group, node, vector, block)
     kind = df.schema[node].dataType
     schema = df.select(group).schema.add("a", kind).add("b", kind).add("similarity", "double")
@@ -152,7 +154,18 @@ def similar_pairs(
         out[group] = part[group].iloc[0]
         return out[schema.fieldNames()]
 
-    return pairs.groupBy(group, "b1", "b2").applyInPandas(edges, schema)
+    return named(pairs.groupBy(group, "b1", "b2").applyInPandas(edges, schema))
+
+
+def _by_width(df: DataFrame, group: str, vector: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Groups split by vector width, and what gives a result its group again.
+
+    Vectors of different width have similarity 0, and a missing one has no similarity.
+    """
+    kind = df.schema[group].dataType
+    split = df.filter(F.col(vector).isNotNull()).withColumn(group, F.to_json(F.struct(F.col(group).alias("g"), F.size(vector).alias("w"))))
+    shape = StructType().add("g", kind).add("w", IntegerType())
+    return split, lambda out: out.withColumn(group, F.from_json(F.col(group), shape)["g"])
 
 
 def similarity_components(
@@ -164,6 +177,7 @@ def similarity_components(
     spanning forest; forests of groups with several blocks are then joined by label
     propagation.
     """
+    df, named = _by_width(df, group, vector)
     pairs = _block_pairs(df, group, node, vector, block)
     kind = df.schema[node].dataType
     schema = df.select(group).schema.add(node, kind).add("survivor", kind)
@@ -191,7 +205,7 @@ def similarity_components(
         return pd.DataFrame({group: part[group].to_numpy(), node: ids, "survivor": ids[root]})
 
     stars = settle(pairs.groupBy(group, "b1", "b2").applyInPandas(forest, schema).distinct(), "forest")
-    return _propagate(stars, group, node)
+    return named(_propagate(stars, group, node))
 
 
 def _propagate(stars: DataFrame, group: str, node: str) -> DataFrame:

@@ -44,7 +44,6 @@ def with_conversation(children: DataFrame, conversations: DataFrame, user: str |
 
 
 def conversation_list(conversations: DataFrame, user: str, limit: int = 50, offset: int = 0) -> DataFrame:
-    limit = max(1, min(200, limit))
     return of_user(conversations, user).orderBy(F.desc("started_at"), "id").offset(offset).limit(limit)
 
 
@@ -108,15 +107,18 @@ def event_list(
     if upcoming:
         rows = rows.filter(F.col("starts_at") >= F.lit(as_of).cast("timestamp"))
     joined = with_conversation(rows, conversations, user)
-    return joined.orderBy(F.asc_nulls_last("starts_at"), "id").limit(max(1, min(500, limit)))
+    return joined.orderBy(F.asc_nulls_last("starts_at"), "id").limit(limit)
 
 
-def events_page(events: DataFrame, conversations: DataFrame, user: str | None, as_of: str) -> DataFrame:
-    """The next 100 events and the last 20; events without a start are in neither."""
+def events_page(
+    events: DataFrame, conversations: DataFrame, user: str | None, as_of: str, ahead_rows: int | None = 100, past_rows: int | None = 20
+) -> DataFrame:
+    """The next events and the last ones, up to a page of each (None: all); events without a start are in neither."""
+    page = lambda rows, size: rows if size is None else rows.limit(size)
     now = F.lit(as_of).cast("timestamp")
     joined = with_conversation(events, conversations, user)
-    ahead = joined.filter(F.col("starts_at") >= now).orderBy("starts_at", "id").limit(100)
-    past = joined.filter(F.col("starts_at") < now).orderBy(F.desc("starts_at"), "id").limit(20)
+    ahead = page(joined.filter(F.col("starts_at") >= now).orderBy("starts_at", "id"), ahead_rows)
+    past = page(joined.filter(F.col("starts_at") < now).orderBy(F.desc("starts_at"), "id"), past_rows)
     return ahead.withColumn("part", F.lit("upcoming")).unionByName(past.withColumn("part", F.lit("past")))
 
 

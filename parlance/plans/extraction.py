@@ -28,7 +28,7 @@ def parsed(responses: DataFrame) -> DataFrame:
     """
     found, repaired = answer_object(F.col("raw"))
     return responses.withColumns({"object": found, "repaired": repaired}).withColumn(
-        "error", F.when(F.col("object").isNull(), F.lit(NO_OBJECT))
+        "error", F.when(F.try_parse_json("object").isNull(), F.lit(NO_OBJECT))
     )
 
 
@@ -47,7 +47,7 @@ def ingested(responses: DataFrame, enabled: dict[str, bool] | None = None) -> di
     on = {c: True for c in CATEGORIES} | (enabled or {})
     # Finding the object is the costly part; it runs once, over all tasks.
     rows = settle(parsed(spread(responses)).drop("raw"), "answers")
-    good = rows.filter(F.col("error").isNull()).withColumn("v", F.parse_json("object"))
+    good = rows.filter(F.col("error").isNull()).withColumn("v", F.try_parse_json("object"))
     v = F.col("v")
     topics = strings_at(v, "$.topics")
     conversations = good.select(

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType
 
 from parlance.functions.text import string_or_null
 from parlance.functions.vectors import is_zero
@@ -43,19 +44,24 @@ def cluster_embeddings(clips: DataFrame) -> DataFrame:
 def link_frozen(clusters: DataFrame, speakers: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
     """Link every cluster against the centroids as they stand; fully parallel.
 
-    ``clusters``: ``user_id, cluster_id, embedding``.  Clusters without a match, except zero
-    vectors, found a speaker of their own: ``speaker_id`` equals ``cluster_id``, ``is_new``.
+    ``clusters``: ``user_id, cluster_id, embedding``.  Clusters without a match, except zero vectors, are grouped by
+    similarity; each group founds a speaker (``is_new``) whose id can't meet a known one: ``minted_id`` of the
+    group's smallest cluster.
     """
     usable = clusters.filter(~is_zero(F.col("embedding")))
     found = nearest(usable, speakers.withColumnRenamed("id", "speaker_id"), "user_id", "cluster_id", "speaker_id",
                     threshold=threshold)
-    return usable.select("user_id", "cluster_id").join(found, ["user_id", "cluster_id"], "left").select(
-        "user_id",
-        "cluster_id",
-        F.coalesce("speaker_id", F.col("cluster_id")).alias("speaker_id"),
-        F.col("speaker_id").isNull().alias("is_new"),
-        "similarity",
-    )
+    founders = similarity_components(
+        usable.join(found, ["user_id", "cluster_id"], "left_anti"), "user_id", "cluster_id", threshold=threshold
+    ).select("user_id", "cluster_id", minted_id(F.col("survivor"), usable.schema["cluster_id"].dataType).alias("new_id"))
+    linked = found.select("user_id", "cluster_id", "speaker_id", F.lit(False).alias("is_new"), "similarity")
+    new = founders.select("user_id", "cluster_id", F.col("new_id").alias("speaker_id"), F.lit(True).alias("is_new"), F.lit(None).cast("double").alias("similarity"))
+    return linked.unionByName(new)
+
+
+def minted_id(cluster_id: Column, kind: DataType) -> Column:
+    """The id of a speaker that a cluster founds: ``new-…`` for texts, below zero for numbers (known ids are not)."""
+    return F.concat(F.lit("new-"), cluster_id) if isinstance(kind, StringType) else -cluster_id - F.lit(1)
 
 
 def updated_centroids(links: DataFrame, clusters: DataFrame, speakers: DataFrame) -> DataFrame:

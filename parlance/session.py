@@ -38,13 +38,16 @@ def build_session(app: str = "parlance", cpus: int | str = "*", **extra: str) ->
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a scratch folder is made and
-    set, once per session.
+    Only where a local session names none (tests) a scratch folder is made and set, once per session. On a
+    cluster each executor would write to its own disk, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="parlance-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)

@@ -164,9 +164,12 @@ def live_segments(packets: DataFrame, interval_s: float, delay: str = "5 seconds
         if due is not None and due <= state.getCurrentWatermarkMs() * 1000:
             out.append((*key, *segment.close(due, "rollover")))
             due = None
-        state.update(astuple(segment))
-        if due is not None:
-            state.setTimeoutTimestamp(-(-due // 1000))
+        if segment == Segment():  # nothing open: the connection needs no state
+            state.remove()
+        else:
+            state.update(astuple(segment))
+            if due is not None:
+                state.setTimeoutTimestamp(-(-due // 1000))
         yield pd.DataFrame(out, columns=FIELDS)
 
     rows = packets.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)

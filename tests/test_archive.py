@@ -205,7 +205,50 @@ def test_answers(spark):
     assert json.loads(mended('{"a": [1, 2, {"b": "cut of')) == {"a": [1, 2, {"b": "cut of"}]}
     assert json.loads(mended('{"a": 1, "b')) == {"a": 1}
     assert json.loads(mended('{"a": "x", "b": ')) == {"a": "x"}
-    assert mended("{'a': 1") in (None, "{}")
+    assert mended("{'a': 1") is None and mended('{"a":"x" "b":"y"}') is None
+    damaged = '{"title": "kept", "topics": ["p"], "score": 0.9 , "x": [1, 2, fal, 3, 4'
+    assert json.loads(mended(damaged)) == {"title": "kept", "topics": ["p"], "score": 0.9, "x": [1, 2]}
+
+
+def test_one_bad_answer_ends_nothing(spark):
+    raw = ['{"title": "a", "quality_score": NaN}', '{"title": "b", "title": "c"}', "{'title': 'd'}", '{"title": "e"}', None]
+    df = spark.createDataFrame([(str(i), "u", r) for i, r in enumerate(raw)], "session_id string, user_id string, raw string").withColumns(
+        {"started_at": F.lit("2024-01-01 00:00:00").cast("timestamp"), "ended_at": F.lit(None).cast("timestamp")}
+    )
+    out = ex.ingested(df)
+    assert {r.id: (r.title, r.quality_score) for r in out["conversations"].collect()} == {"0": ("a", 0.5), "1": ("c", 0.5), "3": ("e", 0.5)}
+    assert sorted(r.session_id for r in out["failed"].collect()) == ["2", "4"]
+
+
+def test_repeated_changes_leave_one_row(spark):
+    from parlance.operators.rows import updated
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    changes = spark.createDataFrame([(1, "x", 5), (1, "y", 9), (1, "z", 7), (3, "w", 1)], "id int, v string, changed_at int")
+    assert sorted(map(tuple, updated(rows, changes, "id", ["v"]).collect())) == [(1, "y"), (2, "b")]
+    assert sorted(map(tuple, updated(rows, changes.drop("changed_at"), "id", ["v"]).collect())) == [(1, "z"), (2, "b")]
+
+
+def test_new_speakers_never_meet_known_ones(spark):
+    clusters = spark.createDataFrame(
+        [("u", 1, [1.0, 0.0]), ("u", 2, [0.0, 1.0]), ("u", 3, [0.05, 1.0]), ("u", 4, [1.0, 0.0, 0.0]), ("u", 5, None)], "user_id string, cluster_id long, embedding array<double>"
+    )
+    speakers = spark.createDataFrame([("u", 2, [1.0, 0.1], 4)], "user_id string, id long, embedding array<double>, mention_count long")
+    got = {r.cluster_id: (r.speaker_id, r.is_new) for r in sp.link_frozen(clusters, speakers).collect()}
+    assert got == {1: (2, False), 2: (-3, True), 3: (-3, True), 4: (-5, True)}
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("2024-01-01T10", "2024-01-01 10:00"), ("20240101T103000Z", "2024-01-01 10:30"), ("2024-W01-3", "2024-01-03 00:00"), ("2024W011", "2024-01-01 00:00"),
+        ("2024-05-02 08:15:30.5+02:00", "2024-05-02 06:15"), ("2024-05-02T08:15-0130", "2024-05-02 09:45"), ("2024-13-01", ""), ("2024-02-30", ""), ("soon", ""), ("2024-W60-1", ""),
+    ],
+)
+def test_iso_times(spark, text, want):
+    from parlance.functions.values import iso_timestamp, shown_time
+
+    assert one(spark, f"'{text}'", lambda x: shown_time(iso_timestamp(x))) == want
 
 
 def test_extraction(spark):
