@@ -74,18 +74,19 @@ def active_cells(sides: DataFrame, zones: DataFrame | None, bucket_s: float) ->
         excluded = zones.select(F.lit("x").alias("side"), "case", F.lit("").alias("speaker"), "start", "end")
         rows = sides.unionByName(excluded)
     pieces = settle(cut_at_buckets(rows, bucket_s), "pieces")
-    points = pieces.select("case", "bucket", F.explode(F.array("start", "end")).alias("lo")).distinct()
-    inside = Window.partitionBy("case", "bucket").orderBy("lo")
-    cells = points.withColumn("hi", F.lead("lo").over(inside)).filter(F.col("hi") - F.col("lo") > 1e-9)
     key = ["case", "bucket"]
-    mid = (F.col("lo") + F.col("hi")) / 2
-    within = (F.col("start") <= mid) & (mid < F.col("end"))
-    zone = pieces.filter("side = 'x'").select(*[F.col(k).alias(f"z_{k}") for k in key], "start", "end")
-    scored = cells.join(
-        zone, (F.col("case") == F.col("z_case")) & (F.col("bucket") == F.col("z_bucket")) & within, "left_anti"
-    )
-    hits = scored.join(pieces.filter("side <> 'x'"), key).filter(within)
-    return hits.select("case", "bucket", "lo", (F.col("hi") - F.col("lo")).alias("d"), "side", "speaker")
+    points = pieces.select(*key, F.explode(F.array("start", "end")).alias("lo")).distinct()
+    inside = Window.partitionBy(*key).orderBy("lo")
+    points = settle(points.select(*key, "lo", F.row_number().over(inside).alias("n"), F.lead("lo").over(inside).alias("hi")), "points")
+    # a piece begins and ends on numbered points, so it is active in exactly the cells between their numbers
+    first = points.select(*key, F.col("lo").alias("start"), F.col("n").alias("first"))
+    last = points.select(*key, F.col("lo").alias("end"), F.col("n").alias("last"))
+    spans = pieces.join(first, [*key, "start"]).join(last, [*key, "end"]).filter("last > first")
+    hits = spans.select(*key, "side", "speaker", F.explode(F.sequence("first", F.col("last") - 1)).alias("n"))
+    zone = hits.filter("side = 'x'").select(*key, "n").distinct()
+    cells = points.filter(F.col("hi") - F.col("lo") > 1e-9).select(*key, "n", "lo", (F.col("hi") - F.col("lo")).alias("d"))
+    scored = hits.filter("side <> 'x'").join(zone, [*key, "n"], "left_anti")
+    return scored.join(cells, [*key, "n"]).select("case", "bucket", "lo", "d", "side", "speaker")
 
 
 def speech_totals(cells: DataFrame) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lists of settled paths, of the open ``steps`` blocks.
+_OWNERS: list[list[str]] = []
+
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -59,6 +64,23 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that steps inside the block have settled, once the block ends.
+
+    Write the job's result inside the block, outside the shared folder's tables: what is read later must not need them.
+    """
+    owned: list[str] = []
+    _OWNERS.append(owned)
+    try:
+        yield
+    finally:
+        _OWNERS.remove(owned)
+        for path in owned:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from that table.
 
@@ -67,6 +89,8 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -411,3 +411,18 @@ def test_every_oracle_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_steps_are_dropped(spark, tmp_path):
+    import os
+
+    from parlance.session import settle, steps
+
+    with steps(spark):
+        table = settle(spark.range(5), "mine")
+        path = table.inputFiles()[0].removeprefix("file://")
+        table.write.parquet(str(tmp_path / "result"))
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and spark.read.parquet(str(tmp_path / "result")).count() == 5
+    kept = settle(spark.range(3), "kept")
+    assert kept.count() == 3
