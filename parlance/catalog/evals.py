@@ -10,6 +10,8 @@ from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
 from parlance.operators import intervals as iv
 from parlance.plans import evals as ev
+from parlance.session import shared_path
+from parlance.sources import evalfiles
 from parlance.sources.tables import given
 
 DAY = 24 * 3600.0
@@ -458,6 +460,26 @@ def spoken_languages(spark, d):
 SELECT '2024-01-0' || (1 + session_id % 9) || '-' || session_id AS "case", pos, round_even(start_s, 2) AS start_s, trim(text) AS text, speaker FROM segments""",
 )
 def case_drafts(spark, d):
+    drafts, refused = drafted(spark, d)
+    return drafts.unionByName(refused.limit(0), allowMissingColumns=True).select(
+        "case", "pos", F.col("start").alias("start_s"), "text", "speaker"
+    )
+
+
+@query(
+    "written_case_turns",
+    b.with_cte("segments")
+    + """
+SELECT '2024-01-0' || (1 + session_id % 9) || '-' || session_id AS "case", pos, round_even(start_s, 2) AS start_s, trim(text) AS text, speaker FROM segments""",
+)
+def written_case_turns(spark, d):
+    """Drafts as files and back."""
+    folder = shared_path(spark, "cases")
+    evalfiles.write_reference(drafted(spark, d)[0], folder)
+    return evalfiles.read_reference(spark, folder).select("case", "pos", F.col("start").alias("start_s"), "text", "speaker")
+
+
+def drafted(spark, d):
     rows = b.segments(spark, d)
     sessions = rows.select("session_id").distinct().select(
         "session_id",
@@ -465,7 +487,4 @@ def case_drafts(spark, d):
         F.lit("/audio/x.ogg").alias("audio_path"),
         F.lit("").alias("text"),
     )
-    drafts, refused = ev.case_drafts(sessions, rows)
-    return drafts.unionByName(refused.limit(0), allowMissingColumns=True).select(
-        "case", "pos", F.col("start").alias("start_s"), "text", "speaker"
-    )
+    return ev.case_drafts(sessions, rows)

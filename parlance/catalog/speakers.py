@@ -152,6 +152,39 @@ def linked_in_order(spark, d):
     return rows.select("user_id", "cluster_id", "speaker_id", "is_new", "mention_count")
 
 
+SQL_FROM_REGISTRY = SQL_ORDERED.replace(
+    "SELECT DISTINCT user_id, 0::BIGINT AS r, []::STRUCT(id BIGINT, n BIGINT, c DOUBLE[])[] AS known,",
+    "SELECT DISTINCT user_id, 0::BIGINT AS r, (SELECT list({'id': id, 'n': mention_count, 'c': embedding} ORDER BY id) FROM voices v WHERE v.user_id = items.user_id) AS known,",
+).replace("{'id': cluster_id, 'n': 1::BIGINT", "{'id': -cluster_id - 1, 'n': 1::BIGINT").replace("hit_at IS NULL THEN cluster_id ELSE", "hit_at IS NULL THEN -cluster_id - 1 ELSE")
+
+
+@query(
+    "linked_to_registry_in_order",
+    b.with_cte("clusters", "voices", recursive=True)
+    + ","
+    + SQL_FROM_REGISTRY
+    + " SELECT user_id, cluster_id, speaker_id, is_new, CAST(mention_count AS INTEGER) AS mention_count FROM fold WHERE r > 0",
+)
+def linked_to_registry_in_order(spark, d):
+    rows = sp.link_ordered(b.clusters(spark, d).withColumn("ord", F.col("cluster_id")), 0.2, b.voices(spark, d))
+    return rows.select("user_id", "cluster_id", "speaker_id", "is_new", "mention_count")
+
+
+@query(
+    "speakers_after_deleting",
+    b.with_cte("clusters", "voices")
+    + """
+SELECT 'speaker' AS part, id, '' AS speaker_id FROM voices WHERE id % 7 > 0
+UNION ALL SELECT 'segment', cluster_id, CASE WHEN (user_id * 100 + voice) % 7 > 0 THEN CAST(user_id * 100 + voice AS VARCHAR) ELSE '' END FROM clusters""",
+)
+def speakers_after_deleting(spark, d):
+    known = b.voices(spark, d)
+    segments = b.clusters(spark, d).select(F.col("cluster_id").alias("id"), (F.col("user_id") * 100 + F.col("voice")).alias("speaker_id"))
+    speakers, cleared = sp.without_speakers(known, segments, known.filter("id % 7 = 0").select("id"))
+    rows = speakers.select(F.lit("speaker").alias("part"), "id", F.lit("").alias("speaker_id"))
+    return rows.unionByName(cleared.select(F.lit("segment").alias("part"), "id", F.coalesce(F.col("speaker_id").cast("string"), F.lit("")).alias("speaker_id")))
+
+
 @query(
     "registry_after_ordered_linking",
     b.with_cte("clusters", recursive=True)

@@ -110,11 +110,14 @@ def text_evidence(pages: DataFrame, langs: list[str], model: np.ndarray, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
-            grams, first = trigram_buckets([t or "" for t in batch.column(len(keep)).to_pylist()])
-            sums = np.concatenate([np.zeros((len(table), 1)), np.cumsum(table[:, grams], axis=1, dtype=np.float64)], axis=1)
-            found = (sums[:, first[1:]] - sums[:, first[:-1]]).T / DEPENDENCE
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(list(found), pa.list_(pa.float64()))], names=[*keep, "likelihoods"])
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                grams, first = trigram_buckets([t or "" for t in batch.column(len(keep)).to_pylist()])
+                found = np.empty((batch.num_rows, len(table)))
+                for i, logs in enumerate(table):
+                    sums = np.concatenate([[0.0], np.cumsum(logs[grams], dtype=np.float64)])
+                    found[:, i] = (sums[first[1:]] - sums[first[:-1]]) / DEPENDENCE
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(list(found), pa.list_(pa.float64()))], names=[*keep, "likelihoods"])
 
     return texts.mapInArrow(run, out)
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import DataType, StringType
 
 from parlance.functions.text import string_or_null
 from parlance.functions.vectors import is_zero
+from parlance.operators.rows import without
 from parlance.operators.vectors import mean_vectors, nearest, similarity_components
 from parlance.plans.transcripts import PREVIEW_SECONDS, WEARER
 from parlance.session import parallelism
@@ -84,10 +85,16 @@ class Registry:
     """Known voices of one user while clusters are folded in order."""
 
     def __init__(self, known: list[dict]):
-        self.ids = [k["id"] for k in known]
-        self.counts = [int(k["mention_count"]) for k in known]
-        self.wearer = [bool(k["is_user"]) for k in known]
-        self.centroids = [np.asarray(k["embedding"], dtype="float64") for k in known]
+        self.ids, self.counts, self.wearer, self.centroids = [], [], [], []
+        for k in known:
+            self.know(k["id"], k["mention_count"], k["is_user"], k["embedding"])
+
+    def know(self, speaker_id, mention_count: int, is_user: bool, embedding) -> None:
+        """A voice that is known from the start."""
+        self.ids.append(speaker_id)
+        self.counts.append(int(mention_count))
+        self.wearer.append(bool(is_user))
+        self.centroids.append(np.asarray(embedding, dtype="float64"))
 
     def add(self, cluster_id, label: str, vector: np.ndarray, threshold: float) -> tuple:
         """Link one cluster; returns ``(speaker_id, is_new, mention_count, is_user, centroid)``."""
@@ -120,15 +127,30 @@ LINKED = (
 )
 
 
-def link_ordered(clusters: DataFrame, threshold: float = LINK_THRESHOLD) -> DataFrame:
+def link_ordered(clusters: DataFrame, threshold: float = LINK_THRESHOLD, speakers: DataFrame | None = None) -> DataFrame:
     """Link clusters one after another; each link moves the centroid that later ones see.
 
-    ``clusters``: ``user_id, ord, cluster_id, label, embedding``.  The order is part of the
-    result, so one user's clusters pass through one task; they stream through it sorted, and
-    only the user's voices are held.  Use ``link_frozen`` where that is too slow.
+    ``clusters``: ``user_id, ord, cluster_id, label, embedding``; ``speakers`` is the registry to start from (``user_id, id,
+    embedding, mention_count, is_user``). A new speaker has its first cluster's id, or beside a registry the ``minted_id`` of
+    it. The order is part of the result, so one user's clusters pass through one task; they stream through it sorted,
+    and only the user's voices are held.  Use ``link_frozen`` where that is too slow.
     """
     names = clusters.select("user_id", "cluster_id").dtypes
     schema = LINKED.format(user=names[0][1], cluster=names[1][1])
+    kind = clusters.schema["cluster_id"].dataType
+    ids = F.col("cluster_id") if speakers is None else minted_id(F.col("cluster_id"), kind)
+    rows = clusters.select(
+        "user_id", F.lit(1).alias("side"), "ord", "cluster_id", ids.alias("new_id"), "label", "embedding",
+        F.lit(0).cast("long").alias("mention_count"), F.lit(False).alias("is_user"),
+    )
+    if speakers is not None:
+        first = F.lit(None).cast(clusters.schema["ord"].dataType)
+        known = speakers.filter(F.col("embedding").isNotNull()).select(
+            "user_id", F.lit(0).alias("side"), first.alias("ord"), F.col("id").cast(kind).alias("cluster_id"), F.col("id").cast(kind).alias("new_id"),
+            F.lit(None).cast("string").alias("label"), F.col("embedding").cast(clusters.schema["embedding"].dataType).alias("embedding"),
+            F.col("mention_count").cast("long").alias("mention_count"), F.coalesce("is_user", F.lit(False)).alias("is_user"),
+        )
+        rows = known.unionByName(rows)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, registry = None, None
@@ -137,18 +159,20 @@ def link_ordered(clusters: DataFrame, threshold: float = LINK_THRESHOLD) -> Data
             for row in batch.itertuples(index=False):
                 if registry is None or row.user_id != user:
                     user, registry = row.user_id, Registry([])
-                vector = np.asarray(row.embedding, dtype="float64")
+                if row.side == 0:
+                    registry.know(row.new_id, row.mention_count, row.is_user, row.embedding)
+                    continue
+                vector = np.asarray(row.embedding if row.embedding is not None else [], dtype="float64")
                 if vector.any():
-                    out.append((user, row.cluster_id, *registry.add(row.cluster_id, row.label, vector, threshold)))
+                    out.append((user, row.cluster_id, *registry.add(row.new_id, row.label, vector, threshold)))
             yield pd.DataFrame(
                 out,
                 columns=["user_id", "cluster_id", "speaker_id", "is_new", "mention_count", "is_user", "centroid"],
             )
 
     ordered = (
-        clusters.select("user_id", "ord", "cluster_id", "label", "embedding")
-        .repartition(parallelism(clusters), "user_id")
-        .sortWithinPartitions("user_id", "ord", "cluster_id")
+        rows.repartition(parallelism(clusters), "user_id")
+        .sortWithinPartitions("user_id", "side", "ord", "cluster_id")
     )
     return ordered.mapInPandas(fold, schema)
 
@@ -252,3 +276,11 @@ def rewritten_segments(segments: DataFrame, mapping: DataFrame) -> DataFrame:
     return segments.join(to, "speaker_id", "left").withColumn("speaker_id", F.coalesce("__to", "speaker_id")).select(
         *segments.columns
     )
+
+
+def without_speakers(speakers: DataFrame, segments: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Speakers without those listed (``id``), and the segments with their links to them cleared; the labels stay."""
+    gone = ids.select(F.col("id").cast("string").alias("__gone")).distinct()
+    linked = segments.join(gone, F.col("speaker_id").cast("string") == F.col("__gone"), "left")
+    cleared = linked.withColumn("speaker_id", F.when(F.col("__gone").isNull(), F.col("speaker_id"))).select(*segments.columns)
+    return without(speakers, ids, "id"), cleared

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from parlance.functions.text import string_or_null
 
@@ -20,9 +19,12 @@ _CASE = r"([^/]+)/[^/]+$"
 
 def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Whole small files ``folder/<case>/name``: ``case, value``."""
-    try:
-        rows = spark.read.text(f"{folder}/*/{name}", wholetext=True)
-    except AnalysisException:  # no case has such a file
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.getFileStatus(place)  # a folder that is missing or closed to us is an error, not an empty suite
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/{name}"))
+    rows = spark.read.text(f"{folder}/*/{name}", wholetext=True) if len(found) else None
+    if rows is None:  # no case has such a file
         return spark.range(0).select(F.lit("").alias("case"), F.lit("").alias("value"))
     return rows.select(F.regexp_extract(F.input_file_name(), _CASE, 1).alias("case"), "value")
 
@@ -61,7 +63,13 @@ def write_reference(rows: DataFrame, folder: str) -> None:
     order = ["case", "start", "pos"]
     spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     reference_lines(spread).select("case", F.col("line").alias("value")).write.partitionBy("case").text(f"{folder}/reference")
-    spread.select("case", "start", "end", "speaker", "text").write.partitionBy("case").json(f"{folder}/turns")
+    spread.select("case", "pos", "start", "end", "speaker", "text").write.partitionBy("case").json(f"{folder}/turns")
+
+
+def read_reference(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_reference`` wrote: ``case, pos, start, end, speaker, text``, one row per turn."""
+    turns = "pos LONG, start DOUBLE, end DOUBLE, speaker STRING, text STRING"
+    return spark.read.schema(f"case STRING, {turns}").json(f"{folder}/turns").select("case", "pos", "start", "end", "speaker", "text")
 
 
 def with_meta(meta: Column, updates: Column) -> Column:

@@ -329,7 +329,10 @@ def test_reference_writer(spark, tmp_path):
     evalfiles.write_reference(rows, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in sorted((tmp_path / "out/reference/case=c").glob("part-*")))
     assert text == "one\ntwo\n"
-    assert spark.read.json(str(tmp_path / "out/turns")).count() == 3
+    back = evalfiles.read_reference(spark, str(tmp_path / "out")).select(*rows.columns)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+    with pytest.raises(Exception, match="(?i)not exist|no such file"):
+        evalfiles.load_cases(spark, str(tmp_path / "nowhere"))
 
 
 def test_digest_files(spark, tmp_path):
