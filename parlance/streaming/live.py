@@ -24,7 +24,7 @@ def given_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return (
         spark.readStream.schema(schemas.given_schema(name))
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(f"{folder}/{name}*.parquet")
+        .parquet(f"{folder}/{name}.parque[t]")  # a pattern, as file streams want one, that only this table meets
     )
 
 
@@ -84,11 +84,17 @@ def first_usable(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> Da
     return primary.unionByName(missing)
 
 
-def run_stage(stream: DataFrame, stage: str, work: Callable[[DataFrame], DataFrame], target: str, log: str):
-    """Run a stage on every micro-batch of arriving sessions; outcomes are appended to ``target``."""
+def run_stage(stream: DataFrame, stage: str, work: Callable[[DataFrame], DataFrame], target: str, log: str, dead: str | None = None):
+    """Run a stage on every micro-batch of arriving sessions; outcomes are appended to ``target``.
+
+    Dead letters (``id, status, error_msg``) are appended to ``dead``, ``<target>-dead`` where it is not given. A repeated
+    batch replaces what it wrote before.
+    """
+    letters = dead or f"{target}-dead"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        advanced, _ = stage_step(stage, batch, work)
+        advanced, failed = stage_step(stage, batch, work)
+        failed.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{letters}/batch={batch_id}")
         advanced.filter(F.col("status") != STAGES[stage]).withColumn("batch", F.lit(batch_id)).write.mode(
             "overwrite"
         ).parquet(f"{target}/batch={batch_id}")

@@ -404,6 +404,7 @@ def test_stage_stream(spark, tmp_path):
     live.run_stage(stream, "stt", work, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
     got = {r.id: r.status for r in spark.read.parquet(str(tmp_path / "out")).filter("id % 2 = 0").collect()}
     assert got == {0: "pending_llm", 2: "pending_llm", 4: "failed", 6: "pending_llm", 8: "pending_llm"}
+    assert [(r.id, r.error_msg) for r in spark.read.parquet(str(tmp_path / "out-dead")).collect()] == [(4, "boom")]
 
 
 def test_shared_folder_is_the_sessions(spark):
