@@ -34,7 +34,7 @@ SYMBOLS = 64
 #: Labelled rows of each class that the rules are learned from, at most: the first by a hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 18_000
 PREFIXES = (4, 5, 6, 7)
-PRECISE = 0.9
+PRECISE, WORTH = 0.9, 0.75
 #: Decoded words that a task remembers; beyond it, it forgets them all and starts again.
 REMEMBERED = 200_000
 
@@ -330,7 +330,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     surprise = math.log(max(2, sums.count())) + 2
     least = 2
     usable = sums.withColumn("precision", odds).filter((F.col("toxic") > expected) & (chance <= -surprise) & (F.col("precision") >= PRECISE))
-    usable = usable.orderBy(F.desc(F.col("toxic") * F.pow("precision", F.lit(8.0))), "mark").toArrow()
+    usable = usable.orderBy(F.desc(F.col("toxic") * F.pow("precision", F.lit(30.0))), "mark").toArrow()
     marks = usable.column("mark").to_numpy().view(np.uint64)
     precision = usable.column("precision").to_numpy()
     toxic = [np.frombuffer(x, dtype=np.uint64) for x in rows.filter("toxic = 1").orderBy("doc_id").toArrow().column("marks").to_pylist()]
@@ -339,10 +339,13 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     for number, own in enumerate(toxic):
         for k in np.flatnonzero(np.isin(marks[by_mark], own)) if len(marks) else ():
             members[by_mark[k]].append(number)
+    # a rule must be worth it for the rows that it alone explains, against all clean rows that it meets
+    against = (usable.column("clean").to_numpy() + 0.05) / total[0] * (1 - share)
     explained, chosen = np.zeros(len(toxic), dtype=bool), []
     for k, rows_of in enumerate(members):
         fresh = [n for n in rows_of if not explained[n]]
-        if len(fresh) >= least:
+        gain = len(fresh) / total[1] * share
+        if len(fresh) >= least and gain / (gain + against[k]) >= WORTH:
             explained[fresh] = True
             chosen.append(k)
     chosen = np.array(chosen, dtype=np.int64)
