@@ -71,14 +71,27 @@ def steps(spark: SparkSession) -> Iterator[None]:
     Write the job's result inside the block, outside the shared folder's tables: what is read later must not need them.
     """
     owned: list[str] = []
+    try:
+        with settled_in(owned):
+            yield
+    finally:
+        drop_tables(spark, owned)
+
+
+@contextmanager
+def settled_in(owned: list[str]) -> Iterator[None]:
+    """Note the tables that steps inside the block settle in ``owned``."""
     _OWNERS.append(owned)
     try:
         yield
     finally:
-        _OWNERS.remove(owned)
-        for path in owned:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _OWNERS[:] = [o for o in _OWNERS if o is not owned]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
