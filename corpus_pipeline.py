@@ -1,21 +1,43 @@
 """A corpus pipeline of five stages over ``documents``: toxicity, near-dedup, decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame; all but the last keep the
-columns of its input. ``run`` writes each stage as Parquet in the shared folder and reads it again for the next one.
+columns of its input. A stage's result has to be written before the next stage is called: that one drops the tables that the one
+before has settled. ``run`` writes each stage as Parquet in the shared folder and reads it again for the next one.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from parlance.session import settle
+from parlance.session import drop_tables, settle, settled_in
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Documents that score this or more are rejected.
 TOXIC = 0.5
 
+_settled: list[str] = []
+
+
+def stage(work: Stage) -> Stage:
+    """A stage that first drops what the stage before it has settled: that one's result is written by now."""
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _settled)
+        _settled.clear()
+        with settled_in(_settled):
+            return work(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below ``TOXIC``; the labels teach the rules and decide nothing else."""
     scored = toxicity.scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,6 +46,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("toxic_id")) & (F.xxhash64("text") == F.col("toxic_hash")), "left_anti")
 
 
+@stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
 
@@ -42,16 +65,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return kept.join(repeated, same, "left_anti").unionByName(once)
 
 
+@stage
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target weight (size to the power of a half), shuffled."""
     return mixing.mixed(docs, exponent=0.5, epochs=1.0, seed=17).drop("mix_copy", "mix_order")
 
 
+@stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files with their index; per stored document what is read back: copies of a document follow each other."""
     import public_tokenizers
@@ -75,6 +101,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, work in STAGES:
+        docs = settle(work(spark, docs, sf_dir), f"stage-{name}")
     return docs

@@ -6,7 +6,8 @@
    for the letters it is used for, for nothing (a separator) or for a repetition of the letter before. Viterbi
    decoding takes the path that channel costs and character model make likeliest. Other words have one path.
 3. Features of a restored word are the word and its first 4 to 7 bytes. From labelled rows a rule list is learned:
-   features that are precise for label 1, the wide and precise ones first, taken greedily while they explain rows that no earlier one explains. A
+   features that are precise for label 1: all that are wide and sure, and others, the widest first, while they explain rows that no earlier one
+   explains. A
    document's score is the noisy-or of its rules' precisions.
 
 Cases: a null or blank text scores the rate of toxic rows that no rule explains; labels without a value or id
@@ -35,6 +36,8 @@ SYMBOLS = 64
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 18_000
 PREFIXES = (4, 5, 6, 7)
 PRECISE, WORTH = 0.9, 0.75
+#: A feature of this share of the toxic rows and this precision is a rule whatever else explains its rows.
+WIDE, SURE = 0.03, 0.98
 #: Decoded words that a task remembers; beyond it, it forgets them all and starts again.
 REMEMBERED = 200_000
 
@@ -286,7 +289,8 @@ def training_sample(labels: DataFrame, toxic_rows: int, clean_rows: int, folds:
 def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_rows: int, clean_rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes with their precisions, and the score of a text without any of them.
 
-    The rows are a bounded sample, so its features fit the driver.
+    The rows are a bounded sample: their ids are broadcast, and their features fit the driver. Of rows of a class with the same
+    four lowest feature hashes (copies, near copies mostly) one is learned from.
     """
     spark = docs.sparkSession
     sample = settle(training_sample(labels, toxic_rows, clean_rows), "toxic-sample")
@@ -300,8 +304,10 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
                 lists = [x.tobytes() for x in row_features(batch.column(1), decoder)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.binary())], names=["doc_id", "toxic", "marks"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    rows = settle(texts.mapInArrow(gather, "doc_id long, toxic int, marks binary"), "toxic-features")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    gathered = texts.mapInArrow(gather, "doc_id long, toxic int, marks binary").withColumn("low", F.substring("marks", 1, 32))
+    one = gathered.groupBy("toxic", "low").agg(F.min_by(F.struct("doc_id", "marks"), "doc_id").alias("row"))
+    rows = settle(one.select("toxic", "row.doc_id", "row.marks"), "toxic-features")
     counts = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     total = {r["toxic"]: r["n"] for r in counts}
     share = shares.get(1, 0) / max(1, sum(shares.values()))
@@ -339,13 +345,14 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     for number, own in enumerate(toxic):
         for k in np.flatnonzero(np.isin(marks[by_mark], own)) if len(marks) else ():
             members[by_mark[k]].append(number)
-    # a rule must be worth it for the rows that it alone explains, against all clean rows that it meets
+    # a rule is wide and sure, or worth it for the rows that it alone explains, against all clean rows that it meets
     against = (usable.column("clean").to_numpy() + 0.05) / total[0] * (1 - share)
     explained, chosen = np.zeros(len(toxic), dtype=bool), []
     for k, rows_of in enumerate(members):
         fresh = [n for n in rows_of if not explained[n]]
         gain = len(fresh) / total[1] * share
-        if len(fresh) >= least and gain / (gain + against[k]) >= WORTH:
+        wide = len(rows_of) >= max(5, WIDE * total[1]) and precision[k] >= SURE
+        if wide or (len(fresh) >= least and gain / (gain + against[k]) >= WORTH):
             explained[fresh] = True
             chosen.append(k)
     chosen = np.array(chosen, dtype=np.int64)
