@@ -225,7 +225,7 @@ def model_messages(spark, d):
     sessions = rows.select("session_id").distinct().select(
         "session_id", b.at("2024-01-01 00:00:00").alias("started_at"), F.lit("").alias("text")
     )
-    return ex.messages(sessions, tr.rendered(rows), "Extract.")
+    return ex.messages(sessions, tr.rendered_parts(rows), "Extract.").drop("part")
 
 
 @query(

@@ -154,14 +154,20 @@ def chat_answers(responses: DataFrame) -> DataFrame:
     )
 
 
-def messages(sessions: DataFrame, rendered: DataFrame, system: str, zone: str = "UTC") -> DataFrame:
-    """Message rows per session: ``session_id, nth, role, content``.
+def messages(sessions: DataFrame, rendered: DataFrame, system: str, zone: str = "UTC", budget: int = RENDER_BUDGET) -> DataFrame:
+    """Message rows per session and part: ``session_id, part, nth, role, content``.
 
-    ``sessions``: ``session_id, started_at, text``; ``rendered``: ``session_id, body``.
-    Without a rendered body the plain text is used, up to the same budget.
+    ``sessions``: ``session_id, started_at, text``; ``rendered``: ``session_id, body`` and, of ``rendered_parts``, ``part``.
+    Without a rendered body the plain text is used, in parts of ``budget`` characters.
     """
-    joined = sessions.join(rendered.select("session_id", "body"), "session_id", "left")
-    body = F.coalesce(F.nullif(F.col("body"), F.lit("")), cap(F.coalesce("text", F.lit("")), RENDER_BUDGET))
+    part = F.col("part") if "part" in rendered.columns else F.lit(0).alias("part")
+    bodies = rendered.filter(F.col("body") != "").select("session_id", part, "body")
+    text = F.coalesce("text", F.lit(""))
+    count = F.greatest(F.lit(1), F.ceil(F.length(text) / F.lit(budget))).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * budget + 1, F.lit(budget)))
+    plain = sessions.join(bodies.select("session_id").distinct(), "session_id", "left_anti").select("session_id", F.posexplode(pieces).alias("part", "body"))
+    joined = sessions.select("session_id", "started_at").join(bodies.unionByName(plain), "session_id")
+    body = F.col("body")
     user = F.concat(
         F.lit("Date: "), F.date_format(F.from_utc_timestamp("started_at", zone), "yyyy-MM-dd HH:mm"),
         F.lit(f" ({zone}).\n\nTranscript:\n"), body, F.lit("\n"),
@@ -170,7 +176,7 @@ def messages(sessions: DataFrame, rendered: DataFrame, system: str, zone: str =
         F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")),
     )
-    return joined.select("session_id", F.posexplode(pair).alias("nth", "m")).select("session_id", "nth", "m.*")
+    return joined.select("session_id", "part", F.posexplode(pair).alias("nth", "m")).select("session_id", "part", "nth", "m.*")
 
 
 def through_model(

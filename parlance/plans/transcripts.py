@@ -115,8 +115,8 @@ def label_order(segments: DataFrame) -> DataFrame:
     return labelled.groupBy("session_id", "speaker").agg(F.min("pos").alias("first_pos"))
 
 
-def rendered(segments: DataFrame, budget: int = RENDER_BUDGET) -> DataFrame:
-    """``[mm:ss] [SPEAKER] text`` lines per session, up to ``budget`` characters."""
+def _running_lines(segments: DataFrame) -> DataFrame:
+    """``session_id, pos, line, used``: ``[mm:ss] [SPEAKER] text`` and the characters up to and with it."""
     text = strip(F.coalesce("text", F.lit("")))
     start = F.coalesce("start", F.lit(0.0))
     who = F.when(
@@ -126,13 +126,29 @@ def rendered(segments: DataFrame, budget: int = RENDER_BUDGET) -> DataFrame:
         "[%02d:%02d] ", F.floor(start / 60).cast("long"), F.floor(F.pmod(start, F.lit(60.0))).cast("long")
     )
     lines = segments.filter(text != "").select("session_id", "pos", F.concat(clock, who, text).alias("line"))
-    running = prefix_scan(
+    return prefix_scan(
         lines,
         ["session_id"],
         position_chunk(),
         ["pos"],
         {"used": Scan("sum", F.length("line") + 1)},
     )
+
+
+def rendered_parts(segments: DataFrame, budget: int = RENDER_BUDGET) -> DataFrame:
+    """All lines in successive parts per session: ``session_id, part, body``.
+
+    A line belongs to the part that its first character falls into, so a part exceeds ``budget`` by less than a line.
+    """
+    lines = _running_lines(segments)
+    part = F.floor((F.col("used") - F.length("line") - 1) / F.lit(budget)).cast("int")
+    grouped = lines.groupBy("session_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("kept"))
+    return grouped.select("session_id", "part", F.array_join(F.transform("kept", lambda r: r["line"]), "\n").alias("body"))
+
+
+def rendered(segments: DataFrame, budget: int = RENDER_BUDGET) -> DataFrame:
+    """The lines of each session up to ``budget`` characters; what is cut off is said. ``rendered_parts`` loses nothing."""
+    running = _running_lines(segments)
     # At most ``budget`` characters of lines are gathered for one session.
     fits = F.col("used") <= budget
     kept = F.array_sort(F.collect_list(F.when(fits, F.struct("pos", "line"))))

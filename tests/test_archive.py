@@ -430,3 +430,14 @@ def test_steps_are_dropped(spark, tmp_path):
     assert not os.path.exists(path) and spark.read.parquet(str(tmp_path / "result")).count() == 5
     kept = settle(spark.range(3), "kept")
     assert kept.count() == 3
+
+
+def test_messages_lose_nothing(spark):
+    rows = segments(spark, *[(float(i), i + 1.0, f"line {i} " + "x" * 20, "USER") for i in range(40)])
+    parts = tr.rendered_parts(rows, budget=200).orderBy("part").collect()
+    assert "\n".join(r.body for r in parts) == tr.rendered(rows).first().body and len(parts) > 3
+    assert all(len(r.body) < 200 + 50 for r in parts)
+    sessions = spark.sql("SELECT 'a' AS session_id, TIMESTAMP '2024-01-01' AS started_at, '' AS text UNION ALL SELECT 'b', TIMESTAMP '2024-01-01', repeat('y', 450)")
+    got = ex.messages(sessions, tr.rendered_parts(rows, 200), "s", budget=200).filter("role = 'user'").collect()
+    assert sorted((r.session_id, r.part) for r in got) == [("a", p.part) for p in parts] + [("b", 0), ("b", 1), ("b", 2)]
+    assert sum(r.content.count("y") for r in got if r.session_id == "b") == 450
