@@ -39,10 +39,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, expon
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "named string, weight double")
         sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("named")), "left").select("source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    totals = sizes.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
-    share = F.try_divide("weight", "all_weight")
-    # one row of totals meets one row per source
-    return sizes.join(totals, F.lit(True)).select("source", F.coalesce(share * F.lit(float(epochs)) * F.col("all_size") / F.col("size"), F.lit(0.0)).alias("rate"))
+    sizes = settle(sizes, "mix-sizes")  # a row per source
+    all_weight, all_size = sizes.agg(F.sum("weight"), F.sum("size")).first()
+    share = F.try_divide(F.col("weight"), F.lit(all_weight or 0.0))
+    return sizes.select("source", F.coalesce(share * F.lit(float(epochs)) * F.lit(all_size or 0.0) / F.col("size"), F.lit(0.0)).alias("rate"))
 
 
 def _distribution(mean: Column) -> Column:
