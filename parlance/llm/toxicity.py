@@ -316,7 +316,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
         return none
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             label = batch.column(0).to_numpy()
             lists = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
             for value in (0, 1):
