@@ -1,10 +1,14 @@
 """Toxicity of deobfuscated text: a noisy channel over character lattices, then a learned rule list.
 
 1. A character trigram model is counted over all documents.
-2. A word that may be disguised (digits or signs between letters, dots or dashes inside, a letter three times
-   in a row, or single letters with blanks between them) becomes a lattice: each character stands for itself,
-   for the letters it is used for, for nothing (a separator) or for a repetition of the letter before. Viterbi
+2. A word that may be disguised (it holds a key of ``STANDS_FOR`` or ``SEPARATORS`` or a letter twice in a row, or it is
+   one of a run of one-character words, with separators between them or not) becomes a lattice: each character stands
+   for itself, for the letters it is used for, for nothing (a separator) or for a repetition of the letter before. Viterbi
    decoding takes the path that channel costs and character model make likeliest. Other words have one path.
+   A word whose only oddity is a doubled letter is also read as it stands. Where signs at a word's end may be letters
+   ("!diot") the word is read with and without them; a run of single letters
+   is read as one word, without up to two letters at either end ("a s t u p i d"), and with word borders that Viterbi
+   places. A word or run counts once, by its strongest reading.
 3. Features of a restored word are the word and its first 4 to 7 bytes. From labelled rows a rule list is learned:
    features that are precise for label 1: all that are wide and sure, and others, the widest first, while they explain rows that no earlier one
    explains. A
@@ -21,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -47,16 +52,27 @@ STANDS_FOR = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s",
 }
 SEPARATORS = ".-_*'·,~^/\\:"
+PUNCTUATION = "!(¡"  # keys of STANDS_FOR that often stand beside a word as signs
 
 SWAP, DROP, KEEP = 1.0, 0.5, 9.0  # channel costs
 DOUBLED, REPEATED = 6.0, 0.7  # of leaving out a letter from a pair, and from a longer run
+#: A run of single letters is also read without up to so many at either end: they may be words of their own.
+ENDS = 2
 
 _EDGE = np.zeros(256, dtype=bool)  # signs that end a word and are no part of it
 _EDGE[[ord(c) for c in "\"'()[]{}<>.,;:?!*&%#~^=/\\-_`"]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-_SIGN = np.zeros(256, dtype=bool)
-_SIGN[[ord(c) for c in "0123456789@$!|+(" + ".-_*',~^/\\:"]] = True
+
+
+def _marked(signs: str) -> np.ndarray:
+    flags = np.zeros(256, dtype=bool)
+    flags[[ord(c) for c in signs if c.isascii()]] = True
+    return flags
+
+
+_STANDS, _SEPARATES, _SOFT = _marked("".join(STANDS_FOR)), _marked(SEPARATORS), _marked("".join(c for c in STANDS_FOR if not c.isdigit()))
+_WIDE = [(c, c.encode()) for c in (*STANDS_FOR, *SEPARATORS) if not c.isascii()]
 
 
 @lru_cache(maxsize=1)
@@ -121,9 +137,14 @@ class Decoder:
 
     def __init__(self, model: np.ndarray):
         self.flat = model.reshape(-1).tolist()
-        self.known: dict[str, str] = {}
+        self.known: dict[str, tuple[str, float]] = {}
+        self.known_runs: dict[str, tuple[str, ...]] = {}
 
     def restore(self, word: str) -> str:
+        return self.judged(word)[0]
+
+    def judged(self, word: str) -> tuple[str, float]:
+        """The decoded word and its cost."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) >= REMEMBERED:
@@ -131,11 +152,46 @@ class Decoder:
             found = self.known[word] = self._decode(word)
         return found
 
+    def readings(self, run: str) -> tuple[str, ...]:
+        """What a run of single characters may say: words between likely borders, and one word, the run's ends in it or not."""
+        found = self.known_runs.get(run)
+        if found is None:
+            if len(self.known_runs) >= REMEMBERED // 10:
+                self.known_runs.clear()
+            whole = [run[a : len(run) - b] for a in range(ENDS + 1) for b in range(ENDS + 1) if len(run) - a - b > 1]
+            found = self.known_runs[run] = tuple(dict.fromkeys([*self.split(run), *map(self.restore, whole)]))
+        return found
+
+    def split(self, run: str) -> list[str]:
+        """The run as words, their borders placed by Viterbi decoding."""
+        flat = self.flat
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for char in run.lower():
+            letters, swap = STANDS_FOR.get(char) or char, SWAP if char in STANDS_FOR else 0.0
+            for (two, one), (cost, path) in list(states.items()):
+                border = cost - flat[(two * SYMBOLS + one) * SYMBOLS]
+                if one and ((0, 0) not in states or border < states[0, 0][0]):
+                    states[0, 0] = (border, (path, " "))
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (two, one), (cost, path) in states.items():
+                for letter in letters:
+                    code = symbol(letter)
+                    total = cost + swap - flat[(two * SYMBOLS + one) * SYMBOLS + code]
+                    if (one, code) not in after or total < after[one, code][0]:
+                        after[one, code] = (total, (path, letter))
+            states = after
+        _, path = min(((cost - flat[(two * SYMBOLS + one) * SYMBOLS], path) for (two, one), (cost, path) in states.items()), key=lambda x: x[0])
+        out = []
+        while path:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out)).split()
+
     @staticmethod
     def _run_lengths(word: str) -> list[int]:
         return [len(run[0]) for run in re.finditer(r"(.)\1*", word, flags=re.S) for _ in run[0]]
 
-    def _decode(self, word: str) -> str:
+    def _decode(self, word: str) -> tuple[str, float]:
         flat = self.flat
         word = re.sub(r"(.)\1{3,}", r"\1\1\1", word.lower(), flags=re.S)
         # state: the last two symbols and the last letter; value: cost and the letters so far
@@ -161,82 +217,173 @@ class Decoder:
                 elif char not in letters:
                     offer((0, 0, ""), cost + KEEP, text + char)
             states = after
-        best = min((cost - flat[(two * SYMBOLS + one) * SYMBOLS] if one else cost, text) for (two, one, _), (cost, text) in states.items())
-        return best[1]
+        cost, text = min((cost - flat[(two * SYMBOLS + one) * SYMBOLS] if one else cost, text) for (two, one, _), (cost, text) in states.items())
+        return text, cost
 
 
-def trimmed(found: W.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of words without the signs at their ends."""
-    start, end, raw = found.start.copy(), found.end.copy(), found.raw
+def _trimmed(start: np.ndarray, end: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words without the marked bytes at their ends."""
+    start, end = start.copy(), end.copy()
     for moving, step in ((start, 1), (end, -1)):
         rows = np.arange(len(start))
         while len(rows):
             rows = rows[start[rows] < end[rows]]
             at = start[rows] if step == 1 else end[rows] - 1
-            rows = rows[_EDGE[raw[at]]]
+            rows = rows[edge[at]]
             moving[rows] += step
     return start, end
 
 
+def _widened(start: np.ndarray, end: np.ndarray, least: np.ndarray, most: np.ndarray, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends with the marked bytes beside them, within ``least`` and ``most``."""
+    start, end = start.copy(), end.copy()
+    rows = np.arange(len(start))
+    while len(rows):
+        rows = rows[start[rows] > least[rows]]
+        rows = rows[taken[start[rows] - 1]]
+        start[rows] -= 1
+    rows = np.arange(len(end))
+    while len(rows):
+        rows = rows[end[rows] < most[rows]]
+        rows = rows[taken[end[rows]]]
+        end[rows] += 1
+    return start, end
+
+
 def _counted(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
     return total[end] - total[start]
 
 
-def disguised(raw: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which words need decoding, and the first and last word of each run of three or more single letters of a row."""
-    letters, signs = _counted(_LETTER[raw], start, end), _counted(_SIGN[raw], start, end)
-    same = np.zeros(len(raw), dtype=bool)
-    if len(raw) > 2:
-        same[:-2] = (raw[:-2] == raw[1:-1]) & (raw[1:-1] == raw[2:]) & _LETTER[raw[:-2]]
-    thrice = _counted(same, start, np.maximum(start, end - 2)) > 0
-    length = end - start
-    single = (length == 1) & (letters + signs > 0)
-    joined = np.concatenate([[False], single[1:] & single[:-1] & (row[1:] == row[:-1]), [False]])
-    first = np.flatnonzero(~joined[:-1] & joined[1:]) if len(single) else np.zeros(0, dtype=np.int64)
-    last = np.flatnonzero(joined[:-1] & ~joined[1:]) if len(single) else first
-    long = last - first >= 2
-    return (letters > 0) & (length > 1) & ((signs > 0) | thrice), first[long], last[long]
-
-
-def restored_words(column: pa.Array, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, starts, ends and rows of all words after decoding; words keep no order within a row."""
+def _letter_at(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the characters of so many bytes at these places have a symbol."""
+    out = np.zeros(len(at), dtype=bool)
+    for k in np.flatnonzero(size > 0):
+        out[k] = symbol(raw[at[k] : at[k] + size[k]].tobytes().decode(errors="replace")[0]) > 0
+    return out
+
+
+@dataclass
+class Gate:
+    """Which words get a lattice, by the tables of the channel, and which stand together as runs of single characters."""
+
+    start: np.ndarray  # without signs that end a word
+    end: np.ndarray
+    outer_start: np.ndarray  # with signs beside it that may be letters
+    outer_end: np.ndarray
+    noisy: np.ndarray  # the word without these signs needs decoding
+    doubled: np.ndarray  # for its doubled letters only: it may also be plain
+    runs: list[np.ndarray]  # members of runs of three or more one-character words of a row, the separators between left out
+    inside: np.ndarray  # words of a run, the separators between included
+
+
+def gated(found: W.Words, row: np.ndarray) -> Gate:
+    raw = found.raw
+    begins = (raw & 0xC0) != 0x80
+    letter, stands, separates, soft = _LETTER[raw] & begins, _STANDS[raw], _SEPARATES[raw], _SOFT[raw]
+    edge = _EDGE[raw] | soft
+    for char, code in _WIDE:
+        at = np.flatnonzero(raw[: max(0, len(raw) - len(code) + 1)] == code[0])
+        for k in range(1, len(code)):
+            at = at[raw[at + k] == code[k]]
+        letter[at] = False
+        (stands if char in STANDS_FOR else separates)[at] = True
+        for k in range(len(code)):
+            edge[at + k] = True
+            soft[at + k] = char in STANDS_FOR
+    low, twice = W._LOWER[raw], np.zeros(len(raw), dtype=bool)  # the second of two equal letters
+    for size in (1, 2, 3, 4):
+        lead = (raw < 0x80) if size == 1 else (raw >> (7 - size)) == (1 << (size + 1)) - 2
+        at = np.flatnonzero((lead & letter)[: max(0, len(raw) - 2 * size + 1)])
+        for k in range(size):
+            at = at[low[at + k] == low[at + size + k]]
+        twice[at + size] = True
+    plain_start, plain_end = _trimmed(found.start, found.end, _EDGE[raw])
+    start, end = _trimmed(found.start, found.end, edge)
+    letters = _counted(letter, start, end)
+    bare = letters == 0  # numbers and signs: read as they stand
+    size = _counted(begins, start, end)
+    signs = _counted(stands | separates, start, end) > 0
+    noisy = ~bare & (size > 1) & (signs | (_counted(twice, np.minimum(start + 1, end), end) > 0))
+    # one-character words: a letter or digit, or a sign alone that may be a letter
+    whole = _counted(begins, found.start, found.end)
+    sign = (size == 0) & (whole == 1) & (_counted(stands, found.start, found.end) == 1)
+    single = (size == 1) & (_counted(stands | letter, start, end) > 0)
+    wide = np.flatnonzero(single & (end - start > 1))
+    single[wide] = _letter_at(raw, start[wide], end[wide] - start[wide])
+    single |= sign
+    between = ~single & (whole > 0) & (_counted(separates, found.start, found.end) == whole)
+    read = np.flatnonzero(~between)
+    one = single[read]
+    joined = np.concatenate([[False], one[1:] & one[:-1] & (row[read][1:] == row[read][:-1]), [False]]) if len(read) else np.zeros(1, dtype=bool)
+    first, last = np.flatnonzero(~joined[:-1] & joined[1:]), np.flatnonzero(joined[:-1] & ~joined[1:])
+    runs = [read[a : b + 1] for a, b in zip(first.tolist(), last.tolist()) if b - a >= 2]
+    inside = np.zeros(len(start), dtype=bool)
+    for members in runs:
+        inside[members[0] : members[-1] + 1] = True
+    outer_start, outer_end = _widened(start, end, found.start, found.end, soft)
+    start, end = np.where(bare, plain_start, start), np.where(bare, plain_end, end)
+    start, end = np.where(sign, found.start, start), np.where(sign, found.end, end)
+    outer_start, outer_end = np.where(bare, start, outer_start), np.where(bare, end, outer_end)
+    return Gate(start, end, outer_start, outer_end, noisy, noisy & ~signs, runs, inside)
+
+
+def restored_words(column: pa.Array, decoder: Decoder) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, starts, ends, rows and word numbers of all readings of all words after decoding; they keep no order within a row."""
     found = W.words_of(column, lower=True)
-    start, end = trimmed(found)
     row = np.repeat(np.arange(len(column)), np.diff(found.first))
-    noisy, first, last = disguised(found.raw, start, end, row)
-    plain = ~noisy & (end > start)
-    spans = [(int(start[i]), int(end[i]), int(row[i])) for i in np.flatnonzero(noisy)]
-    texts = [found.raw[a:b].tobytes().decode(errors="replace") for a, b, _ in spans]
-    for a, b in zip(first.tolist(), last.tolist()):
-        plain[a : b + 1] = False
-        texts.append(found.raw[start[a : b + 1]].tobytes().decode(errors="replace"))
-        spans.append((0, 0, int(row[a])))
+    gate = gated(found, row)
+    alone = ~gate.inside & (gate.end > gate.start)
+    at = np.flatnonzero(alone & (~gate.noisy | gate.doubled))
+    before, behind = alone & (gate.outer_start < gate.start), alone & (gate.outer_end > gate.end)
+    numbers, texts = [], []
+    for which, starts, ends in (
+        (alone & gate.noisy, gate.start, gate.end),
+        (before, gate.outer_start, gate.end),
+        (behind, gate.start, gate.outer_end),
+        (before & behind, gate.outer_start, gate.outer_end),
+    ):
+        picked = np.flatnonzero(which)
+        numbers += picked.tolist()
+        texts += [found.raw[a:b].tobytes().decode(errors="replace") for a, b in zip(starts[picked].tolist(), ends[picked].tolist())]
     decoded = [decoder.restore(t).encode() for t in texts]
+    for members in gate.runs:
+        readings = decoder.readings(b"".join(found.raw[gate.start[i] : gate.end[i]].tobytes() for i in members).decode(errors="replace"))
+        decoded += [r.encode() for r in readings]
+        numbers += [int(members[0])] * len(readings)
     size = np.fromiter(map(len, decoded), dtype=np.int64, count=len(decoded))
     extra = len(found.raw) + np.cumsum(size) - size
     raw = np.concatenate([found.raw, np.frombuffer(b"".join(decoded), dtype=np.uint8)])
-    at = np.flatnonzero(plain)
-    rows = np.array([r for _, _, r in spans], dtype=np.int64)
-    return raw, np.concatenate([start[at], extra]), np.concatenate([end[at], extra + size]), np.concatenate([row[at], rows])
+    number = np.concatenate([at, np.array(numbers, dtype=np.int64)])
+    return raw, np.concatenate([gate.start[at], extra]), np.concatenate([gate.end[at], extra + size]), row[number], number
+
+
+def _weighed(decoder: Decoder, before: str, word: str, behind: str) -> tuple[float, str]:
+    """Cost per symbol of a word whose signs at the ends stay signs, and the decoded word; punctuation stays for nothing."""
+    text, cost = decoder.judged(word)
+    kept = sum(c not in PUNCTUATION for c in before + behind)
+    return (cost + KEEP * kept) / (len(text) + 1 + kept), text
 
 
 def restore_text(text: str, decoder: Decoder) -> str:
-    """A text with its disguised words decoded; white space becomes one blank."""
-    column = pa.array([text])
-    found = W.words_of(column, lower=False)
-    start, end = trimmed(found)
-    noisy, first, last = disguised(found.raw, start, end, np.zeros(len(start), dtype=np.int64))
-    joined = dict(zip(first.tolist(), last.tolist()))
+    """A text with its disguised words decoded, each by its likeliest reading; white space becomes one blank."""
+    found = W.words_of(pa.array([text]), lower=False)
+    gate = gated(found, np.zeros(len(found.start), dtype=np.int64))
+    runs = {int(members[0]): members for members in gate.runs}
+    piece = lambda a, b: found.raw[a:b].tobytes().decode()
     out, i = [], 0
-    while i < len(start):
-        piece = lambda a, b: found.raw[a:b].tobytes().decode()
-        if i in joined:
-            out.append(decoder.restore("".join(piece(a, b) for a, b in zip(start[i : joined[i] + 1], end[i : joined[i] + 1]))))
-            i = joined[i] + 1
+    while i < len(gate.start):
+        if i in runs:
+            out += decoder.split("".join(piece(gate.start[k], gate.end[k]) for k in runs[i]))
+            i = int(runs[i][-1]) + 1
             continue
-        inside = piece(start[i], end[i])
-        out.append(piece(found.start[i], start[i]) + (decoder.restore(inside) if noisy[i] else inside) + piece(end[i], found.end[i]))
+        start, end = gate.start[i], gate.end[i]
+        spans = {(a, b) for a in (start, gate.outer_start[i]) for b in (end, gate.outer_end[i])}
+        inside = piece(start, end)
+        if len(spans) > 1 or gate.noisy[i]:
+            _, said, start, end = min(_weighed(decoder, piece(gate.outer_start[i], a), piece(a, b), piece(b, gate.outer_end[i])) + (a, b) for a, b in spans)
+            inside = said if gate.noisy[i] or (start, end) != (gate.start[i], gate.end[i]) else inside
+        out.append(piece(found.start[i], start) + inside + piece(end, found.end[i]))
         i += 1
     return " ".join(out)
 
@@ -268,7 +415,7 @@ def word_features(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def row_features(column: pa.Array, decoder: Decoder) -> Iterator[np.ndarray]:
     """Distinct feature hashes of each row."""
-    raw, start, end, row = restored_words(column, decoder)
+    raw, start, end, row, _ = restored_words(column, decoder)
     marks = word_features(raw, start, end)
     order = np.argsort(row, kind="stable")
     marks, row = marks[order], row[order]
@@ -375,13 +522,15 @@ def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cle
         decoder = Decoder(model)
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                raw, start, end, row = restored_words(batch.column(3), decoder)
+                raw, start, end, row, number = restored_words(batch.column(3), decoder)
                 doubt = np.zeros(batch.num_rows)
                 if len(known) and len(row):
                     marks = word_features(raw, start, end)
                     spot = np.minimum(np.searchsorted(known, marks), len(known) - 1)
-                    strength = np.where(known[spot] == marks, precision[spot], 0.0).max(axis=1)  # a word counts once
+                    strength = np.where(known[spot] == marks, precision[spot], 0.0).max(axis=1)
                     hit = np.flatnonzero(strength)
+                    hit = hit[np.lexsort((-strength[hit], number[hit]))]
+                    hit = hit[np.unique(number[hit], return_index=True)[1]]  # a word counts once
                     np.add.at(doubt, row[hit], np.log1p(-strength[hit]))
                 score = pa.array(1 - np.exp(doubt) * (1 - base), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score, batch.column(2)], names=["doc_id", "held_out", "score", "text_hash"])

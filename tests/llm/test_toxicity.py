@@ -50,6 +50,24 @@ def test_planted_words_are_found(planted):
     assert all(rows[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(900)) and not rows[None].held_out
 
 
+GATED = [
+    "you are a s t u p i d", "I s t u p i d", "s t u p i d y", "y o s t u p i d e a", "s - t - u - p - i - d", "s · t · u · p · i · d", "s t u p ! d",
+    "stup¡d", "s·t·u·p·i·d", "§tupid", "w0rthle§§", "patthetic", "so (stupid)", "wörthless b l ö d e r", "!diotic", "(razy", "¡stupid!", "$tupid!",
+]
+
+
+def test_gate_is_as_wide_as_the_channel(spark, planted):
+    docs, labels = planted
+    rng = random.Random(4)
+    clean = [r.text.split() for r in docs.filter("doc_id < 900 and doc_id % 6 > 0").sort("doc_id").collect()]
+    also = [(4000 + i, " ".join([*rng.sample(rng.choice(clean), 30), w])) for i, w in enumerate(["blöder", "idiotic", "crazy"] * 60)]
+    more = spark.createDataFrame([(a, b, "x") for a, b in also + [(5000 + i, "the an " + w) for i, w in enumerate(GATED)]], docs.schema)
+    taught = labels.unionAll(spark.createDataFrame([(i, 1) for i, _ in also], labels.schema))
+    rows = {r.doc_id: r.score for r in T.scores(docs.unionAll(more), taught).collect()}
+    assert [w for i, w in enumerate(GATED) if rows[5000 + i] < 0.5] == []
+    assert all((rows[i] >= 0.5) == (i % 6 == 0) for i in range(900))
+
+
 def test_without_labels(planted):
     docs, labels = planted
     assert {r.score for r in T.scores(docs, labels.limit(0)).collect()} == {0.0}
