@@ -425,10 +425,14 @@ def row_features(column: pa.Array, decoder: Decoder) -> Iterator[np.ndarray]:
         yield own[own != 0]
 
 
-def training_sample(labels: DataFrame, toxic_rows: int, clean_rows: int, folds: int = 5) -> DataFrame:
-    """``doc_id, toxic`` of the labelled rows outside the held-out fold, bounded for each class."""
+def learnable(labels: DataFrame, folds: int = 5) -> DataFrame:
+    """``doc_id, toxic`` of the labelled ids outside the held-out fold, each once."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
+    return known.filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
+
+
+def training_sample(known: DataFrame, toxic_rows: int, clean_rows: int) -> DataFrame:
+    """The rows of ``learnable`` labels, bounded for each class."""
     picked = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for value, rows in ((1, toxic_rows), (0, clean_rows))]
     return picked[0].unionAll(picked[1])
 
@@ -440,8 +444,9 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     four lowest feature hashes (copies, near copies mostly) one is learned from.
     """
     spark = docs.sparkSession
-    sample = settle(training_sample(labels, toxic_rows, clean_rows), "toxic-sample")
-    shares = {r["toxic"]: r["n"] for r in labels.filter("doc_id is not null and toxic is not null").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    taught = learnable(labels)
+    sample = settle(training_sample(taught, toxic_rows, clean_rows), "toxic-sample")
+    shares = {r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = spark.sparkContext.broadcast(model)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,7 +479,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
                 yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(pair[0]), pa.array(pair[1])], names=["mark", "clean", "toxic"])
 
     sums = rows.select("toxic", "marks").mapInArrow(counted, "mark long, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # rates stand for all labelled rows, whatever the classes' shares in the sample
+    # rates stand for all labelled ids outside the held-out fold, whatever the classes' shares in the sample
     odds = (F.col("toxic") / F.lit(total[1]) * F.lit(share)) / (F.col("toxic") / F.lit(total[1]) * F.lit(share) + (F.col("clean") + F.lit(0.05)) / F.lit(total[0]) * F.lit(1 - share))
     # a feature that clean rows explain just as well must be rarer than one in e^2 among all features (Chernoff's bound)
     sums = settle(sums, "toxic-counts")

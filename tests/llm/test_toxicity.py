@@ -74,6 +74,18 @@ def test_without_labels(planted):
     assert T.scores(docs.limit(0), labels).count() == 0
 
 
+def test_class_share_is_learned_from_the_training_folds(spark, planted):
+    docs, _ = planted
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    ids = range(900)
+    once = [(i, 0) for i in ids if not held(i)]
+    labels = spark.createDataFrame(once + once[:50] + [(i, 1) for i in ids if held(i)], "doc_id long, toxic int")
+    assert {r.score for r in T.scores(docs, labels).collect()} == {0.0}  # no label 1 is learned from
+    twice = spark.createDataFrame([(i, i % 2) for i, _ in once] + [(i, 1) for i, _ in once if i % 2] * 3, "doc_id long, toxic int")
+    plain = spark.createDataFrame([(i, i % 2) for i, _ in once], "doc_id long, toxic int")
+    assert sorted(r.score for r in T.scores(docs, twice).collect()) == sorted(r.score for r in T.scores(docs, plain).collect())
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
