@@ -165,8 +165,8 @@ def candidates(docs: DataFrame, items: DataFrame, min_match: int, id_col: str, t
     """``doc_id, text, item_id, tokens`` of all pairs that share a seed; ``items`` is settled.
 
     The benchmark's seeds are counted first. While they are few (``SHIPPED_SEEDS``) each task filters its documents
-    against them and only documents with a hit leave it; else document seeds are joined by a shuffle. The
-    pairs are the same.
+    against them and only documents with a hit leave it; else document seeds are joined by a shuffle, and their
+    keys back to all rows. The pairs are the same, one for each of several equal rows.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -216,7 +216,7 @@ def candidates(docs: DataFrame, items: DataFrame, min_match: int, id_col: str, t
         keyed = read.withColumn("text_hash", F.xxhash64("text"))
         own = keyed.mapInArrow(all_seeds, "doc_id long, text_hash long, own array<long>").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.explode("own").alias("seed"))
         met = own.join(seeds, "seed").groupBy("d", "h").agg(F.collect_set("item_key").alias("item_keys"))
-        pairs = keyed.dropDuplicates(["doc_id", "text_hash"]).join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text", F.explode("item_keys").alias("item_key"))
+        pairs = keyed.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text", F.explode("item_keys").alias("item_key"))
     return pairs.join(items.select("item_key", "item_id", "tokens"), "item_key").select("doc_id", "text", "item_id", "tokens", F.xxhash64("text").alias("text_hash"))
 
 

@@ -78,6 +78,16 @@ def test_joined_seeds_give_the_same(planted, monkeypatch):
     assert {tuple(r) for r in D.contaminated(docs, bench).collect()} == shipped
 
 
+def test_joined_seeds_keep_repeated_rows(planted, monkeypatch):
+    docs, bench = planted
+    docs = docs.unionAll(docs.filter("doc_id in (100, 101) or doc_id is null"))
+    order = lambda rows: sorted(map(tuple, rows), key=repr)
+    shipped = order(D.contaminated(docs, bench).collect())
+    assert len(shipped) == 9
+    monkeypatch.setattr(D, "SHIPPED_SEEDS", 0)
+    assert order(D.contaminated(docs, bench).collect()) == shipped
+
+
 def test_empty_tables(planted):
     docs, bench = planted
     assert D.contaminated(docs.limit(0), bench).count() == 0
