@@ -14,6 +14,10 @@ from parlance.functions.text import string_or_null, without_fences, without_thin
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*("?)|[{}\[\],]', re.DOTALL)
 _CLOSE = {"{": "}", "[": "]"}
+_PIECE = re.compile(r'(?P<space>\s+)|(?P<text>"(?:[^"\\]|\\.)*(?P<quote>"?))|(?P<mark>[{}\[\],:])|(?P<bare>[^\s{}\[\],:"]+)', re.DOTALL)
+_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|u[0-9a-fA-F]{0,3}\Z|\Z|.)|[\x00-\x1f]", re.DOTALL)
+_NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+_LITERALS = {"true": "true", "false": "false", "null": "null", "none": "null", "nan": "null"}
 
 
 def first_object(text: str) -> str:
@@ -29,6 +33,101 @@ def first_object(text: str) -> str:
     return text[begin:]
 
 
+def _string(found: re.Match) -> str:
+    """A string as JSON takes it: control characters and false escapes written out, an escape that the text's end cuts left out."""
+    closed = bool(found["quote"])
+
+    def written(part: re.Match) -> str:
+        after = part[1]
+        if after is None:
+            return f"\\u{ord(part[0]):04x}"
+        if part.end() == len(part.string) and not closed and (not after or (after[0] == "u" and len(after) < 5)):
+            return ""
+        if after and (after in '"\\/bfnrt' or len(after) == 5):
+            return part[0]
+        return after if after == "'" else "\\" + _ESCAPE.sub(written, part[0]) if after in "\n\r\t" else "\\" + part[0]
+
+    body = found["text"][1 : len(found["text"]) - closed]
+    return '"' + _ESCAPE.sub(written, body) + ('"' if closed else "")
+
+
+def patched(text: str) -> str | None:
+    """An object with its faults mended where they are, and all that stands around them kept; the end may be open.
+
+    Missing and surplus commas, bare keys, broken literals and missing values (null), false escapes, raw control characters
+    and missing inner brackets are mended. None where anything else is wrong: quotes of another kind, words beside a string, ...
+    """
+    out: list[str] = []
+    stack: list[str] = []
+    state = "value"  # what may come: value, key, colon, or after (a comma or a bracket)
+    bare = comma = False  # the last value was no string, number or bracket; a comma waits to be written
+    for found in _PIECE.finditer(text):
+        mark, last = found[0], found.end() == len(text)
+        if found["space"]:
+            continue
+        if state == "end":
+            return None
+        inside = stack[-1] if stack else ""
+        if found["mark"] and mark in "}]":
+            opener = "{" if mark == "}" else "["
+            if opener not in stack or state == "colon":
+                return None
+            if state == "value" and inside == "{":
+                out.append("null")
+            comma = False
+            while True:
+                top = stack.pop()
+                out.append(_CLOSE[top])
+                if top == opener:
+                    break
+            state, bare = ("after" if stack else "end"), False
+        elif mark == ",":
+            if state == "colon":
+                return None
+            if state == "value" and inside == "{":
+                out.append("null")
+                state = "after"
+            if state == "after":
+                comma, state, bare = True, "key" if inside == "{" else "value", False
+        elif mark == ":":
+            if state != "colon":
+                return None
+            out.append(":")
+            state = "value"
+        else:
+            word = bool(found["bare"])
+            if state == "after":  # a missing comma
+                if bare or (word and inside == "[" and not _NUMBER.fullmatch(mark)):
+                    return None
+                comma, state = True, "key" if inside == "{" else "value"
+            if comma:
+                out.append(",")
+                comma = False
+            if state == "colon":
+                return None
+            if state == "key":
+                if not found["text"] and not (word and (last or re.fullmatch(r"[^\W\d][\w-]*", mark))):
+                    return None
+                out.append(_string(found) if found["text"] else mark if last else f'"{mark}"')
+                state = "colon"
+            elif mark in _CLOSE:
+                stack.append(mark)
+                out.append(mark)
+                state, bare = "key" if mark == "{" else "value", False
+            elif not stack:
+                return None
+            elif found["text"]:
+                out.append(_string(found))
+                state, bare = "after", False
+            else:
+                whole = _NUMBER.fullmatch(mark) is not None
+                if "'" in mark or "`" in mark:
+                    return None
+                out.append(mark if whole or last else _LITERALS.get(mark.lower(), "null"))
+                state, bare = "after", not whole
+    return "".join(out)
+
+
 def mended(text: str) -> str | None:
     """A damaged object closed at the last place that makes sense; what follows it is dropped.
 
@@ -76,7 +175,9 @@ def _recovered(text: str | None) -> tuple[str | None, bool]:
     whole = _object_of(found)
     if whole is not None:
         return _dumped(whole), False
-    fixed = mended(found) if found.startswith("{") else None
+    # a prefix is taken only of what has no fault but an open end
+    fixed = patched(found) if found.startswith("{") else None
+    fixed = None if fixed is None else mended(fixed)
     if fixed is None:
         return None, False
     return _dumped(_object_of(fixed)), True

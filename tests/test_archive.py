@@ -210,6 +210,27 @@ def test_answers(spark):
     assert json.loads(mended(damaged)) == {"title": "kept", "topics": ["p"], "score": 0.9, "x": [1, 2]}
 
 
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        ('{"title":"a","summary":"b" "topics":["x"],"events":[{"t":1} {"t":2}]}', {"title": "a", "summary": "b", "topics": ["x"], "events": [{"t": 1}, {"t": 2}]}),
+        ('{title: "a", "score": fal, "b": [1 2,], "c": True,, "d": , "e": 3}', {"title": "a", "score": None, "b": [1, 2], "c": True, "d": None, "e": 3}),
+        ('{"a": "x\ny\\d \\\'", "b": [1, {"c": 2}, "d": 3}', None),
+        ('{"a": "x\ny\\d \\\'", "b": {"c": [1, 2}, "d": 3}', {"a": "x\ny\\d '", "b": {"c": [1, 2]}, "d": 3}),
+        ('{"a": 1 "b": nul, "c": [{"d": "cut \\u00', {"a": 1, "b": None, "c": [{"d": "cut "}]}),
+        ('{"a": 1 "b": 2, "c": tr', {"a": 1, "b": 2}),
+        ('{"a": 1, "b": "he said "no" to me", "c": 2}', None),
+        ('{"a": 1, "b": ["he said "no" to me"], "c": 2}', None),
+        ("{\"a\": 1, 'b': 2}", None), ('{"a": 1, "b": not sure, "c": 2}', None), ('{"a": 1, "b" 2}', None), ("{,}", None),
+    ],
+)
+def test_faults_are_mended_where_they_are(raw, want):
+    from parlance.functions.answers import _recovered
+
+    text, repaired = _recovered(raw)
+    assert (text and json.loads(text), repaired) == (want, want is not None)
+
+
 def test_one_bad_answer_ends_nothing(spark):
     raw = ['{"title": "a", "quality_score": NaN}', '{"title": "b", "title": "c"}', "{'title': 'd'}", '{"title": "e"}', None]
     df = spark.createDataFrame([(str(i), "u", r) for i, r in enumerate(raw)], "session_id string, user_id string, raw string").withColumns(
