@@ -7,7 +7,7 @@ role or class says that it is no main text. A decision tree learned from a small
 
 Cases: a null or empty page has the empty text; unclosed elements and comments end with the page, an unfinished
 tag at the end is dropped; character references are decoded once; a nested article inside a left-out element stays left
-out; repeated pages are read alike; an empty table gives an empty result; further columns are not read.
+out, unless every article of the page stands in an element whose class, id or role says so: of these the least enclosed stay; repeated pages are read alike; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style noscript template textarea iframe title svg math object canvas noembed noframes xmp".split())
+#: Elements that are read like others where they stand in an article.
+EMBEDDED_TAGS = frozenset("noscript svg math object canvas".split())
 OTHER_TAGS = frozenset("nav aside form button select menu dialog fieldset head".split())
 OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay "
@@ -53,6 +55,7 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*
 class Element:
     name: str
     other: bool
+    worded: bool
     frame: bool
     article: bool
     link: bool
@@ -66,6 +69,7 @@ class Blocks:
     rows: list[list] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked_parts: list[str] = field(default_factory=list)
+    around: list[int] = field(default_factory=list)  # of each block, the worded elements that are or hold its article, or hold it if it has none
 
     def close(self, stack: list[Element]) -> None:
         text = " ".join(entities.unescape("".join(self.parts)).split())
@@ -73,9 +77,21 @@ class Blocks:
             words = text.count(" ") + 1
             linked = len(entities.unescape(" ".join(self.linked_parts)).split())
             article = any(e.article for e in stack)
-            self.rows.append([text, words, min(1.0, linked / words), article, any(e.heading for e in stack), any(e.other for e in stack), any(e.frame for e in stack)])
+            inner = max((i for i, e in enumerate(stack) if e.article), default=len(stack))
+            self.around.append(sum(e.worded for e in stack[: inner + 1]))
+            within = any(e.worded for e in stack[inner + 1 :])
+            self.rows.append([text, words, min(1.0, linked / words), article, any(e.heading for e in stack), within or any(e.other for e in stack), any(e.frame for e in stack)])
         self.parts, self.linked_parts = [], []
 
+    def judge(self) -> list[list]:
+        """The blocks, of other use also where more worded elements surround them than surround the page's articles, or blocks."""
+        has_article = any(r[3] for r in self.rows)
+        open_ = [n for n, r in zip(self.around, self.rows) if not r[5] and (r[3] if has_article else not r[6])]
+        least = min(open_, default=0)
+        for n, row in zip(self.around, self.rows):
+            row[5] = row[5] or n > (least if row[3] or not has_article else 0)
+        return self.rows
+
 
 def _element(name: str, rest: str, stack: list[Element]) -> Element:
     said: set[str] = set()
@@ -91,8 +107,8 @@ def _element(name: str, rest: str, stack: list[Element]) -> Element:
                 hidden = hidden or key == "hidden" or value == "true"
     inside = any(e.article for e in stack)
     frame = name == "footer" or "footer" in said or (not inside and (name == "header" or bool(said & FRAME_WORDS)))
-    other = name in OTHER_TAGS or hidden or (name not in ("body", "html") and bool(said & OTHER_WORDS))
-    return Element(name, other, frame, name in ARTICLE_TAGS, name == "a", name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    worded = name not in ("body", "html") and bool(said & OTHER_WORDS)
+    return Element(name, name in OTHER_TAGS or hidden, worded, frame, name in ARTICLE_TAGS, name == "a", name in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def page_blocks(page: str | None) -> list[list]:
@@ -123,7 +139,7 @@ def page_blocks(page: str | None) -> list[list]:
             if place is not None:
                 del stack[place:]
             continue
-        if name in RAW_TAGS:
+        if name in RAW_TAGS and not (name in EMBEDDED_TAGS and any(e.article for e in stack)):
             if not found["rest"].endswith("/"):
                 closing = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = closing.end() if closing else len(page)
@@ -136,7 +152,7 @@ def page_blocks(page: str | None) -> list[list]:
             stack.pop()
         stack.append(_element(name, found["rest"], stack))
     out.close(stack)
-    return out.rows
+    return out.judge()
 
 
 def block_features(rows: list[list]) -> list[tuple]:

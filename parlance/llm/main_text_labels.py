@@ -32,6 +32,9 @@ LAYOUTS = [
     """<div class="notice">- ~70</div><article><h1>+ ~9</h1><p>+ ~1</p><p><a href=k>+ ~30</a></p><p>+ ~14</p></article><div>- ~80</div><p>- ~120</p>""",
     """<header><nav><a href=1>- ~1</a></nav><h1>- ~4</h1></header><div><h2>+ ~6</h2><p>+ ~45</p><p>+ ~95</p></div><footer><p>- ~60</p></footer>""",
     """<main><p>+ ~40</p><p>+ ~1</p><section><h2>+ ~3</h2><p>+ ~60</p><ol><li>+ ~2</li><li>+ ~18</li></ol></section></main><section><p>- ~60</p><p>- ~75</p></section>""",
+    # wrappers and articles whose class names what stands beside the text
+    """<div class="has-sidebar"><article><h1>+ ~6</h1><p>+ ~80</p><div class="share"><p>- ~6</p></div></article><section class="comments"><article><p>- ~50</p></article></section><div class="sidebar"><p>- ~40</p></div></div>""",
+    """<main class="content with-menu"><div class="menu"><a href=1>- ~2</a></div><h1>+ ~5</h1><p>+ ~70</p><p>+ ~9</p></main><div class="related"><p>- ~40</p></div>""",
     # nothing but text
     """<body><p>+ ~60</p></body>""",
     """<h1>+ ~4</h1><p>+ ~60</p><p>+ ~40</p>""",

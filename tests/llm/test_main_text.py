@@ -46,6 +46,26 @@ def test_article_alone(spark, tree):
         assert got == {0: want, 1: want, 2: want, 3: "a " + want}
 
 
+def test_class_words_of_wrappers(spark, tree):
+    body = f"<h1>Head</h1><p>{TEXT}</p><div class=share>no</div>"
+    want = "Head " + " ".join(TEXT.split())
+    wraps = [
+        f"<div class='has-sidebar'><article>{body}</article><div class=sidebar><p>{'no ' * 60}</p></div></div>",
+        f"<main class='content with-menu'>{body}</main>",
+        f"<article class='post comments-open'>{body}</article><section class=comments><article class=comment><p>{'no ' * 60}</p></article></section>",
+        f"<div class='has-sidebar'><div><article>{body}</article><div class=comments><article><p>no</p></article></div></div></div>",
+        f"<div class='has-sidebar'><div><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div><div class=sidebar><p>no no</p></div></div>",
+    ]
+    got = texts(spark, tree, *wraps)
+    assert [got[i] for i in range(4)] == [want] * 4
+    assert got[4] == want + " " + " ".join(TEXT.split())
+
+
+def test_embedded_elements_of_an_article(spark, tree):
+    page = f"<svg><text>no</text></svg><article><p>{TEXT}</p><p>so <math><mi>x</mi></math> <object>shown</object> <noscript>plain</noscript></p></article>"
+    assert texts(spark, tree, page) == {0: " ".join(TEXT.split()) + " so x shown plain"}
+
+
 def test_odd_pages(spark, tree):
     odd = [None, "", "<", "<p", "<!-- open", "<script>var a", "</div></p>", "<article>" + "<p>w" * 3000, "<article><p>cut <a hre", "a < b and c > d " * 9]
     got = texts(spark, tree, *odd)
