@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, language, line_dedup, main_text, mixing, near_dedup, substring_dedup, token_files, toxicity
+from parlance.llm import decontaminate, exact_dedup, fill_in_middle, language, line_dedup, main_text, mixing, near_dedup, substring_dedup, token_files, toxicity
 from parlance.llm.registry import query
 
 
@@ -131,3 +131,38 @@ def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_page_language")
 def op2_page_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.page_languages(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+@query(
+    "op11_fill_in_middle",
+    """
+    WITH cut AS (
+      SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+             sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+    ), drawn AS (
+      SELECT *, len(tokens)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM cut
+    ), placed AS (
+      SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM drawn
+    ), parts AS (
+      SELECT doc_id, text, n,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m, array_to_string(tokens[b + 1:n], '') AS s
+      FROM placed
+    )
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256
+    FROM parts
+    """,
+)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in fill-in-middle form and what is rebuilt from it, both as digests."""
+    from pyspark.sql import functions as F
+
+    found = fill_in_middle.transformed(table(spark, folder, "documents").select("doc_id", "text"))
+    back = fill_in_middle.rebuilt(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
