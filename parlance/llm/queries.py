@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, fill_in_middle, language, line_dedup, main_text, mixing, near_dedup, substring_dedup, token_files, toxicity
+from parlance.llm import decontaminate, exact_dedup, fill_in_middle, language, line_dedup, main_text, mixing, near_dedup, repair, substring_dedup, token_files, toxicity
 from parlance.llm.registry import query
 
 
@@ -166,3 +166,9 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
     )
+
+
+@query("op13_repair")
+def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair; the repaired lines as a digest."""
+    return repair.repair_reports(table(spark, folder, "conversations"))
