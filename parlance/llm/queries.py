@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import decontaminate, exact_dedup, fill_in_middle, language, line_dedup, main_text, mixing, near_dedup, repair, substring_dedup, token_files, toxicity
+from parlance.llm import decontaminate, exact_dedup, fill_in_middle, language, line_dedup, main_text, mixing, near_dedup, quality, repair, substring_dedup, token_files, toxicity
 from parlance.llm.registry import query
 
 
@@ -172,3 +172,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 def op13_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Damaged conversations and their cheapest repair; the repaired lines as a digest."""
     return repair.repair_reports(table(spark, folder, "conversations"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    found = quality.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
