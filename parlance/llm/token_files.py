@@ -30,11 +30,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.words import GOLDEN, MASK64, mix, text_bytes
+from parlance.llm.words import GOLDEN, MASK64, _hashes, mix, text_bytes
 from parlance.session import settle, shared_path
 
-#: Distinct words whose ids a task remembers; beyond it, it forgets them all and starts again.
-REMEMBERED = 800_000
+#: Distinct words whose ids a task remembers, some 50 bytes each; beyond it, it forgets them all and starts again.
+REMEMBERED = 1_000_000
 GAMMA = 2.0
 LEVELS = 24
 MANIFEST = "doc_id long, shard int, place long, offset long, n_tokens long, copy_in_shard long"
@@ -90,23 +90,47 @@ def _read_range(path: str, start: int, size: int) -> bytes:
 # ---------------------------------------------------------------- tokens
 
 
-#: Signs that a tokenizer of the kind in ``_signs_apart`` always parts from the letters before them.
+#: Signs that a tokenizer of the kind in ``_letters_definition`` always parts from the letters before them.
 SIGNS = ".,;:!?*&%#$"
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[list(SIGNS.encode())] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_LATIN = np.zeros(256, dtype=bool)  # second bytes of the letters U+00C0 to U+00FF, whose first byte is 0xC3
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 
 
-def _signs_apart(definition: str) -> bool:
-    """Whether the tokenizer lowers case and keeps letters and signs in different pieces, by its stated pattern."""
+def _letters_definition(definition: str) -> str | None:
+    """The tokenizer for lower-case words of letters alone, set apart by blanks, or None where it is of another kind.
+
+    It must lower case, keep letters and signs in different pieces, spell pieces by bytes and mark word ends, by its stated steps.
+    """
     stated = json.loads(definition)
-    steps = json.dumps(stated.get("normalizer") or {})
-    pieces = [p.get("pattern", {}).get("Regex", "") for p in (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    return '"Lowercase"' in steps and any("[\\p{L}]+|" in p and p.endswith("[^\\s\\p{L}\\p{N}]+") for p in pieces)
+    steps, model = json.dumps(stated.get("normalizer") or {}), stated.get("model") or {}
+    parts = (stated.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pieces = [p.get("pattern", {}).get("Regex", "") for p in parts]
+    apart = any("[\\p{L}]+|" in p and p.endswith("[^\\s\\p{L}\\p{N}]+") for p in pieces)
+    spelled = [p for p in parts if p.get("type") == "ByteLevel" and not p.get("use_regex", True) and not p.get("add_prefix_space", True)]
+    if '"Lowercase"' not in steps or not apart or not spelled or model.get("type") != "BPE" or not model.get("end_of_word_suffix"):
+        return None
+    stated["normalizer"], stated["post_processor"] = None, None
+    stated["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, spelled[0]]}
+    return json.dumps(stated)
+
+
+def _places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, one run after another."""
+    before = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(before - first, size)
 
 
 class WordEncoder:
-    """Ids of words, each encoded once while it is remembered.
+    """Ids of distinct words, each encoded once while it is remembered.
 
-    Many words are encoded as one text with a special token between them, which saves a result object a word. Where
-    letters and signs are kept apart, "Word," is put together from "word" and ",".
+    A word of letters with signs behind it is put together from its letters and its signs, where the tokenizer keeps these
+    apart; letters are encoded many at a time by the tokenizer's model alone, which marks where each word ends. What is
+    remembered are arrays: two 64-bit hashes of the encoded bytes, and the place of their ids.
     """
 
     def __init__(self, definition: str):
@@ -115,41 +139,114 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.border = special[0] if special else None
-        self.apart = _signs_apart(definition)
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+        letters = _letters_definition(definition)
+        self.letters = Tokenizer.from_str(letters) if letters else None
+        if letters:
+            suffix = json.loads(letters)["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.first, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any words, and how many each has."""
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], []
         for at in range(0, len(words), 4096):
-            piece = words[at : at + 4096]
+            piece = [w.decode() for w in words[at : at + 4096]]
             if self.border is None or any(self.border[0] in w for w in piece):
-                out.extend(np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(piece, add_special_tokens=False))
+                for e in self.tokenizer.encode_batch_fast(piece, add_special_tokens=False):
+                    ids.append(np.array(e.ids, dtype=np.uint32))
+                    sizes.append(len(e.ids))
                 continue
-            ids = np.array(self.tokenizer.encode_batch_fast([self.border[0].join(piece)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.border[1])
-            packed = ids.tobytes()
-            out.extend(packed[4 * a : 4 * b] for a, b in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]))
+            found = np.array(self.tokenizer.encode_batch_fast([self.border[0].join(piece)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            cut = found == self.border[1]
+            sizes += (np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(found)]])) - 1).tolist()
+            ids.append(found[~cut])
+        return np.concatenate(ids), np.array(sizes, dtype=np.int64)
+
+    def _encode_letters(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(words), 16384):
+            piece = words[at : at + 16384]
+            found = np.array(self.letters.encode_batch_fast([b" ".join(piece).decode()], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            last = np.flatnonzero(self.ends[found])
+            own = (found, np.diff(np.concatenate([[-1], last]))) if len(last) == len(piece) else self._encode(piece)
+            ids.append(own[0])
+            sizes.append(own[1])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _known(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Numbers of the remembered entries for byte runs; unknown ones are encoded first."""
+        seeds = ((21, 22), (23, 24))
+        key, check = (np.where(letters, _hashes(raw, start, end - start, a), _hashes(raw, start, end - start, b)) for a, b in seeds)
+        at = self._look(key, check)
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            if len(self.keys) + len(fresh) > REMEMBERED and len(self.keys):
+                self.forget()
+                fresh = np.arange(len(key))
+            pairs = np.empty(len(fresh), dtype=[("key", np.uint64), ("check", np.uint64)])
+            pairs["key"], pairs["check"] = key[fresh], check[fresh]
+            fresh = fresh[np.unique(pairs, return_index=True)[1]]
+            data = raw.tobytes()
+            for which, encode in ((letters[fresh], self._encode_letters), (~letters[fresh], self._encode)):
+                rows = fresh[which]
+                ids, size = encode([data[a:b] for a, b in zip(start[rows].tolist(), end[rows].tolist())])
+                self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.flat = np.concatenate([self.flat, ids])
+                self.keys, self.checks = np.concatenate([self.keys, key[rows]]), np.concatenate([self.checks, check[rows]])
+            order = np.lexsort((self.checks, self.keys))
+            self.keys, self.checks, self.first, self.size = (x[order] for x in (self.keys, self.checks, self.first, self.size))
+            at = self._look(key, check)
+        return at
+
+    def _look(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, key)
+        out = np.full(len(key), -1, dtype=np.int64)
+        rows = np.flatnonzero(at < len(self.keys))
+        while len(rows):  # equal keys stand next to each other
+            rows = rows[self.keys[at[rows]] == key[rows]]
+            met = self.checks[at[rows]] == check[rows]
+            out[rows[met]] = at[rows[met]]
+            rows = rows[~met]
+            at[rows] += 1
+            rows = rows[at[rows] < len(self.keys)]
         return out
 
-    def _stem(self, word: str) -> tuple[str, str]:
-        if not self.apart or "<" in word or not word.isascii():
-            return word, ""
-        stem = word.rstrip(SIGNS)
-        return (stem.lower(), word[len(stem) :]) if stem[-1:].isalpha() else (word, "")
-
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            self.stems.clear()
-            fresh = words
-        stems = [self._stem(w.decode()) for w in fresh]
-        new = list({part for pair in stems for part in pair if part and part not in self.stems})
-        self.stems.update(zip(new, self._encode(new)))
-        self.stems[""] = b""
-        self.known.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in zip(fresh, stems))
-        return [self.known[w] for w in words]
+    def ids(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words between ``edges`` in ``raw``, one word after another, and how many each has."""
+        start, end = edges[:-1], edges[1:].copy()
+        if self.letters is None:
+            at = self._known(raw, start, end, np.zeros(len(start), dtype=bool))
+            return self.flat[_places(self.first[at], self.size[at])], self.size[at]
+        second = np.zeros(len(raw), dtype=bool)
+        second[1:] = (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+        letter = _LETTER[raw] | second
+        letter[:-1] |= second[1:]
+        rows = np.arange(len(start))  # without the signs behind
+        while len(rows):
+            rows = rows[end[rows] > start[rows]]
+            rows = rows[_SIGN[raw[end[rows] - 1]]]
+            end[rows] -= 1
+        counted = np.concatenate([[0], np.cumsum(letter)])
+        plain = (counted[end] - counted[start] == end - start) & (end > start)
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        low[second & (raw <= 0x9E)] += 32
+        both = np.concatenate([raw, low])
+        end = np.where(plain, end, edges[1:])
+        shift = np.where(plain, len(raw), 0)
+        signed = np.flatnonzero(end < edges[1:])
+        at = self._known(both, np.concatenate([start + shift, end[signed]]), np.concatenate([end + shift, edges[1:][signed]]), np.concatenate([plain, np.zeros(len(signed), dtype=bool)]))
+        order = np.argsort(np.concatenate([np.arange(len(start)), signed]), kind="stable")  # signs right behind their letters
+        at, size = at[order], self.size[at]
+        each = size[: len(start)].copy()
+        each[signed] += size[len(start) :]
+        return self.flat[_places(self.first[at], self.size[at])], each
 
 
 @lru_cache(maxsize=1)
@@ -166,16 +263,10 @@ def encode_column(definition: str, column: pa.Array) -> tuple[np.ndarray, np.nda
         column = column.fill_null("")
     words = pc.ascii_split_whitespace(column.cast(pa.large_string()))
     coded = words.flatten().dictionary_encode()
-    raw, edges = text_bytes(coded.dictionary)
-    raw, edges = raw.tobytes(), edges.tolist()
-    ids = _encoder(definition).ids([raw[a:b] for a, b in zip(edges[:-1], edges[1:])])
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), dtype=np.uint32)
+    flat, sizes = _encoder(definition).ids(*text_bytes(coded.dictionary))
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     length = sizes[which] if len(which) else np.zeros(0, dtype=np.int64)
-    before = np.cumsum(length) - length
-    source = (np.cumsum(sizes) - sizes)[which] if len(which) else before
-    out = flat[np.arange(int(length.sum())) - np.repeat(before - source, length)]
+    out = flat[_places((np.cumsum(sizes) - sizes)[which], length)] if len(which) else flat
     borders = words.offsets.to_numpy().astype(np.int64)
     upto = np.concatenate([[0], np.cumsum(length)])
     return out, np.diff(upto[borders - borders[0]])

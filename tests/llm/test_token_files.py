@@ -80,3 +80,29 @@ def test_encoding_matches_whole_text():
     definition, _ = token_files.tokenizer_definition(PATH)
     ids, sizes = token_files.encode_column(definition, column)
     assert list(sizes) == [n - 1 for _, _, n, _ in expected(list(enumerate(column.to_pylist())))]
+
+
+def test_letters_and_signs_are_put_together_as_the_tokenizer_parts_them():
+    from tokenizers import Tokenizer
+
+    definition, _ = token_files.tokenizer_definition(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100))] + ["İ", "ſ", "Ω", "ǅ", "é", "́", "ß", "1", "'", "-", "_", "\x00", "中"]
+    words = [a + b + c for a in letters for b in ("", "É", "s") for c in ("", ",", ".!?", "'s", ":x", "́", "́.")]
+    words += ["...", "###", "$100", "don't.", "l'École!", "a,b", "ÀÈ", "x" * 3000, "<|endoftext|>.", "Ærø;;"]
+    for _ in range(2):  # once encoded, once remembered
+        ids, sizes = token_files.encode_column(definition, pa.array([" ".join(words[i::7]) for i in range(7)] + [None, ""]))
+        want = [tokenizer.encode(" ".join(words[i::7]), add_special_tokens=False).ids for i in range(7)]
+        assert sizes.tolist() == [*map(len, want), 0, 0] and ids.tolist() == sum(want, [])
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    definition, _ = token_files.tokenizer_definition(PATH)
+    texts = pa.array([f"word{chr(97 + i % 26)}{chr(97 + i % 25)}, Tail{chr(97 + i % 7)}. {i}" for i in range(400)])
+    want = token_files.encode_column(definition, texts)
+    token_files._encoder(definition).forget()
+    monkeypatch.setattr(token_files, "REMEMBERED", 50)
+    for at in range(0, 400, 40):
+        ids, sizes = token_files.encode_column(definition, texts.slice(at, 40))
+        first = int(want[1][:at].sum())
+        assert (sizes == want[1][at : at + 40]).all() and (ids == want[0][first : first + int(sizes.sum())]).all()
