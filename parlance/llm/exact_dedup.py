@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 SLOTS = 4
 KICKS = 200
+#: Rows whose copies are summed before they travel.
+TOGETHER = 100_000
 ENTRY = "part int, digest binary, keep_id long, live long"
 
 
@@ -210,11 +212,27 @@ def updated_index(entries: DataFrame | None, inserts: DataFrame | None, deletes:
 def live_entries(hashed: DataFrame, parts: int = 64) -> DataFrame:
     """A new index over ``doc_id, text_sha256`` rows.
 
-    Copies are summed before they travel, so a text that a third of all rows share arrives as one row per
-    map task.
+    Copies are summed within a task, ``TOGETHER`` rows at a time, before they travel: of a text that a third of all rows share
+    the index gets a row per so many rows. It inserts the first and merges the others, each hit verified.
     """
-    summed = hashed.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("live"))
-    return updated_index(None, summed.select(F.unhex("text_sha256").alias("digest"), "keep_id", "live"), parts=parts)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            if held:
+                sums = pa.Table.from_batches(held).group_by("digest").aggregate([("doc_id", "max"), ([], "count_all")])
+                yield from sums.select(["digest", "doc_id_max", "count_all"]).rename_columns(["digest", "keep_id", "live"]).to_batches()
+            held.clear()
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= TOGETHER:
+                yield from merged()
+        yield from merged()
+
+    rows = hashed.select(F.unhex("text_sha256").alias("digest"), "doc_id").mapInArrow(summed, "digest binary, keep_id long, live long")
+    return updated_index(None, rows, parts=parts)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
