@@ -43,8 +43,10 @@ PREFIXES = (4, 5, 6, 7)
 PRECISE, WORTH = 0.9, 0.75
 #: A feature of this share of the toxic rows and this precision is a rule whatever else explains its rows.
 WIDE, SURE = 0.03, 0.98
-#: Decoded words that a task remembers; beyond it, it forgets them all and starts again.
-REMEMBERED = 200_000
+#: Decoded words that a task remembers, some 300 bytes each; beyond it, it forgets them all and starts again.
+REMEMBERED = 50_000
+#: Bytes of text that are read at a time, and features that rules are chosen from, the widest and surest first.
+SLICE, MOST_FEATURES = 1 << 18, 50_000
 
 # Letters that characters are used for
 STANDS_FOR = {
@@ -156,7 +158,7 @@ class Decoder:
         """What a run of single characters may say: words between likely borders, and one word, the run's ends in it or not."""
         found = self.known_runs.get(run)
         if found is None:
-            if len(self.known_runs) >= REMEMBERED // 10:
+            if len(self.known_runs) >= REMEMBERED // 20:
                 self.known_runs.clear()
             whole = [run[a : len(run) - b] for a in range(ENDS + 1) for b in range(ENDS + 1) if len(run) - a - b > 1]
             found = self.known_runs[run] = tuple(dict.fromkeys([*self.split(run), *map(self.restore, whole)]))
@@ -440,7 +442,8 @@ def training_sample(known: DataFrame, toxic_rows: int, clean_rows: int) -> DataF
 def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_rows: int, clean_rows: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes with their precisions, and the score of a text without any of them.
 
-    The rows are a bounded sample: their ids are broadcast, and their features fit the driver. Of rows of a class with the same
+    The rows are a bounded sample: their ids are broadcast; of their features at most ``MOST_FEATURES`` that pass every test reach the
+    driver, and which of them each toxic row has. Of rows of a class with the same
     four lowest feature hashes (copies, near copies mostly) one is learned from.
     """
     spark = docs.sparkSession
@@ -452,11 +455,12 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", SLICE):
                 lists = [x.tobytes() for x in row_features(batch.column(1), decoder)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lists, pa.binary())], names=["doc_id", "toxic", "marks"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "toxic")
     gathered = texts.mapInArrow(gather, "doc_id long, toxic int, marks binary").withColumn("low", F.substring("marks", 1, 32))
     one = gathered.groupBy("toxic", "low").agg(F.min_by(F.struct("doc_id", "marks"), "doc_id").alias("row"))
     rows = settle(one.select("toxic", "row.doc_id", "row.marks"), "toxic-features")
@@ -488,14 +492,22 @@ def learned_rules(docs: DataFrame, labels: DataFrame, model: np.ndarray, toxic_r
     surprise = math.log(max(2, sums.count())) + 2
     least = 2
     usable = sums.withColumn("precision", odds).filter((F.col("toxic") > expected) & (chance <= -surprise) & (F.col("precision") >= PRECISE))
-    usable = usable.orderBy(F.desc(F.col("toxic") * F.pow("precision", F.lit(30.0))), "mark").toArrow()
+    usable = usable.orderBy(F.desc(F.col("toxic") * F.pow("precision", F.lit(30.0))), "mark").limit(MOST_FEATURES).toArrow()
     marks = usable.column("mark").to_numpy().view(np.uint64)
     precision = usable.column("precision").to_numpy()
-    toxic = [np.frombuffer(x, dtype=np.uint64) for x in rows.filter("toxic = 1").orderBy("doc_id").toArrow().column("marks").to_pylist()]
     by_mark = np.argsort(marks, kind="stable")
+    sorted_marks = spark.sparkContext.broadcast(marks[by_mark])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sorted_marks.value
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            lists = [np.flatnonzero(np.isin(known, np.frombuffer(x, dtype=np.uint64))).astype(np.int32) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "met"])
+
+    toxic = rows.filter("toxic = 1").select("doc_id", "marks").mapInArrow(met, "doc_id long, met array<int>").orderBy("doc_id").toArrow().column("met").to_pylist()
     members: list[list[int]] = [[] for _ in marks]
     for number, own in enumerate(toxic):
-        for k in np.flatnonzero(np.isin(marks[by_mark], own)) if len(marks) else ():
+        for k in own:
             members[by_mark[k]].append(number)
     # a rule is wide and sure, or worth it for the rows that it alone explains, against all clean rows that it meets
     against = (usable.column("clean").to_numpy() + 0.05) / total[0] * (1 - share)
@@ -526,7 +538,7 @@ def scores(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cle
         model, (known, precision, base) = shared.value
         decoder = Decoder(model)
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", SLICE):
                 raw, start, end, row, number = restored_words(batch.column(3), decoder)
                 doubt = np.zeros(batch.num_rows)
                 if len(known) and len(row):

@@ -1,8 +1,10 @@
 """Decoding, rules on planted words, and held-out accuracy on the given labels."""
 
 import random
+import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,51 @@ def test_held_out_accuracy(spark):
     judged = T.scores(docs, labels).filter("held_out").join(labels, "doc_id").select((F.col("score") >= 0.5).cast("int").alias("said"), "toxic").collect()
     right = sum(r.said == r.toxic for r in judged)
     assert right / len(judged) > 0.98
+
+
+def every_reading(word, flat):
+    """The cheapest reading of a word by listing all paths through its lattice."""
+    word = re.sub(r"(.)\1{3,}", r"\1\1\1", word.lower(), flags=re.S)
+    lengths = [len(run[0]) for run in re.finditer(r"(.)\1*", word, flags=re.S) for _ in run[0]]
+    step = lambda two, one, code: -flat[(two * T.SYMBOLS + one) * T.SYMBOLS + code]
+    best = []
+
+    def go(at, two, one, last, cost, text):
+        if at == len(word):
+            best.append((cost + step(two, one, 0) if one else cost, text))
+            return
+        char = word[at]
+        letters = T.STANDS_FOR.get(char) or (char if T.symbol(char) else "")
+        swap = T.SWAP if char in T.STANDS_FOR else 0.0
+        for letter in letters:
+            code = T.symbol(letter)
+            go(at + 1, one, code, letter, cost + swap + step(two, one, code), text + letter)
+            if letter == last:
+                go(at + 1, two, one, last, cost + swap + (T.REPEATED if lengths[at] > 2 else T.DOUBLED), text)
+        if char in T.SEPARATORS or char == " ":
+            go(at + 1, two, one, "", cost + T.DROP, text)
+        elif char not in letters:
+            go(at + 1, 0, 0, "", cost + T.KEEP, text + char)
+
+    go(0, 0, 0, "", 0.0, "")
+    return min(best)
+
+
+def test_decoding_like_all_paths():
+    rng = np.random.default_rng(9)
+    model = np.log(rng.dirichlet(np.ones(T.SYMBOLS) / 4, size=(T.SYMBOLS, T.SYMBOLS)) + 1e-6).astype(np.float32)
+    decoder, flat = T.Decoder(model), model.reshape(-1).tolist()
+    signs = list("ab1!|0$-._ 6eé@#zz")
+    for _ in range(400):
+        word = "".join(rng.choice(signs) for _ in range(rng.integers(1, 8)))
+        cost, text = every_reading(word, flat)
+        got = decoder.judged(word)
+        assert got[0] == text and abs(got[1] - cost) < 1e-9, word
+
+
+def test_repeated_ids_teach_one_text(spark):
+    rows = [(i, ("nasty " if i % 2 else "nice ") + f"word{i} and more{i * 7}") for i in range(200)] + [(1, "another text"), (3, "third text"), (None, "nasty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    found = [sorted(((r.doc_id, r.score) for r in T.scores(docs.repartition(n, "text"), labels).collect()), key=repr) for n in (1, 6)]
+    assert found[0] == found[1] and dict(found[0])[None] > 0.9
