@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm import words as W
+from parlance.llm.names import free_names
 from parlance.session import settle
 
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -250,5 +251,6 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH,
 def clean(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
     found = contaminated(docs, items, min_match, coverage)
-    leaked = settle(found.select(F.col("doc_id").alias("leaked_id"), F.col("text_hash").alias("leaked_hash")).distinct(), "leaked")
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("leaked_id")) & (F.xxhash64("text") == F.col("leaked_hash")), "left_anti")
+    doc, text_hash = free_names(docs, "leaked_id", "leaked_hash")
+    leaked = settle(found.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct(), "leaked")
+    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left_anti")

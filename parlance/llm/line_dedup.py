@@ -6,7 +6,8 @@ the union of the covered positions is removed.
 
 Cases: lines end at ``\\n`` and compare as they are; a null text has no lines and stays null; a document with fewer
 lines than a window is left alone; a null id is lower than every other; rows that are equal in id and text
-are one document, so neither is later than the other; an empty table gives an empty result; further columns travel along.
+are one document, so neither is later than the other; an empty table gives an empty result; further columns travel along,
+whatever their names, but for ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.names import free_names
+
 WIDTH = 3
 
 
@@ -45,15 +48,15 @@ def repeated_positions(windows: DataFrame, width: int = WIDTH) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the kept lines as text, plus ``n_lines`` and ``n_removed``."""
     marks = repeated_positions(line_windows(docs, width, id_col, text_col), width)
-    marks = marks.select(F.col("doc").alias("dedup_doc"), F.col("text_hash").alias("dedup_hash"), F.col("covered").alias("dedup_covered"))
-    marked = docs.withColumn("dedup_key", F.xxhash64(text_col)).join(
-        marks, F.col(id_col).eqNullSafe(F.col("dedup_doc")) & (F.col("dedup_key") == F.col("dedup_hash")), "left"
-    )
+    docs = docs.drop("n_lines", "n_removed")
+    key, doc, text_hash, covered = free_names(docs, "dedup_key", "dedup_doc", "dedup_hash", "dedup_covered")
+    marks = marks.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), F.col("covered").alias(covered))
+    marked = docs.withColumn(key, F.xxhash64(text_col)).join(marks, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text_hash)), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), F.col("dedup_covered"))
-    text = F.when(F.col("dedup_covered").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - F.lit(1)), F.col(covered))
+    text = F.when(F.col(covered).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    removed = F.coalesce(F.size("dedup_covered"), F.lit(0)).cast("long")
-    removed = F.when(F.col("dedup_covered").isNull(), F.lit(0).cast("long")).otherwise(removed)
+    removed = F.coalesce(F.size(covered), F.lit(0)).cast("long")
+    removed = F.when(F.col(covered).isNull(), F.lit(0).cast("long")).otherwise(removed)
     others = [docs[c] for c in docs.columns if c != text_col]
     return marked.select(*others, text.alias(text_col), count.alias("n_lines"), removed.alias("n_removed"))

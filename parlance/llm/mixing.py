@@ -8,7 +8,8 @@ them: a global shuffle.
 
 Cases: a null source is a source of its own; a null text has size 1, as the empty text; a null id is drawn by its
 text; equal rows draw the same K; a source without a target weight has weight 0 where weights are given; an
-empty table gives an empty result; further columns travel along unchanged.
+empty table gives an empty result; further columns travel along unchanged, whatever their names, but for columns named as the
+copy and order columns of the result, which these replace.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.names import free_names
 from parlance.session import settle
 
 #: A mean beyond this is drawn as a sum of independent parts, each with a mean of at most so much.
@@ -63,30 +65,35 @@ def _point(seed: int, key: Column, salt: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def replicated(docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def replicated(
+    docs: DataFrame, rates: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", copy_col: str = "mix_copy", order_col: str = "mix_order"
+) -> DataFrame:
     """All columns of ``docs`` plus ``mix_copy`` (1 .. K) and ``mix_order``, dealt and ordered by ``mix_order``.
 
     ``rates`` is small (a row per source) and comes from a table, so that Spark knows its size: it broadcasts
     it only below its own threshold and else joins by sorting, splitting a source that is too large.
     """
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PART_MEAN)).cast("int"))
-    table = rates.select(F.col("source").alias("mix_source"), "rate", parts.alias("mix_parts")).withColumn(
-        "mix_below", _distribution(F.col("rate") / F.col("mix_parts"))
-    )
+    docs = docs.drop(copy_col, order_col)
+    source, parts, below, count = free_names(docs, "mix_source", "mix_parts", "mix_below", "mix_count")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(PART_MEAN)).cast("int"))
+    table = rates.select("source", "rate", needed.alias("parts"))
+    table = table.select(F.col("source").alias(source), F.col("parts").alias(parts), _distribution(F.col("rate") / F.col("parts")).alias(below))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
+        F.sequence(F.lit(1), F.col(parts)),
         F.lit(0),
-        lambda total, part: total + F.size(F.filter("mix_below", lambda b: b <= _point(seed, key, part))),
+        lambda total, part: total + F.size(F.filter(F.col(below), lambda b: b <= _point(seed, key, part))),
     )
-    out = docs.join(table, F.col(source_col).eqNullSafe(F.col("mix_source"))).withColumn("mix_count", drawn)
-    out = out.filter("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-    order = F.xxhash64(F.lit(seed), key, F.col("mix_copy"))
-    out = out.select(*[docs[c] for c in docs.columns], "mix_copy", order.alias("mix_order"))
-    return out.repartition("mix_order").sortWithinPartitions("mix_order")
+    out = docs.join(table, F.col(source_col).eqNullSafe(F.col(source))).withColumn(count, drawn)
+    out = out.filter(F.col(count) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(1), F.col(count))))
+    order = F.xxhash64(F.lit(seed), key, F.col(copy_col))
+    out = out.select(*[docs[c] for c in docs.columns], copy_col, order.alias(order_col))
+    return out.repartition(order_col).sortWithinPartitions(order_col)
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
+def mixed(
+    docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, epochs: float = 1.0, seed: int = 17, copy_col: str = "mix_copy", order_col: str = "mix_order"
+) -> DataFrame:
     """``docs`` replicated to the target weights; the rates are settled first."""
     rates = settle(source_rates(docs, weights, exponent, epochs), "mix-rates")
-    return replicated(docs, rates, seed)
+    return replicated(docs, rates, seed, copy_col=copy_col, order_col=order_col)

@@ -34,6 +34,8 @@ BANDS = HASHES // BAND_ROWS
 AGREEING = 77  # of 128
 #: Signatures and texts on one side of a comparison cell, and pairs of one node that are confirmed in one group.
 BLOCK, TEXT_BLOCK, GROUP = 1024, 256, 500
+#: Shingles on one side of a cell of texts (a longer text is a side of its own, by chance beside others).
+SHINGLE_BLOCK = 1 << 17
 
 FEATURES = "doc_id long, text_hash long, n_shingles long, node binary, signature binary"
 FEATURES_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("signature", pa.binary())])
@@ -174,14 +176,15 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(known, F.col("node") == F.col("known"), "left").drop("known").withColumn("root", F.coalesce("root", "node"))
 
 
-def _cells(rows: DataFrame, key: str, block: int) -> DataFrame:
+def _cells(rows: DataFrame, key: str, block: int, weight_block: int | None = None) -> DataFrame:
     """Deal rows ``key, node, root`` of mixed groups into comparison cells ``key, x, y``.
 
     A group's most frequent root is its main one. Rows of other roots are cut into blocks x; each meets every block y >= 0 of
     the main root's rows and every other block (y < 0: block -y-1). Rows of the main root never meet each other, so a
-    group that is one component but for a few rows costs a copy or so per row.
+    group that is one component but for a few rows costs a copy or so per row. Where rows have a ``weight``, blocks are as many
+    as keep theirs at ``weight_block`` too.
     """
-    parts = rows.groupBy(key, "root").agg(F.count(F.lit(1)).alias("n"))
+    parts = rows.groupBy(key, "root").agg((F.count(F.lit(1)) if weight_block is None else F.greatest(F.count(F.lit(1)), F.ceil(F.sum("weight") / F.lit(weight_block / block)))).alias("n"))
     groups = parts.groupBy(key).agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("main_rows"), F.sum("n").alias("all_rows"))
     blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
     groups = groups.filter("all_rows > main_rows").select(key, "main", blocks(F.col("main_rows")).alias("mains"), blocks(F.col("all_rows") - F.col("main_rows")).alias("others"))
@@ -216,7 +219,7 @@ class _Cell:
 def _by_cell(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
     """Columns of the rows of one cell after another; the cell is the first ``keys`` columns."""
     cell, held = None, []
-    for batch in batches:
+    for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         for row in zip(*(column.to_pylist() for column in batch.columns)):
             if row[:keys] != cell:
                 if held:
@@ -259,7 +262,8 @@ def links_across(ties: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataF
     until their components are joined. Only joining links leave a cell.
     """
     grouped = connected_components(ties).select("node", F.col("root").alias("team"))
-    cells = _cells(_rooted(grouped, roots), "team", TEXT_BLOCK).join(sets.select("node", "rep"), "node")
+    weighed = grouped.join(sets.select("node", F.col("n_shingles").alias("weight")), "node")
+    cells = _cells(_rooted(weighed, roots), "team", TEXT_BLOCK, SHINGLE_BLOCK).join(sets.select("node", "rep"), "node")
     wanted = cells.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(F.struct("team", "x", "y", "node", "root", "other")).alias("targets"))
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     sent = rows.join(wanted, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_hash") == F.col("text_hash")))
@@ -284,6 +288,14 @@ def links_across(ties: DataFrame, roots: DataFrame, sets: DataFrame, docs: DataF
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, text_hash`` for every row; ``percent`` is at least 80."""
+    return components_of(docs, width, percent, id_col, text_col).drop("component")
+
+
+def components_of(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept, text_hash, component`` for every row; ``percent`` is at least 80.
+
+    ``component`` names the component whatever its ids are; it is null for an empty set.
+    """
     if percent < 80:
         raise ValueError("bands and signatures are laid out for similarities of 0.8 and more")
     rows = settle(features(docs, width, id_col, text_col), "shingles")
@@ -303,7 +315,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     found = _rooted(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "node", "text_hash"), roots)
     lowest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = found.join(lowest, "root").select("doc_id", "n_shingles", "component_id", "text_hash")
-    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    linked = found.join(lowest, "root").select("doc_id", "n_shingles", "component_id", "text_hash", F.col("root").alias("component"))
+    alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash", F.lit(None).cast("binary").alias("component"))
     out = linked.unionByName(alone)
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash", "component")

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from parlance.llm import line_dedup as L
 from parlance.llm import mixing as M
@@ -90,3 +91,13 @@ def test_copies_are_poisson(spark, sources):
 def test_mix_of_nothing(sources):
     assert M.mixed(sources.limit(0)).count() == 0
     assert M.mixed(sources, {"other": 1.0}).count() == 0
+
+
+def test_any_column_names(spark, sources):
+    names = ["mix_source", "mix_parts", "mix_below", "mix_count", "mix_copy", "mix_order", "dedup_key", "dedup_doc", "dedup_hash", "dedup_covered", "n_lines", "MIX_Source_"]
+    docs = sources.select("doc_id", "text", "source", *[F.lit(n).alias(n) for n in names])
+    mix = M.mixed(docs)
+    assert sorted(mix.columns) == sorted(docs.columns) and mix.filter("mix_source != 'mix_source' or mix_count != 'mix_count'").count() == 0
+    assert dict(mix.dtypes)["mix_copy"] == "int" and mix.count() == M.mixed(sources).count()
+    got = L.without_repeats(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_removed"]) and got.filter("dedup_key = 'dedup_key' and n_lines >= 0").count() == docs.count()

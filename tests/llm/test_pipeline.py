@@ -70,7 +70,8 @@ def test_whole_run(spark):
 def test_odd_rows(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text, "a"), (1, text, "a"), (2, text + " eleven", "b"), (None, None, None), (None, "alone here with nobody", "a"), (3, "", "a"), (4, None, "b"), (1, "quite another text under the same id", "c")]
-    docs = spark.createDataFrame([(a, b, c, 1, "x") for a, b, c in rows], "doc_id long, text string, source string, rate int, node string")
+    clashing = ["rate", "node", "toxic_id", "dropped_hash", "again_id", "row", "leaked_id", "leaked_hash", "mix_source", "mix_parts", "mix_below", "mix_count", "mix_copy", "mix_order", "component"]
+    docs = spark.createDataFrame([(*r, *range(len(clashing))) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in clashing))
     for name, stage in P.STAGES[:4]:
         out = stage(spark, docs, FOLDER)
         assert out.columns == docs.columns, name
@@ -80,3 +81,16 @@ def test_odd_rows(spark):
     assert P.drop_toxic(spark, docs, FOLDER).count() == len(rows) and P.drop_benchmark_leaks(spark, docs, FOLDER).count() == len(rows)
     assert len(P.write_tokens(spark, docs, FOLDER).collect()) == len(rows)
     assert zlib.crc32(np.array([2], dtype="<u4").tobytes()) in {r.ids_crc32 for r in P.write_tokens(spark, docs, FOLDER).collect()}
+
+
+def test_one_of_each_group(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    near = [f"{base} tail{i}" for i in range(5)]
+    for ids in ([None, None, None, 7, 7], [None] * 5, [3, 3, None, 9, 3]):
+        rows = [(i, t, "s") for i, t in zip(ids, near)] + [(7, "a text of its own that nobody else has", "s"), (None, "", "s"), (8, None, "s")]
+        left = P.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), FOLDER).collect()
+        group = [r.doc_id for r in left if r.text in near]
+        assert len(left) == 4 and group == [min((i for i in ids if i is not None), default=None)]
+    rows = [(1, base, "a", 5), (1, base, "b", 5), (1, base, "b", 5), (2, base, "c", 5)]
+    one = [tuple(P.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(n), FOLDER).first()) for n in (1, 3)]
+    assert one[0] == one[1] and one[0][0] == 1
