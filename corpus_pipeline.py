@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import decontaminate, mixing, near_dedup, token_files, toxicity
+from parlance.llm.names import free_names
 from parlance.session import drop_tables, settle, settled_in
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -37,32 +38,40 @@ def stage(work: Stage) -> Stage:
     return run_stage
 
 
+def without(docs: DataFrame, rejected: DataFrame, label: str) -> DataFrame:
+    """The rows of ``docs`` but those with an id and text (``text_hash``; a null text has one too) of ``rejected``."""
+    doc, text_hash = free_names(docs, f"{label}_id", f"{label}_hash")
+    gone = settle(rejected.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash)).distinct(), label)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left_anti")
+
+
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose restored text scores below ``TOXIC``; the labels teach the rules and decide nothing else."""
     scored = toxicity.scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = settle(scored.filter(F.col("score") >= TOXIC).select(F.col("doc_id").alias("toxic_id"), F.col("text_hash").alias("toxic_hash")).distinct(), "toxic")
-    # hashes of texts: a null text hashes to a value too
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("toxic_id")) & (F.xxhash64("text") == F.col("toxic_hash")), "left_anti")
+    return without(docs, scored.filter(F.col("score") >= TOXIC), "toxic")
 
 
 @stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id.
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id, ids that are
+    null last, of several texts of that id the one with the least hash.
 
-    Rows that are equal in id and text are one document.
+    Rows that are equal in id and text are one document; of these the row with the least hash of all its columns stays.
     """
-    judged = near_dedup.near_duplicates(docs, width=5, percent=80)
-    dropped = settle(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_hash")).distinct(), "dropped")
-    kept = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.xxhash64("text") == F.col("dropped_hash")), "left_anti")
-    key = F.xxhash64("text")
-    repeated = docs.groupBy(F.col("doc_id").alias("again_id"), key.alias("again_hash")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    judged = settle(near_dedup.components_of(docs, width=5, percent=80).filter("component is not null").select("component", "doc_id", "text_hash").distinct(), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    chosen = judged.groupBy("component").agg(F.min(order).alias("stays"))
+    kept = without(docs, judged.join(chosen, "component").filter(~order.eqNullSafe(F.col("stays"))), "dropped")
+    again_id, again_hash, rows, row = free_names(docs, "again_id", "again_hash", "rows", "row")
+    repeated = docs.groupBy(F.col("doc_id").alias(again_id), F.xxhash64("text").alias(again_hash)).agg(F.count(F.lit(1)).alias(rows)).filter(F.col(rows) > 1).drop(rows)
     repeated = settle(repeated, "repeated")
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.xxhash64("text") == F.col("again_hash"))
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    same = F.col("doc_id").eqNullSafe(F.col(again_id)) & (F.xxhash64("text") == F.col(again_hash))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.join(repeated, same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row))
+    return kept.join(repeated, same, "left_anti").unionByName(once.select(f"{row}.*"))
 
 
 @stage
@@ -74,7 +83,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to their source's target weight (size to the power of a half), shuffled."""
-    return mixing.mixed(docs, exponent=0.5, epochs=1.0, seed=17).drop("mix_copy", "mix_order")
+    names = free_names(docs, "mix_copy", "mix_order")
+    return mixing.mixed(docs, None, 0.5, 1.0, 17, *names).drop(*names)
 
 
 @stage
