@@ -161,8 +161,12 @@ CTE["clusters"] = f"""clusters AS (
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustered(given(spark, d, "embeddings"))
+
+
+def clustered(embeddings: DataFrame) -> DataFrame:
     """Embeddings as speaker clusters: ten per session, users share the sessions out."""
-    return given(spark, d, "embeddings").select(
+    return embeddings.select(
         F.col("vec_id").alias("cluster_id"),
         (F.col("vec_id") % USERS).alias("user_id"),
         F.floor(F.col("vec_id") / 10).cast("long").alias("session_id"),

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
+from parlance.catalog.speakers import SQL_ORDERED
 from parlance.catalog.triggers import SQL_MATCHES, action
 from parlance.sources.tables import given
 from parlance.streaming import live
 from parlance.streaming import rollover as ro
+from parlance.streaming import voices
 
 INTERVAL_S = 24 * 3600.0
 
@@ -111,6 +113,24 @@ def live_conversations(spark, d):
     return rows.select("user_id", b.stamp("started_at").alias("started_at"), b.stamp("ended_at").alias("ended_at"), "n_events")
 
 
+@query(
+    "live_linked_speakers",
+    b.with_cte("clusters", recursive=True)
+    + ","
+    + SQL_ORDERED
+    + """
+SELECT user_id, cluster_id, speaker_id, is_new, CAST(mention_count AS INTEGER) AS mention_count FROM fold
+WHERE r > 0 AND cluster_id < (SELECT max(cluster_id) FROM clusters) - 30""",
+)
+def live_linked_speakers(spark, d):
+    """Clusters arrive a second apart; those behind the watermark, half a minute back, are linked."""
+    rows = b.clustered(live.given_stream(spark, d, "embeddings"))
+    arriving = rows.withColumn("ts", F.timestamp_seconds(F.col("cluster_id") + 86400))
+    with voices.keyed_state(spark):
+        links = live.drained(voices.live_links(arriving, 0.2, "30 seconds"), "links")
+    return links.select("user_id", "cluster_id", "speaker_id", "is_new", "mention_count")
+
+
 @query(
     "live_trigger_matches",
     "WITH RECURSIVE " + SQL_MATCHES + " SELECT id, phrase AS matched_phrase, transcript AS input_text FROM matches",

@@ -96,6 +96,11 @@ class Registry:
         self.wearer.append(bool(is_user))
         self.centroids.append(np.asarray(embedding, dtype="float64"))
 
+    def forget(self, speaker_id) -> None:
+        at = self.ids.index(speaker_id)
+        for column in (self.ids, self.counts, self.wearer, self.centroids):
+            del column[at]
+
     def add(self, cluster_id, label: str, vector: np.ndarray, threshold: float) -> tuple:
         """Link one cluster; returns ``(speaker_id, is_new, mention_count, is_user, centroid)``."""
         best, score = None, threshold
