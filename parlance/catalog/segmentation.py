@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
 from parlance.plans import segmentation as seg
+from parlance.session import settle
 
 GAP_S = 12 * 3600.0
 FRAME_S = 0.5
@@ -62,19 +63,18 @@ convs AS (SELECT session_id, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY
 
 
 def durations(frames):
-    return frames.groupBy("session_id").agg((F.count("*") * F.lit(FRAME_S)).alias("duration_s"))
+    return settle(frames.groupBy("session_id").agg((F.count("*") * F.lit(FRAME_S)).alias("duration_s")), "durations")
 
 
 def silences(spark, d):
     frames = b.frames(spark, d)
-    return frames, seg.silences_from_frames(
-        frames, durations(frames), min_speech_s=1.0, min_silence_s=2.0, **PARAMS
-    )
+    lasting = durations(frames)
+    return lasting, seg.silences_from_frames(frames, lasting, min_speech_s=1.0, min_silence_s=2.0, **PARAMS)
 
 
 def cuts(spark, d):
-    frames, found = silences(spark, d)
-    return seg.conversations_from_silences(durations(frames), found, gap_threshold_s=6.0, pad_s=0.25)
+    lasting, found = silences(spark, d)
+    return seg.conversations_from_silences(lasting, found, gap_threshold_s=6.0, pad_s=0.25)
 
 
 def out(df):

@@ -234,3 +234,64 @@ def test_child_sessions(spark):
     child = children.withColumn("s", F.date_format("started_at", "HH:mm:ss")).first()
     assert (child.id, child.parent_id, child.s, child.duration_s, child.status) == ("p-0", "p", "00:00:10", 60.5, "pending_stt")
     assert sorted((r.id, r.status) for r in parents.collect()) == [("p", "segmented"), ("q", "silent")]
+
+
+def plain_runs(probs, threshold, low, bridge_s, frame_s):
+    """Hysteresis and bridging of ``{frame: probability}``, frame by frame."""
+    state, found = 0, []
+    for number in sorted(probs):
+        p = probs[number]
+        state = 1 if p is not None and p >= threshold else 0 if p is None or p < low else state
+        if state:
+            if found and number - found[-1][1] <= 1:
+                found[-1][1] = number
+            else:
+                found.append([number, number])
+    out = []
+    for a, b in found:
+        start, end = a * frame_s, (b + 1) * frame_s
+        if out and start - out[-1][1] < max(bridge_s, frame_s / 2):
+            out[-1][1] = end
+        else:
+            out.append([start, end])
+    return [tuple(x) for x in out]
+
+
+def test_chunks_join_under_several_settings(spark):
+    rng = random.Random(12)
+    sessions = {}
+    for name in "abcdef":
+        p = {n: rng.choice([0.9, 0.45, 0.45, 0.45, 0.1]) for n in range(rng.choice([1, 40, 400])) if rng.random() > 0.03}
+        sessions[name] = p or {0: 0.9}
+    sessions["all"] = dict.fromkeys(range(100), 0.9)
+    sessions["undecided"] = dict.fromkeys(range(50), 0.45)
+    df = spark.createDataFrame([(s, n, v) for s, p in sessions.items() for n, v in p.items()], "session_id string, frame_idx long, prob double").repartition(4)
+    settings = [(0.5, 0.35, 0.0), (0.5, 0.35, 1.0), (0.5, 0.35, 40.0), (0.8, 0.5, 2.5), (0.95, 0.5, 1.0)]
+    for chunk in (3, 16, 1000):
+        folded = seg.folded_frames(df, settings, 0.5, chunk)
+        got = {}
+        for r in seg._joined_runs(folded, [x[2] for x in settings], 0.5).collect():
+            got.setdefault((r.setting, r.session_id), []).append((r.start, r.end))
+        want = {(n, s): plain_runs(p, *setting, 0.5) for n, setting in enumerate(settings) for s, p in sessions.items()}
+        assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}, chunk
+
+
+def test_sweep_equals_single_runs(spark):
+    rng = random.Random(13)
+    frames_ = [(s, n, rng.choice([0.9, 0.9, 0.45, 0.1, 0.1])) for s in range(4) for n in range(300)]
+    df = spark.createDataFrame(frames_, "session_id long, frame_idx long, prob double")
+    durations = spark.createDataFrame([(s, 150.0) for s in range(4)] + [(9, 20.0), (10, 0.0)], "session_id long, duration_s double")
+    names = ("threshold", "min_speech_s", "min_silence_s", "gap_s", "pad_s")
+    settings = [dict(zip(names, x)) for x in ((0.5, 1.0, 1.0, 2.0, 0.0), (0.5, 0.5, 2.0, 3.0, 0.25), (0.7, 9.0, 1.0, 2.0, 0.5), (0.01, 0.0, 0.5, 1e9, 0.0), (0.5, 1.0, 0.0, 1.0, 0.0))]
+    rows = seg.parameter_sweep(df, durations, settings, 0.5).collect()
+    assert len(rows) == len(settings) * 6
+    got = {(r.setting, r.session_id): (r.n_conversations, round(r.speech_s, 6)) for r in rows}
+    for n, x in enumerate(settings):
+        silences = seg.silences_from_frames(df, durations, 0.5, max(x["threshold"], 0.05), None, min(x["min_speech_s"], 5.0), x["min_silence_s"])
+        kept = {}
+        for r in seg.conversations_from_silences(durations, silences, x["gap_s"], x["pad_s"]).collect():
+            count, length = kept.get(r.session_id, (0, 0.0))
+            kept[r.session_id] = (count + 1, length + r.end - r.start)
+        for s in (0, 1, 2, 3, 9, 10):
+            count, length = kept.get(s, (0, 0.0))
+            assert got[n, s] == (count, round(length, 6)), (n, s)
