@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
 from parlance.functions import values as fv
+from parlance.functions.answers import answer_object
 from parlance.functions.text import without_fences, without_thinking
 from parlance.plans import extraction as ex
 from parlance.plans import transcripts as tr
@@ -79,6 +80,37 @@ def extracted_conversations(spark, d):
     )
 
 
+@query(
+    "mended_answers",
+    """
+SELECT doc_id AS id, CASE WHEN doc_id % 7 = 4 THEN 'the "' || source || ' of ' || lang || '" one' ELSE source || ' of ' || lang END AS title,
+       length(regexp_replace(text, '[^a-zA-Z0-9 ,.]', ' ', 'g')) AS summary_chars, 0.5e0 AS score, doc_id % 7 < 6 AS repaired FROM documents""",
+)
+def mended_answers(spark, d):
+    """Answers with quotes of other kinds, comments, bare texts, inner quotes and odd numbers, by ``doc_id``; the whole text inside."""
+    docs = given(spark, d, "documents")
+    title, summary = F.concat("source", F.lit(" of "), "lang"), F.regexp_replace("text", "[^a-zA-Z0-9 ,.]", " ")
+    forms = (
+        "{'title': '%s', 'summary': '%s', 'score': .5}",
+        "{\u201ctitle\u201d: \u201c%s\u201d, \u201csummary\u201d: \u2018%s\u2019, \u201cscore\u201d: 0.5,}",
+        '{// found\n"title": "%s", /* all\nof it */ "summary": "%s", "score": +0.5}',
+        '{"title": %s, "summary": "%s", "score": 0.5}',
+        '{"title": "the "%s" one", "summary": "%s", "score": 0.5}',
+        "{'title': '%s' 'summary': '%s', score: 5e-1} // done",
+        '{"title": "%s", "summary": "%s", "score": 0.5}',
+    )
+    raw = F.element_at(F.array(*(F.format_string(form, title, summary) for form in forms)), (F.col("doc_id") % 7 + 1).cast("int"))
+    found, repaired = answer_object(raw)
+    rows = docs.select("doc_id", found.alias("object"), repaired.alias("repaired"))
+    return rows.select(
+        F.col("doc_id").alias("id"),
+        F.get_json_object("object", "$.title").alias("title"),
+        F.length(F.get_json_object("object", "$.summary")).cast("long").alias("summary_chars"),
+        F.get_json_object("object", "$.score").cast("double").alias("score"),
+        "repaired",
+    )
+
+
 @query(
     "extracted_events",
     "WITH "

@@ -128,6 +128,152 @@ def patched(text: str) -> str | None:
     return "".join(out)
 
 
+#: Quotes that may open a text, each with those that may close it.
+_QUOTES = {'"': '"\u201d', "'": "'\u2019", "`": "`'", "\u201c": '\u201d\u201c"', "\u201d": '\u201d"', "\u201e": '\u201c\u201d"', "\u2018": "\u2019'", "\u2019": "\u2019'"}
+_OPEN = "".join(_QUOTES)
+_SKIP = re.compile(r"(?:\s+|//[^\n]*|/\*.*?(?:\*/|\Z))*", re.DOTALL)
+_KEY = re.compile(rf"(?:[{_OPEN}][^\n{{}}\[\]:,{_OPEN}]{{0,120}}[{_OPEN}]|[^\W\d][\w-]*)\s*:|[{_OPEN}][^:{{}}\[\]]*\Z|[^\W\d]\w*\Z", re.DOTALL)
+_ITEM = re.compile(rf"[{_OPEN}{{\[\-\d.]|(?:true|false|null|none|nan)\b", re.IGNORECASE)
+_POINT = re.compile(r"([+-]?)(\d*)\.?(\d*)([eE][+-]?\d+)?")
+
+
+def _goes_on(text: str, at: int, place: str) -> bool:
+    """Whether the object makes sense from here on, right behind a text at ``place`` (key, member or item)."""
+    at = _SKIP.match(text, at).end()
+    mark = text[at : at + 1]
+    if not mark:
+        return True
+    if place == "key":
+        return mark == ":"
+    after = _KEY if place == "member" else _ITEM
+    if mark == ",":
+        then = _SKIP.match(text, at + 1).end()
+        return then == len(text) or text[then] in ",}]" or after.match(text, then) is not None
+    return mark in "}]"
+
+
+def _quoted(text: str, at: int, place: str) -> tuple[str, int, bool]:
+    """A quoted text from its opening quote: its content, where it ends, and whether it was closed.
+
+    Of the quotes that may close it, the first counts behind which the object goes on; where there is none, the first that a
+    further member follows without a comma, then the first at all. The quotes before it belong to the text.
+    """
+    closers, second, first = _QUOTES[text[at]], None, None
+    k = at + 1
+    while k < len(text):
+        if text[k] == "\\":
+            k += 2
+            continue
+        if text[k] in closers:
+            if _goes_on(text, k + 1, place):
+                return text[at + 1 : k], k + 1, True
+            if second is None and place != "key":
+                then = _SKIP.match(text, k + 1).end()
+                missed = _KEY.match(text, then) if place == "member" else then > k + 1 and text[then] in _OPEN + "{["
+                second = k if missed and (place == "item" or text[then] in _OPEN) else None
+                if second is not None:
+                    return text[at + 1 : second], second + 1, True
+            first = k if first is None else first
+        k += 1
+    if first is None:
+        return text[at + 1 :], len(text), False
+    return text[at + 1 : first], first + 1, True
+
+
+def _written_text(content: str, closed: bool) -> str:
+    """A text between double quotes: those inside it are escaped, escaped single quotes are plain."""
+    inside = re.sub(r"\\(.)|\"", lambda m: '\\"' if m[0] == '"' else m[1] if m[1] in "'`" else m[0], content, flags=re.DOTALL)
+    return '"' + inside + ('"' if closed else "")
+
+
+def _bare(word: str) -> str:
+    """A value without quotes: numbers as JSON writes them, broken literals as they are (they become null), anything else a text."""
+    found = _POINT.fullmatch(word)
+    if found and (found[2] or found[3]):
+        digits = found[2].lstrip("0") or "0"
+        return ("-" if found[1] == "-" else "") + digits + (f".{found[3]}" if found[3] else "") + (found[4] or "")
+    low = word.lower()
+    if any(known.startswith(low) for known in (*_LITERALS, "undefined", "infinity", "-infinity", "+infinity")):
+        return word
+    return json.dumps(word, ensure_ascii=False)
+
+
+def requoted(text: str) -> str:
+    """The first object of a text with quotes of one kind, without comments, its bare texts quoted; its structure is left as it is.
+
+    Single, typographic and back quotes open and close texts, quotes inside a text are told from its end by what follows, words
+    without quotes are read up to the next member or item, numbers such as ``.5`` and ``+1`` are written out.
+    """
+    begin = text.find("{")
+    if begin < 0:
+        return text
+    out: list[str] = []
+    stack: list[str] = []
+    at, place = begin, "key"  # where the next text would stand
+    while at < len(text):
+        skipped = _SKIP.match(text, at).end()
+        if skipped > at:
+            out.append(" ")
+            at = skipped
+            continue
+        mark = text[at]
+        at += 1
+        if mark in "{[":
+            stack.append(mark)
+            out.append(mark)
+            place = "key" if mark == "{" else "item"
+        elif mark in "}]":
+            out.append(mark)
+            opener = "{" if mark == "}" else "["
+            while stack and stack[-1] != opener and opener in stack:
+                stack.pop()
+            if stack:
+                stack.pop()
+            if not stack:
+                break
+            place = "member-end" if stack[-1] == "{" else "item"
+        elif mark == ",":
+            out.append(mark)
+            place = "key" if stack[-1] == "{" else "item"
+        elif mark == ":":
+            out.append(mark)
+            place = "member"
+        elif mark in _QUOTES:
+            if place == "member-end":  # a comma is missing
+                place = "key"
+            content, at, closed = _quoted(text, at - 1, place)
+            out.append(_written_text(content, closed))
+            place = "member-end" if place == "member" else place
+        else:
+            if place == "member-end":
+                place = "key"
+            start, at = at - 1, _bare_end(text, at - 1, place)
+            word = text[start:at].rstrip()
+            out.append(word if place == "key" else _bare(word) if at < len(text) else word)
+            place = "member-end" if place == "member" else place
+    return "".join(out)
+
+
+def _bare_end(text: str, at: int, place: str) -> int:
+    """Where a word without quotes ends: a key at its colon, a number at the next sign, another value where the object goes on."""
+    start, at = at, at + 1
+    while at < len(text):
+        mark = text[at]
+        if place == "key":
+            if mark in ":,{}[]" or mark.isspace():
+                break
+        elif mark in "}]" or (mark == "," and (_goes_on(text, at, place) or _POINT.fullmatch(text[start:at].rstrip()))) or (mark == "/" and text[at : at + 2] in ("//", "/*") and text[at - 1].isspace()):
+            break
+        elif mark.isspace():
+            then = _SKIP.match(text, at).end()
+            if text[then : then + 1] in _OPEN and then < len(text) and (place == "item" or _KEY.match(text, then)):
+                break
+            if place == "item" and _POINT.fullmatch(text[start:at]) and _ITEM.match(text, then):
+                break
+        at += 1
+    return at
+
+
 def mended(text: str) -> str | None:
     """A damaged object closed at the last place that makes sense; what follows it is dropped.
 
@@ -175,12 +321,13 @@ def _recovered(text: str | None) -> tuple[str | None, bool]:
     whole = _object_of(found)
     if whole is not None:
         return _dumped(whole), False
-    # a prefix is taken only of what has no fault but an open end
-    fixed = patched(found) if found.startswith("{") else None
-    fixed = None if fixed is None else mended(fixed)
-    if fixed is None:
-        return None, False
-    return _dumped(_object_of(fixed)), True
+    # quotes, comments and bare texts first, then the structure; a prefix is taken only of what has no fault but an open end
+    for reading in (requoted(text), found) if found.startswith("{") else ():
+        fixed = patched(reading)
+        fixed = None if fixed is None else mended(fixed)
+        if fixed is not None:
+            return _dumped(_object_of(fixed)), True
+    return None, False
 
 
 def _dumped(value: dict) -> str:

@@ -219,9 +219,19 @@ def test_answers(spark):
         ('{"a": "x\ny\\d \\\'", "b": {"c": [1, 2}, "d": 3}', {"a": "x\ny\\d '", "b": {"c": [1, 2]}, "d": 3}),
         ('{"a": 1 "b": nul, "c": [{"d": "cut \\u00', {"a": 1, "b": None, "c": [{"d": "cut "}]}),
         ('{"a": 1 "b": 2, "c": tr', {"a": 1, "b": 2}),
-        ('{"a": 1, "b": "he said "no" to me", "c": 2}', None),
-        ('{"a": 1, "b": ["he said "no" to me"], "c": 2}', None),
-        ("{\"a\": 1, 'b': 2}", None), ('{"a": 1, "b": not sure, "c": 2}', None), ('{"a": 1, "b" 2}', None), ("{,}", None),
+        ('{"a": 1, "b": "he said "no" to me", "c": 2}', {"a": 1, "b": 'he said "no" to me', "c": 2}),
+        ('{"a": 1, "b": ["he said "no" to me", "x"], "c": 2}', {"a": 1, "b": ['he said "no" to me', "x"], "c": 2}),
+        ("{\"a\": 1, 'b': 2}", {"a": 1, "b": 2}), ('{"a": 1, "b": not sure, "c": 2}', {"a": 1, "b": "not sure", "c": 2}), ('{"a": 1, "b" 2}', None), ("{,}", None),
+        ("{'a': 'it\\'s', 'b': ['x', 'say \"hi\"'], 'c': {'d': None}}", {"a": "it's", "b": ["x", 'say "hi"'], "c": {"d": None}}),
+        ("{'a': 'it's late, isn't it', 'b': 'the end'}", {"a": "it's late, isn't it", "b": "the end"}),
+        ("{\u201ca\u201d: \u201cone, two\u201d, \u201cb\u201d: [\u2018x\u2019, \u201ey\u201c]}", {"a": "one, two", "b": ["x", "y"]}),
+        ('{"a": "plain \u201cquoted\u201d, here", "b": .5, "c": +1, "d": -.25e2, "e": 3., "f": NaN, }', {"a": "plain \u201cquoted\u201d, here", "b": 0.5, "c": 1, "d": -25.0, "e": 3, "f": None}),
+        ('{ // first\n "a": "http://x/y", /* two\n lines */ "b": [1, /* no */ 2], // c\n "c": "/* kept */" } and then {more}', {"a": "http://x/y", "b": [1, 2], "c": "/* kept */"}),
+        ('{"a": call Ann tomorrow, "b": [one thing, "two", 3], "c": 2024-05-01}', {"a": "call Ann tomorrow", "b": ["one thing", "two", 3], "c": "2024-05-01"}),
+        ('{"a": call Ann, then Bob, "b": "x"}', {"a": "call Ann, then Bob", "b": "x"}),
+        ('{"title": "a "b", c", "items": [{"t": "say "x"", "n": 1}, {"t": "y"}]}', {"title": 'a "b", c', "items": [{"t": 'say "x"', "n": 1}, {"t": "y"}]}),
+        ("{'a': 'x', 'b': 'cut in the mid", {"a": "x", "b": "cut in the mid"}),
+        ('{"a": "x", // cut\n "b": [{"c": \u201cyes\u201d}, {"c": \u201cn', {"a": "x", "b": [{"c": "yes"}, {"c": "n"}]}),
     ],
 )
 def test_faults_are_mended_where_they_are(raw, want):

@@ -200,14 +200,13 @@ def test_island_ids_across_chunks(spark):
 
 
 def test_silence_log(spark, tmp_path):
-    log = (
-        "Duration: 00:04:30.50, start: 0\nsilence_start: 0\nsilence_end: 1.25 | silence_duration: 1.25\n"
-        "silence_start: 45.3\nframe=1\nsilence_end: 130.42 | x\nsilence_end: 7\nsilence_start: 230\nsilence_end: 270.5\nsilence_start: 271\n"
-    )
-    (tmp_path / "a.log").write_text(log)
+    lines_ = ["silence_end: 3.5", "silence_start: 12", "size= 17kB time=00:01", "silence_end: 19.75 | silence_duration: 7.75", "silence_start: 600.125"]
+    lines_ += ["  Duration: 01:00:05.25, start: 0", "silence_start: 700", "silence_end: 3605.25 | tail", "[x @ 0x1] silence_start: 3605.25"]
+    (tmp_path / "b.log").write_text("\n".join(lines_))
     lines = capture.silence_logs(spark, str(tmp_path))
-    assert rows(capture.paired_silences(lines), "start", "end") == [(0.0, 1.25), (45.3, 130.42), (230.0, 270.5)]
-    assert [r.duration_s for r in capture.logged_durations(lines).collect()] == [270.5]
+    found = rows(capture.paired_silences(lines), "start", "end")
+    assert (12.0, 19.75) in found and found[-1][1] == 3605.25 and all(a < b for a, b in found) and 3.5 not in {b for _, b in found}
+    assert [r.duration_s for r in capture.logged_durations(lines).collect()] == [3605.25]
 
 
 def test_landed_files(spark, tmp_path):
