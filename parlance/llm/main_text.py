@@ -6,8 +6,13 @@ role or class says that it is no main text. A decision tree learned from a small
 (``main_text_labels``) says which blocks stay; they are joined in page order.
 
 Cases: a null or empty page has the empty text; unclosed elements and comments end with the page, an unfinished
-tag at the end is dropped; character references are decoded once; a nested article inside a left-out element stays left
-out, unless every article of the page stands in an element whose class, id or role says so: of these the least enclosed stay; repeated pages are read alike; an empty table gives an empty result; further columns are not read.
+tag at the end is dropped; character references are decoded once; repeated pages are read alike; an empty table gives an empty
+result; further columns are not read.
+
+Forms, dialogs, field sets and elements whose class, id or role names another use are only suspected of it. Of a page's articles
+those in the fewest suspected elements stay; on a page without an article the blocks in so few of them that they hold half of its
+words; inside an article a suspected part goes unless it holds most of the article. Reader comments are never taken for the text by
+their size.
 """
 
 from __future__ import annotations
@@ -34,12 +39,17 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style noscript template textarea iframe title svg math object canvas noembed noframes xmp".split())
 #: Elements that are read like others where they stand in an article.
 EMBEDDED_TAGS = frozenset("noscript svg math object canvas".split())
-OTHER_TAGS = frozenset("nav aside form button select menu dialog fieldset head".split())
+OTHER_TAGS = frozenset("nav aside button select menu head".split())
+#: Elements that often hold what is no main text, and sometimes all of it.
+SUSPECT_TAGS = frozenset("form dialog fieldset".split())
 OTHER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside complementary related recommended share sharing social "
     "newsletter subscribe subscription signup login search comment comments discussion disqus replies reply widget toolbar skip".split()
 )
+COMMENT_WORDS = frozenset("comment comments discussion disqus replies reply".split())
+#: First and last parts of compound names that tell a state of the element, not its use.
+STATES, ENDINGS = frozenset("has have with without no is not show shows hide hides allow allows enable enables supports".split()), frozenset("open opened closed enabled disabled allowed on off".split())
 FRAME_WORDS = frozenset("header footer masthead contentinfo".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 #: Elements that an opening tag closes by itself.
@@ -55,7 +65,8 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*
 class Element:
     name: str
     other: bool
-    worded: bool
+    suspect: bool
+    comment: bool
     frame: bool
     article: bool
     link: bool
@@ -69,30 +80,52 @@ class Blocks:
     rows: list[list] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked_parts: list[str] = field(default_factory=list)
-    around: list[int] = field(default_factory=list)  # of each block, the worded elements that are or hold its article, or hold it if it has none
+    around: list[tuple] = field(default_factory=list)  # of each block, see ``close``
 
     def close(self, stack: list[Element]) -> None:
         text = " ".join(entities.unescape("".join(self.parts)).split())
         if text:
             words = text.count(" ") + 1
             linked = len(entities.unescape(" ".join(self.linked_parts)).split())
-            article = any(e.article for e in stack)
+            article = any(e.article for e in stack) and not any(e.comment for e in stack)  # reader comments are often articles
             inner = max((i for i, e in enumerate(stack) if e.article), default=len(stack))
-            self.around.append(sum(e.worded for e in stack[: inner + 1]))
-            within = any(e.worded for e in stack[inner + 1 :])
-            self.rows.append([text, words, min(1.0, linked / words), article, any(e.heading for e in stack), within or any(e.other for e in stack), any(e.frame for e in stack)])
+            outside, inside = stack[: inner + 1], stack[inner + 1 :]
+            # suspected elements that are or hold its article (or hold it, if it has none), and what is suspected inside of that
+            self.around.append((sum(e.suspect or e.comment for e in outside), any(e.comment for e in outside), any(e.suspect for e in inside), any(e.comment for e in inside)))
+            self.rows.append([text, words, min(1.0, linked / words), article, any(e.heading for e in stack), any(e.other for e in stack), any(e.frame for e in stack)])
         self.parts, self.linked_parts = [], []
 
     def judge(self) -> list[list]:
-        """The blocks, of other use also where more worded elements surround them than surround the page's articles, or blocks."""
-        has_article = any(r[3] for r in self.rows)
-        open_ = [n for n, r in zip(self.around, self.rows) if not r[5] and (r[3] if has_article else not r[6])]
-        least = min(open_, default=0)
-        for n, row in zip(self.around, self.rows):
-            row[5] = row[5] or n > (least if row[3] or not has_article else 0)
+        """The blocks, of other use also where the suspicion about elements around them holds."""
+        plain = [r[1] * (1 - r[2]) for r in self.rows]  # words without links
+        if any(r[3] for r in self.rows):
+            least = min((a[0] for a, r in zip(self.around, self.rows) if r[3] and not r[5]), default=0)
+            own = [(a, n) for a, r, n in zip(self.around, self.rows, plain) if r[3] and not r[5] and a[0] <= least and not a[3]]
+            most = sum(n for a, n in own if a[2]) > 4 * sum(n for a, n in own if not a[2])  # nearly all of it is in a suspected part
+            for (count, _, suspect, comment), row in zip(self.around, self.rows):
+                row[5] = row[5] or comment or (suspect and not most) or count > (least if row[3] else 0)
+            return self.rows
+        open_ = [(a[0], n) for a, r, n in zip(self.around, self.rows, plain) if not (r[5] or r[6] or a[1])]
+        total, held, least = sum(n for _, n in open_), 0.0, 0
+        for least in sorted({count for count, _ in open_}):
+            held += sum(n for count, n in open_ if count == least)
+            if 2 * held >= total:
+                break
+        for (count, comment, _, _), row in zip(self.around, self.rows):
+            row[5] = row[5] or comment or count > least
         return self.rows
 
 
+def _said(names: str) -> set[str]:
+    """The words of class names, but for those that tell a state: ``has-sidebar``, ``comments-open``."""
+    out: set[str] = set()
+    for name in names.split():
+        parts = re.findall(r"[a-z]+", name)
+        if len(parts) == 1 or (parts and parts[0] not in STATES and parts[-1] not in ENDINGS):
+            out.update(parts)
+    return out
+
+
 def _element(name: str, rest: str, stack: list[Element]) -> Element:
     said: set[str] = set()
     hidden = False
@@ -100,15 +133,17 @@ def _element(name: str, rest: str, stack: list[Element]) -> Element:
         for key, value in _NAMED.findall(rest):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
-                said.update(re.findall(r"[a-z]+", value))
+                said |= _said(value)
             elif key == "style":
                 hidden = hidden or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None
             else:
                 hidden = hidden or key == "hidden" or value == "true"
     inside = any(e.article for e in stack)
     frame = name == "footer" or "footer" in said or (not inside and (name == "header" or bool(said & FRAME_WORDS)))
-    worded = name not in ("body", "html") and bool(said & OTHER_WORDS)
-    return Element(name, name in OTHER_TAGS or hidden, worded, frame, name in ARTICLE_TAGS, name == "a", name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    named = name not in ("body", "html")
+    comment = named and bool(said & COMMENT_WORDS)
+    suspect = name in SUSPECT_TAGS or (named and not comment and bool(said & OTHER_WORDS))
+    return Element(name, name in OTHER_TAGS or hidden, suspect, comment, frame, name in ARTICLE_TAGS, name == "a", name in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def page_blocks(page: str | None) -> list[list]:

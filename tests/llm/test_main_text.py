@@ -85,3 +85,67 @@ def test_given_pages(spark, tree):
         inside = re.sub(r"</?[a-z][^>]*>", "", re.sub(r"</?(p|h1|br)\b[^>]*>", " ", inside))
         assert got[page.page_id].text == " ".join(html.unescape(inside).split())
         assert got[page.page_id].n_chars == len(got[page.page_id].text)
+
+
+def test_suspected_wrappers(spark, tree):
+    body = f"<h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p>"
+    want = "Head " + " ".join((TEXT * 2).split())
+    menu = "<ul>" + "".join(f"<li><a href={i}>no link</a>" for i in range(6)) + "</ul>"
+    wraps = [
+        f"<form id=aspnetForm><nav>{menu}</nav><div><article>{body}</article></div><div class=footer>no</div></form>",
+        f"<body><form method=post><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></form></body>",
+        f"<article><h1>Head</h1><p>{TEXT}</p></article><article class='post has-comments'><p>{TEXT}</p></article>",
+        f"<div class=social-issues>{body}</div>",
+        f"<h1>Head</h1><div class=has-sidebar><p>{TEXT}</p><p>{TEXT}</p></div><div class=sidebar>{menu}</div>",
+        f"<article><form><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></form></article>",
+        f"<dialog open><article>{body}</article></dialog>",
+        f"<article>{body}<form class=newsletter><p>no no no no no</p></form></article><section id=comments><article><p>{'no ' * 400}</p></article></section>",
+        f"<div>{body}</div><div class=comments><p>{'no ' * 400}</p></div>",
+    ]
+    got = texts(spark, tree, *wraps)
+    assert [got[i] for i in range(len(wraps))] == [want] * len(wraps)
+
+
+def unseen_pages(count):
+    """Labelled pages of layouts that the labelled table does not hold: html, and the words that belong to the text."""
+    import random
+
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choice("abcdefgimnorstu") for _ in range(rng.randrange(2, 9)))
+    out = []
+    for _ in range(count):
+        text, noise = [], []
+
+        def said(into, low, high):
+            words = [("t" if into is text else "n") + word() for _ in range(rng.randrange(low, high))]
+            into.extend(words)
+            return " ".join(words)
+
+        def links(n):
+            return "".join(f"<li><a href='/{i}'>{said(noise, 1, 4)}</a></li>" for i in range(n))
+
+        paragraphs = "".join(rng.choice(["<p>{}</p>", "<p class=lead>{}</p>", "<blockquote>{}</blockquote>", "<p>{}<br></p>"]).format(said(text, 15, 70)) for _ in range(rng.randrange(2, 8)))
+        body = f"<h{rng.choice('12')}>{said(text, 2, 8)}</h2>" + paragraphs
+        side = rng.choice(["<aside><h3>{0}</h3><ul>{1}</ul></aside>", "<div class='sidebar right'><h3>{0}</h3><ul>{1}</ul></div>", "<div id=related-posts><ul>{1}</ul><p>{0}</p></div>"])
+        side = side.format(said(noise, 1, 4), links(rng.randrange(3, 9)))
+        promo = rng.choice(["<div class='ad-slot'>{}</div>", "<div class=cookie-notice><p>{}</p></div>", "<form class=search-form><label>{}</label><input></form>", "<div role=alert>{}</div>"]).format(said(noise, 2, 12))
+        comments = rng.choice(["", "<section class='comments-area'><p>{}</p></section>", "<div id=disqus><article>{}</article></div>"])
+        comments = comments.format(said(noise, 20, 60)) if comments else ""
+        top = rng.choice(["<header><ul>{}</ul></header>", "<nav>{}</nav>", "<div class='navbar top'><ul>{}</ul></div>"]).format(links(rng.randrange(3, 8)))
+        foot = rng.choice(["<footer><p>{}</p></footer>", "<div class=footer>{}</div>"]).format(said(noise, 3, 15))
+        main = rng.choice(["<article>{}</article>", "<main class='col with-sidebar'>{}</main>", "<div class=content>{}</div>", "<form id=form1><article class='post comments-open'>{}</article></form>", "<div class='page has-nav'><section>{}</section></div>"])
+        inner = promo if rng.random() < 0.5 else ""
+        page = top + (promo if not inner else "") + main.format(body + inner) + side + comments + foot
+        out.append((f"<!doctype html><html><body>{page}</body></html>", text))
+    return out
+
+
+def test_precision_and_recall_on_unseen_layouts(spark, tree):
+    made = unseen_pages(60)
+    got = texts(spark, tree, *[h for h, _ in made])
+    kept = right = wanted = 0
+    for i, (_, words) in enumerate(made):
+        found = got[i].split()
+        kept, wanted, right = kept + len(found), wanted + len(words), right + sum(w[0] == "t" for w in found)
+    print("precision", right / kept, "recall", right / wanted)
+    assert right / kept >= 0.95 and right / wanted >= 0.95
