@@ -368,3 +368,33 @@ def speech_summary(spark, d):
         "session_id", F.round("speech_s", 6).alias("speech_s"),
         *[F.round(c, 5).alias(c) for c in ("speech_pct", "saved_pct")],
     )
+
+
+@query(
+    "guarded_paths",
+    """
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/audio/a/x.ogg' WHEN 1 THEN '/x.ogg' WHEN 2 THEN '/audio/x.ogg' WHEN 3 THEN '/audiox/x.ogg' WHEN 4 THEN '/audio' ELSE '/x/audio/x.ogg' END AS path,
+       page_id % 6 IN (0, 2) AS inside FROM pages""",
+)
+def guarded_paths(spark, d):
+    """Stored paths, once normal, and whether they lie below the root."""
+    forms = ("/audio/./a//x.ogg", "/audio/../x.ogg", "/audio/b/../x.ogg", "/audiox/x.ogg", "/audio/a/..", "/../x/audio/x.ogg")
+    path = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % 6 + 1).cast("int"))
+    return given(spark, d, "pages").select("page_id", ar.normal_path(path).alias("path"), ar.below(path, "/audio/").alias("inside"))
+
+
+@query(
+    "local_days",
+    """
+SELECT event_id, strftime(ts + INTERVAL 5 HOUR, '%Y-%m-%d') AS today, strftime(ts + INTERVAL 5 HOUR - INTERVAL 1 DAY, '%Y-%m-%d') AS before,
+       strftime(ts + INTERVAL 5 HOUR + INTERVAL 1 DAY, '%Y-%m-%d') AS after, strftime(ts, '%Y-%m-%d') AS elsewhere FROM events""",
+)
+def local_days(spark, d):
+    """The local day of each event with its neighbours; an unknown zone counts as UTC."""
+    shown = lambda day: F.date_format(day, "yyyy-MM-dd")
+    today = fv.local_day(F.col("ts"), "Etc/GMT-5")
+    before, after = fv.neighbour_days(today)
+    return given(spark, d, "events").select(
+        "event_id", shown(today).alias("today"), shown(before).alias("before"), shown(after).alias("after"),
+        shown(fv.local_day(F.col("ts"), "Nowhere/None")).alias("elsewhere"),
+    )

@@ -11,7 +11,7 @@ from parlance.catalog.registry import query
 from parlance.operators import intervals as iv
 from parlance.plans import evals as ev
 from parlance.session import shared_path
-from parlance.sources import evalfiles
+from parlance.sources import casefolders, evalfiles
 from parlance.sources.tables import given
 
 DAY = 24 * 3600.0
@@ -460,8 +460,7 @@ def spoken_languages(spark, d):
 SELECT '2024-01-0' || (1 + session_id % 9) || '-' || session_id AS "case", pos, round_even(start_s, 2) AS start_s, trim(text) AS text, speaker FROM segments""",
 )
 def case_drafts(spark, d):
-    drafts, refused = drafted(spark, d)
-    return drafts.unionByName(refused.limit(0), allowMissingColumns=True).select(
+    return drafted(spark, d)[0].select(
         "case", "pos", F.col("start").alias("start_s"), "text", "speaker"
     )
 
@@ -479,6 +478,50 @@ def written_case_turns(spark, d):
     return evalfiles.read_reference(spark, folder).select("case", "pos", F.col("start").alias("start_s"), "text", "speaker")
 
 
+@query(
+    "refused_cases",
+    b.with_cte("segments")
+    + """
+SELECT session_id, CASE WHEN session_id % 7 = 0 THEN 'audio is gone' WHEN session_id % 7 = 1 THEN 'no transcript yet' END AS reason
+FROM segments WHERE session_id % 7 < 2 GROUP BY session_id
+UNION ALL SELECT -1 - session_id, 'transcript is empty' FROM segments GROUP BY session_id""",
+)
+def refused_cases(spark, d):
+    """Sessions that cannot become a case, with the reason; of each there is a twin whose transcript is blank."""
+    rows = b.segments(spark, d)
+    sessions = rows.select("session_id").distinct().select(
+        "session_id",
+        b.at("2024-01-01 00:00:00").alias("started_at"),
+        F.when(F.col("session_id") % 7 != 0, "/audio/x.ogg").alias("audio_path"),
+        F.when(F.col("session_id") % 7 != 1, "").alias("text"),
+    )
+    blank = sessions.select((-1 - F.col("session_id")).alias("session_id"), "started_at", F.lit("/audio/x.ogg").alias("audio_path"), F.lit(" ").alias("text"))
+    return ev.case_drafts(sessions.unionByName(blank), rows)[1].select("session_id", "reason")
+
+
+@query(
+    "case_folders",
+    b.with_cte("segments")
+    + """
+SELECT '2024-01-0' || (1 + session_id % 9) || '-' || session_id AS "case", count(*) AS n_turns, session_id % 2 = 0 AS verified,
+       md5(string_agg(trim(text), chr(10) ORDER BY round_even(start_s, 2), pos)) AS reference_md5, '.parquet' AS audio_suffix FROM segments GROUP BY session_id""",
+)
+def case_folders(spark, d):
+    """Drafts written as case folders and loaded again; a small table of the input stands for the audio."""
+    turns = drafted(spark, d)[0]
+    number = F.substring_index("case", "-", -1).cast("long")
+    facts = turns.select("case").distinct().select(
+        "case", F.lit(f"{d}/region.parquet").alias("audio_path"),
+        F.create_map(F.lit("verified"), (number % 2 == 0).cast("string"), F.lit("notes"), F.lit("")).alias("meta"),
+    )
+    folder = shared_path(spark, "case-folders")
+    casefolders.write_cases(turns, facts, folder)
+    return evalfiles.load_cases(spark, folder).select(
+        "case", F.size("turns").cast("long").alias("n_turns"), "verified", F.md5("reference").alias("reference_md5"),
+        F.regexp_extract("audio_path", r"(\.[a-z]+)$", 1).alias("audio_suffix"),
+    )
+
+
 def drafted(spark, d):
     rows = b.segments(spark, d)
     sessions = rows.select("session_id").distinct().select(

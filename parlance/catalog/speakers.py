@@ -8,6 +8,7 @@ from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
 from parlance.functions.vectors import cosine, running_mean
 from parlance.operators.vectors import mean_vectors, nearest, similar_pairs, similarity_components
+from parlance.plans import archive as ar
 from parlance.plans import speakers as sp
 from parlance.plans import transcripts as tr
 from parlance.sources.tables import given
@@ -372,7 +373,7 @@ def promoted_wearer(spark, d):
     + " SELECT user_id, id, name, CAST(mention_count AS INTEGER) AS mention_count FROM voices ORDER BY mention_count DESC, created_at DESC, id",
 )
 def speakers_by_mentions(spark, d):
-    return b.voices(spark, d).orderBy(F.desc("mention_count"), F.desc("created_at"), "id").select(
+    return ar.speakers_by_mentions(b.voices(spark, d)).select(
         "user_id", "id", "name", "mention_count"
     )
 

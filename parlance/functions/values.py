@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,8 +103,22 @@ def day_bounds(day: Column, zone: str) -> tuple[Column, Column]:
     return F.to_utc_timestamp(start, zone), F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), zone)
 
 
+def known_zone(zone: str) -> str:
+    """The zone, or UTC where there is none of that name."""
+    try:
+        ZoneInfo(zone)
+    except (ValueError, OSError, KeyError):
+        return "UTC"
+    return zone
+
+
 def local_day(instant: Column, zone: str) -> Column:
-    return F.to_date(F.from_utc_timestamp(instant, zone))
+    return F.to_date(F.from_utc_timestamp(instant, known_zone(zone)))
+
+
+def neighbour_days(day: Column) -> tuple[Column, Column]:
+    """The day before and the day after."""
+    return F.date_sub(day, 1), F.date_add(day, 1)
 
 
 def after_seconds(start: Column, seconds: Column) -> Column:

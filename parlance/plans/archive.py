@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,12 +49,12 @@ def conversation_list(conversations: DataFrame, user: str, limit: int = 50, offs
     return of_user(conversations, user).orderBy(F.desc("started_at"), "id").offset(offset).limit(limit)
 
 
-def index_candidates(conversations: DataFrame, user: str | None) -> DataFrame:
-    """The newest conversations; the quality filter comes after this cut."""
+def index_candidates(conversations: DataFrame, user: str | None, fetch: int = INDEX_FETCH) -> DataFrame:
+    """The newest ``fetch`` conversations; the quality filter comes after this cut."""
     return (
         of_user(conversations, user)
         .orderBy(F.desc("started_at"), "id")
-        .limit(INDEX_FETCH)
+        .limit(fetch)
         .withColumn("quality", effective_quality())
     )
 
@@ -275,6 +277,27 @@ def pending(sessions: DataFrame, status: str) -> DataFrame:
     return sessions.filter(F.col("status") == status).orderBy("started_at", "id")
 
 
+def normal_path(path: Column) -> Column:
+    """An absolute path without ``.``, ``..`` and doubled slashes; ``..`` at the root stays there."""
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), kept).when(part == "..", up).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(parts, "/"))
+
+
+def below(path: Column, root: str) -> Column:
+    """Whether a path, once normal, lies below the root."""
+    return normal_path(path).startswith(posixpath.normpath(root).rstrip("/") + "/")
+
+
+def speakers_by_mentions(speakers: DataFrame) -> DataFrame:
+    """Speakers, the most mentioned first, then the newest."""
+    return speakers.orderBy(F.desc("mention_count"), F.desc("created_at"), "id")
+
+
 def retention_candidates(sessions: DataFrame, as_of: str, keep_days: int, root: str) -> DataFrame:
     """Sessions whose audio may go: processed, not archived, old, stored below the root."""
     if keep_days <= 0:
@@ -282,7 +305,7 @@ def retention_candidates(sessions: DataFrame, as_of: str, keep_days: int, root:
     cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(keep_days))
     return sessions.filter(
         ~F.col("archived")
-        & F.col("audio_path").startswith(root.rstrip("/") + "/")
+        & below(F.col("audio_path"), root)
         & (F.col("started_at") < cutoff)
         & F.col("status").isin("done", "segmented")
     )

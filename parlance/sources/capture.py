@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.values import codec_of
 from parlance.operators.scans import island_ids
 
-MAX_BYTES = 500 * 1024 * 1024  # fixed value: largest accepted upload
+MAX_BYTES = 500 * 1024 * 1024  # fixed value: largest accepted upload, unless the caller says otherwise
 LINE_CHUNK = 4096
 
 
@@ -25,9 +28,33 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def accepted(files: DataFrame, skip_vad: bool = False, vad_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+def empty_uploads(spark: SparkSession, folder: str) -> DataFrame:
+    """Files without any byte right below a folder or its folders, which ``landed`` does not list: ``path, length, modificationTime``.
+
+    The driver lists the folders, tasks the files in them; hidden names are left out as Spark does.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    inside = [str(f.getPath()) for f in place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place) if f.isDirectory()]
+    shown = [f for f in inside if not f.rsplit("/", 1)[1].startswith((".", "_"))]
+    kinds = pa.schema([("path", pa.string()), ("length", pa.int64()), ("modificationTime", pa.timestamp("us", "UTC"))])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for where, deep in zip(*(c.to_pylist() for c in batch.columns)):
+                system, path = fs.FileSystem.from_uri(where) if ":" in where else (fs.LocalFileSystem(), where)
+                found = system.get_file_info(fs.FileSelector(path, recursive=deep))
+                empty = [f for f in found if f.is_file and f.size == 0 and not f.base_name.startswith((".", "_"))]
+                yield pa.RecordBatch.from_pydict({"path": [f.path for f in empty], "length": [0] * len(empty), "modificationTime": [f.mtime for f in empty]}, schema=kinds)
+
+    places = spark.createDataFrame([(folder, False)] + [(f, True) for f in shown], "place string, deep boolean")
+    return places.repartition(spark.sparkContext.defaultParallelism).mapInArrow(listed, "path string, length long, modificationTime timestamp")
+
+
+def accepted(files: DataFrame, skip_vad: bool = False, vad_enabled: bool = True, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Session rows of acceptable files, and the rejected files with a reason."""
-    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
+    reason = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too large")
     status = "pending_stt" if skip_vad or not vad_enabled else "pending_vad"
     judged = files.withColumn("reason", reason)
     sessions = judged.filter(F.col("reason").isNull()).select(
