@@ -151,6 +151,35 @@ def latest_case_metrics(spark, d):
     return evalfiles.latest_metrics(spark, folder).select("case", "ts", b.r6("wer").alias("wer"))
 
 
+@query(
+    "recorded_runs",
+    """
+SELECT n AS nth, '2024-02-0' || CASE WHEN n < 2 THEN 1 ELSE 2 END AS ts, (SELECT count(*) FROM documents WHERE doc_id % 3 >= n) AS cases,
+       round((SELECT sum(n_chars) FROM documents WHERE doc_id % 3 >= n) / (SELECT sum(n_chars + 10) FROM documents WHERE doc_id % 3 >= n), 6) AS wer,
+       CASE WHEN n = 1 THEN 'fr' ELSE 'en' END AS language, n <> 1 AS as_first FROM (SELECT unnest([0, 1, 2]) AS n)""",
+)
+def recorded_runs(spark, d):
+    """Three runs over fewer and fewer documents, two of them at the same time, with their settings and totals."""
+    rows = given(spark, d, "documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("case"), "doc_id",
+        F.col("n_chars").cast("long").alias("substitutions"), F.lit(0).cast("long").alias("insertions"), F.lit(0).cast("long").alias("deletions"),
+        (F.col("n_chars") + 10).cast("long").alias("ref_words"), *[F.lit(0.0).alias(c) for c in ("miss_s", "false_alarm_s", "confusion_s", "ref_speech_s", "user_acc", "ref_user_s")],
+        F.lit(None).cast("string").alias("error"),
+    )
+    folder = shared_path(spark, "runs")
+    for n in range(3):
+        of_run = rows.filter(F.col("doc_id") % 3 >= n).drop("doc_id")
+        settings = {"language": "fr" if n == 1 else "en", "beam": "5"}
+        evalfiles.append_history(of_run, folder, f"2024-02-0{1 if n < 2 else 2}", settings=settings, totals=ev.suite_totals(of_run))
+    runs = evalfiles.recorded_runs(spark, folder)
+    first = runs.filter("run = 0").select(F.col("fingerprint").alias("first_print"))
+    seen = runs.join(first, F.col("fingerprint") == F.col("first_print"), "left")
+    return seen.select(
+        F.col("run").cast("int").alias("nth"), "ts", "totals.cases", b.r6("totals.wer").alias("wer"), F.col("settings")["language"].alias("language"),
+        F.col("first_print").isNotNull().alias("as_first"),
+    )
+
+
 @query(
     "updated_case_meta",
     """

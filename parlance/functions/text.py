@@ -36,8 +36,9 @@ def _compose(text: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Compatibility composition; Spark has no built-in for it."""
-    return _compose(text)
+    """Compatibility composition; Spark has no built-in for it. Only texts that are not plain ASCII reach Python."""
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)
+    return F.when(other.isNull(), text).otherwise(_compose(other))
 
 
 def tokens(text: Column) -> Column:
@@ -78,3 +79,9 @@ def without_fences(text: Column) -> Column:
 def lines_of(text: Column) -> Column:
     """Non-blank lines, trimmed."""
     return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda line: line != "")
+
+
+def fingerprint(snapshot: Column) -> Column:
+    """Sixteen hex digits of a settings map, whatever the order of its keys."""
+    entries = F.array_sort(F.map_entries(snapshot))
+    return F.substring(F.sha2(F.to_json(F.map_from_entries(entries)), 256), 1, 16)

@@ -144,13 +144,12 @@ def similar_pairs(
             hit = scores >= threshold
             if split:  # pairs inside one block belong to that block's own task
                 hit &= own[i + 1 :] != own[i]
-            at = np.nonzero(hit)[0]
-            hits.append(
-                pd.DataFrame({"a": ids[i], "b": ids[i + 1 :][at], "similarity": scores[at]}, index=range(len(at)))
-            )
+            at = np.flatnonzero(hit)
+            hits.append((np.full(len(at), i), at + i + 1, scores[at]))
         if not hits:
             return pd.DataFrame({n: pd.Series(dtype="object") for n in schema.fieldNames()})
-        out = pd.concat(hits)
+        left, right, scores = (np.concatenate(column) for column in zip(*hits))
+        out = pd.DataFrame({"a": ids[left], "b": ids[right], "similarity": scores})
         out[group] = part[group].iloc[0]
         return out[schema.fieldNames()]
 

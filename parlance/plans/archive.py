@@ -76,13 +76,13 @@ def child_counts(events: DataFrame, actions: DataFrame, conversations: DataFrame
 
 def index_page(
     conversations: DataFrame, events: DataFrame, actions: DataFrame, user: str, quality: str | None = None,
-    show_hidden: bool = False,
+    show_hidden: bool = False, fetch: int = INDEX_FETCH, shown: int = INDEX_SHOWN,
 ) -> DataFrame:
-    """Cards of the index page: newest 200, filtered by quality, at most 100."""
+    """Cards of the index page: the newest ``fetch``, filtered by quality, at most ``shown``."""
     least = threshold(quality, show_hidden)
-    kept = index_candidates(conversations, user).filter(F.col("quality") >= least)
-    kept = kept.orderBy(F.desc("started_at"), "id").limit(INDEX_SHOWN)
-    # The counts are needed for at most 100 conversations.
+    kept = index_candidates(conversations, user, fetch).filter(F.col("quality") >= least)
+    kept = kept.orderBy(F.desc("started_at"), "id").limit(shown)
+    # The counts are needed for the shown conversations only.
     mine = lambda df: df.join(kept.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
     return kept.join(child_counts(mine(events), mine(actions), kept), "id").select(
         "id",

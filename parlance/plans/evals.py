@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.text import string_or_null, strip, tokens
+from parlance.functions.text import fingerprint, string_or_null, strip, tokens  # noqa: F401
 from parlance.operators.alignment import best_mapping, edit_counts_udf
 from parlance.operators.intervals import cut_at_buckets, no_score_collars, turns, union_intervals, valid
 from parlance.operators.overlap import intersection_seconds
@@ -257,12 +257,6 @@ def suite_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(snapshot: Column) -> Column:
-    """Sixteen hex digits of a settings map, whatever the order of its keys."""
-    entries = F.array_sort(F.map_entries(snapshot))
-    return F.substring(F.sha2(F.to_json(F.map_from_entries(entries)), 256), 1, 16)
-
-
 def valid_case_name(name: Column) -> Column:
     return name.rlike(CASE_NAME)
 

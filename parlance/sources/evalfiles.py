@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.text import string_or_null
+from parlance.functions.text import fingerprint, string_or_null
 
 TURNS = "ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, speaker: STRING, text: STRING>>"
 METRICS = (
@@ -13,7 +15,8 @@ METRICS = (
     " hyp_words: LONG, der: DOUBLE, miss_s: DOUBLE, false_alarm_s: DOUBLE, confusion_s: DOUBLE,"
     " ref_speech_s: DOUBLE, user_acc: DOUBLE, ref_user_s: DOUBLE, verified: BOOLEAN, error: STRING>"
 )
-RECORD = f"STRUCT<ts: STRING, note: STRING, cases: MAP<STRING, {METRICS}>>"
+TOTALS = "STRUCT<cases: LONG, failed: LONG, wer: DOUBLE, ref_words: LONG, der: DOUBLE, ref_speech_s: DOUBLE, user_acc: DOUBLE>"
+RECORD = f"STRUCT<ts: STRING, run: LONG, note: STRING, settings: MAP<STRING, STRING>, fingerprint: STRING, totals: {TOTALS}, cases: MAP<STRING, {METRICS}>>"
 _CASE = r"([^/]+)/[^/]+$"
 
 
@@ -78,23 +81,59 @@ def with_meta(meta: Column, updates: Column) -> Column:
     return F.map_concat(kept, updates)
 
 
-def append_history(rows: DataFrame, folder: str, ts: str, note: str = "") -> None:
-    """Append a run: one JSON line per case, with the run's time and note."""
+def next_run(spark: SparkSession, folder: str) -> int:
+    """A number above those of all runs so far; of several appenders at once each takes another.
+
+    The number is taken by making an empty file of that name, which a file system lets only one succeed in.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs
+    marks = paths.Path(f"{folder}/_runs")
+    files = marks.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(marks)
+    number = max((int(f.getPath().getName()) for f in files.listStatus(marks)), default=-1) + 1
+    while not files.createNewFile(paths.Path(f"{folder}/_runs/{number:08d}")):
+        number += 1
+    return number
+
+
+def append_history(rows: DataFrame, folder: str, ts: str, note: str = "", settings: dict[str, str] | None = None, totals: DataFrame | None = None) -> int:
+    """Append a run: one JSON line per case, with the run's time, number and note; returns the number.
+
+    With ``settings`` or ``totals`` (a row of ``evals.suite_totals``) the run also gets a line of its own, with the settings'
+    fingerprint.
+    """
+    spark = rows.sparkSession
+    run = next_run(spark, folder)
+    head = [F.lit(ts).alias("ts"), F.lit(run).cast("long").alias("run"), F.lit(note).alias("note")]
     metrics = [c for c in rows.columns if c != "case"]
-    rows.select(
-        F.lit(ts).alias("ts"), F.lit(note).alias("note"), F.create_map(F.col("case"), F.struct(*metrics)).alias("cases")
-    ).write.mode("append").json(folder)
+    rows.select(*head, F.create_map(F.col("case"), F.struct(*metrics)).alias("cases")).write.mode("append").json(folder)
+    if settings is not None or totals is not None:
+        taken = F.from_json(F.lit(json.dumps(settings or {})), "MAP<STRING, STRING>")
+        facts = totals if totals is not None else spark.range(1).select()
+        struct = F.struct(*facts.columns).alias("totals") if totals is not None else F.lit(None).cast(TOTALS).alias("totals")
+        facts.select(*head, taken.alias("settings"), fingerprint(taken).alias("fingerprint"), struct).write.mode("append").json(folder)
+    return run
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.text(folder).select("value", F.from_json("value", RECORD).alias("r"))
+
+
+def recorded_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs that were recorded with settings or totals: ``run, ts, note, settings, fingerprint, totals``."""
+    runs = _records(spark, folder).filter(F.col("r.settings").isNotNull() | F.col("r.totals").isNotNull())
+    return runs.select("r.run", "r.ts", "r.note", "r.settings", "r.fingerprint", "r.totals")
 
 
 def latest_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """The newest metrics per case; lines that cannot be read are skipped.
 
-    Runs are ordered by their time; of equal times the later line of the later file counts.
+    Runs are ordered by their time, of equal times by their number; lines without a number come first, lines that are equal in
+    both by their text, so that the order never depends on files or partitions.
     """
-    lines = spark.read.text(folder).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    records = lines.withColumn("r", F.from_json("value", RECORD)).filter(F.col("r.cases").isNotNull())
-    cases = records.select("r.ts", "r.note", "file", "at", F.explode("r.cases").alias("case", "m")).filter(F.col("m").isNotNull())
-    newest = F.max_by(F.struct("ts", "note", "m"), F.struct("ts", "file", "at"))
+    records = _records(spark, folder).filter(F.col("r.cases").isNotNull())
+    cases = records.select("r.ts", F.coalesce("r.run", F.lit(-1)).alias("run"), "r.note", "value", F.explode("r.cases").alias("case", "m")).filter(F.col("m").isNotNull())
+    newest = F.max_by(F.struct("ts", "note", "m"), F.struct("ts", "run", "value"))
     return cases.groupBy("case").agg(newest.alias("n")).select("case", "n.ts", "n.note", "n.m.*")
 
 

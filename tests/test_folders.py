@@ -64,3 +64,17 @@ def test_paths_and_days(spark):
     day = fv.local_day(F.col("ts"), "Europe/Paris")
     row = at.select(day.cast("string"), *[x.cast("string") for x in fv.neighbour_days(day)], fv.local_day(F.col("ts"), "No/Zone").cast("string")).first()
     assert tuple(row) == ("2024-04-01", "2024-03-31", "2024-04-02", "2024-03-31")
+
+
+def test_runs_keep_their_order(spark, tmp_path):
+    folder = str(tmp_path / "history")
+    row = lambda wer, *cases: spark.createDataFrame([(c, wer) for c in cases], "case string, wer double").repartition(3)
+    numbers = [evalfiles.append_history(row(w, *cases), folder, ts, settings={"a": "b"} if w == 0.3 else None) for w, ts, cases in ((0.5, "2024-01-02", "xy"), (0.1, "2024-01-01", "xyz"), (0.3, "2024-01-02", "x"))]
+    assert numbers == [0, 1, 2]
+    got = {r.case: (r.ts, r.wer) for r in evalfiles.latest_metrics(spark, folder).collect()}
+    assert got == {"x": ("2024-01-02", 0.3), "y": ("2024-01-02", 0.5), "z": ("2024-01-01", 0.1)}
+    runs = evalfiles.recorded_runs(spark, folder).collect()
+    assert [(r.run, r.settings, r.totals, len(r.fingerprint)) for r in runs] == [(2, {"a": "b"}, None, 16)]
+    (tmp_path / "history/_runs/00000009").write_bytes(b"")  # another appender took a number
+    assert evalfiles.append_history(row(0.9, "z"), folder, "2024-01-01") == 10
+    assert {r.case: r.wer for r in evalfiles.latest_metrics(spark, folder).collect()}["z"] == 0.9
