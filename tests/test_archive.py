@@ -242,12 +242,12 @@ def test_faults_are_mended_where_they_are(raw, want):
 
 
 def test_one_bad_answer_ends_nothing(spark):
-    raw = ['{"title": "a", "quality_score": NaN}', '{"title": "b", "title": "c"}', "{'title': 'd'}", '{"title": "e"}', None]
+    raw = ['{"title": "a", "quality_score": NaN}', '{"title": "b", "title": "c"}', "{'title' 'd'}", '{"title": "e"}', None, "{'title': 'd'}"]
     df = spark.createDataFrame([(str(i), "u", r) for i, r in enumerate(raw)], "session_id string, user_id string, raw string").withColumns(
         {"started_at": F.lit("2024-01-01 00:00:00").cast("timestamp"), "ended_at": F.lit(None).cast("timestamp")}
     )
     out = ex.ingested(df)
-    assert {r.id: (r.title, r.quality_score) for r in out["conversations"].collect()} == {"0": ("a", 0.5), "1": ("c", 0.5), "3": ("e", 0.5)}
+    assert {r.id: (r.title, r.quality_score) for r in out["conversations"].collect()} == {"0": ("a", 0.5), "1": ("c", 0.5), "3": ("e", 0.5), "5": ("d", 0.4)}
     assert sorted(r.session_id for r in out["failed"].collect()) == ["2", "4"]
 
 
