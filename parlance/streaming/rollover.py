@@ -14,14 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlance.operators.intervals import time_chunk
 from parlance.operators.scans import Scan, island_ids, prefix_scan
-from parlance.session import parallelism, settle
+from parlance.session import settle
 
 PACKET, START, STOP = "packet", "audio-start", "audio-stop"
 FIELDS = ["connection_id", "started_us", "ended_us", "n_packets", "bytes", "rate", "closed_by"]
@@ -88,12 +90,12 @@ def as_sessions(segments: DataFrame, vad_enabled: bool = True) -> DataFrame:
     )
 
 
-def closed_segments(packets: DataFrame, interval_s: float, as_of_us: int | None = None) -> DataFrame:
+def closed_segments(packets: DataFrame, interval_s: float, as_of_us: int | None = None, chunk_intervals: int = 64) -> DataFrame:
     """Batch form: all closed segments; with ``as_of_us`` only those closed by then.
 
-    A stop, and a pause of the interval or more, always ends a segment; connections are cut
-    there and the parts are folded on their own.  Rows stream through a task sorted, and
-    only the open segment is held.
+    A stop, and a pause of the interval or more, always ends a segment; connections are cut there into parts. Inside
+    a part the packets that open a segment are found by ``_opening``, so that a connection that never pauses is many
+    tasks of ``chunk_intervals`` intervals each. Without an interval only stops end segments.
     """
     interval_us = int(interval_s * 1e6)
     chunk = time_chunk(F.col("us") / F.lit(1e6), DAY_S)
@@ -113,35 +115,126 @@ def closed_segments(packets: DataFrame, interval_s: float, as_of_us: int | None
 
     parts = island_ids(
         settle(rated, "packets"), ["connection_id"], chunk, ["us", "seq"], ["us", "kind"], opens, name="part"
+    ).withColumn("rate", F.coalesce("rate_before", F.lit(0).cast("long")))
+    # All packets of an instant are in one segment, so an instant is a row.
+    part = ["connection_id", "part"]
+    sums = [F.sum("n_packets").alias("n_packets"), F.sum("bytes").alias("bytes"), F.min_by("rate", "us").alias("rate")]
+    instants = (
+        parts.filter(F.col("kind") == PACKET)
+        .groupBy(*part, "us")
+        .agg(F.count("*").alias("n_packets"), F.sum(F.col("bytes").cast("long")).alias("bytes"), F.min_by("rate", "seq").alias("rate"))
     )
-    ordered = parts.repartition(parallelism(packets), "connection_id", "part").sortWithinPartitions("connection_id", "part", "us", "seq")
+    stops = parts.filter(F.col("kind") == STOP).select(*part, F.col("us").alias("stop_us"), F.col("rate").alias("stop_rate"))
+    if interval_us > 0:
+        width = chunk_intervals * interval_us
+        instants = instants.withColumn("chunk", _block("us", width))
+        marked = _opening(settle(instants, "instants"), interval_us, width)
+        opened = Scan("last", F.when(F.col("opens"), F.col("us")))
+        runs = prefix_scan(settle(marked, "opening"), part, F.col("chunk"), ["us"], {"started_us": opened})
+        segments = runs.groupBy(*part, "started_us").agg(*sums)
+        due = F.col("started_us") + interval_us
+    else:
+        segments = instants.groupBy(*part).agg(F.min("us").alias("started_us"), *sums)
+        due = F.lit(None).cast("long")
+    segments, stops = settle(segments, "segments"), settle(stops, "stops")
+    stopped = F.col("stop_us").isNotNull() & F.coalesce(F.col("stop_us") < due, F.lit(True))
+    closed = segments.join(stops, part, "left").select(
+        "connection_id",
+        "started_us",
+        F.when(stopped, F.col("stop_us")).otherwise(due).alias("ended_us"),
+        "n_packets",
+        "bytes",
+        "rate",
+        F.when(stopped, "stop").otherwise("rollover").alias("closed_by"),
+    )
+    # A stop that finds no packets since the last segment closes an empty one.
+    last = segments.groupBy(*part).agg(F.max("started_us").alias("started_us"))
+    idle = F.col("started_us").isNull() | F.coalesce(due <= F.col("stop_us"), F.lit(False))
+    zero = F.lit(0).cast("long")
+    empty = stops.join(last, part, "left").filter(idle).select(
+        "connection_id",
+        F.col("stop_us").alias("started_us"),
+        F.col("stop_us").alias("ended_us"),
+        zero.alias("n_packets"),
+        zero.alias("bytes"),
+        F.col("stop_rate").alias("rate"),
+        F.lit("stop").alias("closed_by"),
+    )
+    found = closed.filter(F.col("ended_us").isNotNull()).unionByName(empty).select(*FIELDS)
+    return found if as_of_us is None else found.filter(F.col("ended_us") <= as_of_us)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, segment = None, Segment()
-        out: list[tuple] = []
 
-        def finish() -> None:
-            due = segment.due(interval_us)
-            if due is not None:
-                out.append((key[0], *segment.close(due, "rollover")))
-
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if key != (r.connection_id, r.part):
-                    if key is not None:
-                        finish()
-                    before = 0 if pd.isna(r.rate_before) else int(r.rate_before)
-                    key, segment = (r.connection_id, r.part), Segment(rate=before, next_rate=before)
-                new_rate = None if pd.isna(r.rate) else int(r.rate)
-                out.extend((key[0], *x) for x in segment.feed(r.us, r.kind, int(r.bytes), new_rate, interval_us))
-            yield pd.DataFrame(out, columns=FIELDS)
-            out.clear()
-        if key is not None:
-            finish()
-        yield pd.DataFrame(out, columns=FIELDS)
+def _block(column: str, width_us: int) -> Column:
+    """The number of the chunk that a time falls into, in whole numbers."""
+    time = F.col(column)
+    return ((time - F.pmod(time, F.lit(width_us))) / F.lit(width_us)).cast("long")
 
-    found = ordered.mapInPandas(fold, _schema(packets))
-    return found if as_of_us is None else found.filter(F.col("ended_us") <= as_of_us)
+
+def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
+    """Marks (``opens``) the instants that open a segment, by jump pointers.
+
+    An instant that opens a segment is followed by the first one an interval later. Inside a chunk a sorted search
+    finds these followers. Only instants that can be the first opening one of their chunk (those of its first interval,
+    and the next) become nodes; a node points to the first opening instant of a later chunk. Doubling the pointers
+    reaches all nodes on the way from a part's first instant in as many rounds as the number of chunks has digits.
+    """
+    part = ["connection_id", "part"]
+    kinds = {f.name: f.dataType.simpleString() for f in instants.schema}
+    columns = instants.columns
+
+    def followers(times: np.ndarray) -> np.ndarray:
+        return np.searchsorted(times, times + interval_us)
+
+    def nodes(group: pa.Table) -> pa.Table:
+        group = group.sort_by("us")
+        times = group["us"].to_numpy()
+        after = followers(times)
+        last = np.where(after < len(times), after, np.arange(len(times)))
+        while not np.array_equal(last[last], last):
+            last = last[last]
+        border = group["chunk"][0].as_py() * width_us + interval_us
+        first = max(1, min(len(times), int(np.searchsorted(times, border)) + 1))
+        head = group.slice(0, first).select([*part, "chunk", "us"])
+        return head.append_column("due", pa.array(times[last[:first]] + interval_us))
+
+    by_chunk = instants.groupBy(*part, "chunk")
+    schema = f"connection_id {kinds['connection_id']}, part LONG, chunk LONG, us LONG, due LONG"
+    found = settle(by_chunk.applyInArrow(nodes, schema), "nodes")
+
+    # The first node at or after each due time: a scan over nodes and due times, from the latest to the earliest.
+    asked = found.select(*part, "due").distinct().select(*part, F.col("due").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("node"))
+    placed = found.select(*part, F.col("us").alias("at"), F.lit(0).alias("asks"), F.col("us").alias("node"))
+    backwards = asked.unionByName(placed).withColumn("back", -F.col("at"))
+    met = prefix_scan(settle(backwards, "due"), part, _block("back", width_us), ["back", "asks"], {"next": Scan("last", F.col("node"))})
+    answers = met.filter("asks = 1 AND next IS NOT NULL").select(*part, F.col("at").alias("due"), "next")
+    pointers = [settle(found.join(answers, [*part, "due"]).select(*part, "us", "next"), "pointers")]
+
+    chunks = found.groupBy(*part).agg(F.count_distinct("chunk").alias("n")).agg(F.max("n")).first()[0] or 1
+    while 2 ** len(pointers) < chunks:
+        further = pointers[-1].select(*part, F.col("us").alias("next"), F.col("next").alias("beyond"))
+        doubled = pointers[-1].join(further, [*part, "next"]).select(*part, "us", F.col("beyond").alias("next"))
+        pointers.append(settle(doubled, "pointers"))
+    reached = found.groupBy(*part).agg(F.min("us").alias("us"))
+    for step in reversed(pointers):
+        reached = settle(reached.unionByName(reached.join(step, [*part, "us"]).select(*part, F.col("next").alias("us"))), "reached")
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.sort_by("us")
+        entry = group["entry"][0].as_py()
+        opens = np.zeros(group.num_rows, dtype=bool)
+        if entry is not None:
+            times = group["us"].to_numpy()
+            after = followers(times)
+            at = int(np.searchsorted(times, entry))
+            while at < len(times):
+                opens[at] = True
+                at = after[at]
+        return group.select(columns).append_column("opens", pa.array(opens))
+
+    entries = reached.select(*part, _block("us", width_us).alias("chunk"), F.col("us").alias("entry"))
+    entered = instants.join(entries, [*part, "chunk"], "left")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", opens BOOLEAN"
+    return entered.groupBy(*part, "chunk").applyInArrow(walk, schema)
 
 
 def live_segments(packets: DataFrame, interval_s: float, delay: str = "5 seconds") -> DataFrame:

@@ -427,6 +427,26 @@ def test_rollover_equals_a_plain_fold(spark):
     assert all(r.closed_by == "stop" for r in ro.closed_segments(df, 0).collect())
 
 
+def test_rollover_of_a_connection_without_a_pause(spark):
+    rng = random.Random(4)
+    data, t = [], 0
+    for seq in range(4000):
+        t += rng.choice([0, 1, 2, 9])
+        kind = ro.PACKET if rng.random() < 0.97 else ro.START
+        if 1500 < seq < 1600:
+            kind = ro.START  # no packets for several chunks
+        data.append(("x", t, seq, kind, rng.randint(1, 9), rng.randint(1, 3) if kind == ro.START else None))
+    data.append(("x", t, 4000, ro.STOP, 0, None))
+    df = spark.createDataFrame(data, "connection_id string, t long, seq int, kind string, bytes long, rate int").withColumn("ts", F.timestamp_seconds("t"))
+    seg, want = ro.Segment(), []
+    for _, t, _, kind, size, rate in data:
+        want += [("x", *row) for row in seg.feed(t * 1_000_000, kind, size, rate, 20_000_000)]
+    for chunk in (1, 3, 64):
+        got = ro.closed_segments(df, 20.0, chunk_intervals=chunk).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+    assert ro.closed_segments(df.limit(0), 20.0).collect() == []
+
+
 def test_stage_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.sql("SELECT id, CASE WHEN id % 2 = 0 THEN 'pending_stt' ELSE 'done' END AS status, CAST(NULL AS STRING) AS error_msg FROM range(10)").write.parquet(source)
