@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,28 +13,46 @@ from pyspark.sql.types import StructType
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     """Substitutions, insertions, deletions and hits of a minimal alignment.
 
-    Equal words always align; otherwise substitution is preferred to deletion, deletion to
-    insertion.  The table is walked by anti-diagonals, vectorised; every cell carries its
-    cost and its counts, so memory is linear in the number of words.
+    Equal words always align; otherwise substitution is preferred to deletion, deletion to insertion. Cells further
+    from the diagonal than the cost are on no minimal alignment, so a band is enough; it widens until it holds the
+    cost it finds. Work follows the words times the errors.
     """
     n, m = len(ref), len(hyp)
     if n == 0 or m == 0:
         return 0, m, n, 0
     index: dict[str, int] = {}
     r = np.array([index.setdefault(w, len(index)) for w in ref])
-    h = np.array([index.setdefault(w, len(index)) for w in hyp])[::-1]
+    h = np.array([index.setdefault(w, len(index)) for w in hyp])
+    band = max(128, abs(n - m))
+    while True:
+        subs, ins, dels = _within_band(r, h[::-1], band)
+        if subs + ins + dels <= band or band >= max(n, m):
+            return subs, ins, dels, n - subs - dels
+        band *= 4
+
+
+def _within_band(r: np.ndarray, h: np.ndarray, band: int) -> tuple[int, int, int]:
+    """The counts over cells ``(i, j)`` with ``|i - j| <= band``; ``h`` is reversed.
+
+    The table is walked by anti-diagonals, vectorised; every cell carries its cost and its counts, so memory is linear
+    in the number of words.
+    """
+    n, m = len(r), len(h)
+    far, cut = n + m + 1, band < max(n, m)
     # Position i of a diagonal k is the cell (i, k - i); rows: cost, substitutions, insertions, deletions.
-    table = [np.zeros((4, n + 1), dtype=np.int64) for _ in range(3)]
+    table = [np.zeros((4, n + 2), dtype=np.int64) for _ in range(3)]
     table[1][0, :2] = 1
     table[1][2, 0] = table[1][3, 1] = 1
     step = np.array([[0], [1], [2], [3]])
     for k in range(2, n + m + 1):
         before, last, now = table
-        if k <= m:
+        lo, hi = max(1, k - m, (k - band + 1) // 2), min(n, k - 1, (k + band) // 2)
+        if cut:
+            now[0, lo - 1] = now[0, hi + 1] = far
+        if k <= min(m, band):
             now[:, 0] = k, 0, k, 0
-        if k <= n:
+        if k <= min(n, band):
             now[:, k] = k, 0, 0, k
-        lo, hi = max(1, k - m), min(n, k - 1)
         diagonal, up, left = before[:, lo - 1 : hi], last[:, lo - 1 : hi], last[:, lo : hi + 1]
         same = r[lo - 1 : hi] == h[m - k + lo : m - k + hi + 1]
         cross = same | ((diagonal[0] <= up[0]) & (diagonal[0] <= left[0]))
@@ -43,7 +63,7 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
         now[0, lo : hi + 1] += kind > 0
         table = [last, now, before]
     _, subs, ins, dels = (int(x) for x in table[1][:, n])
-    return subs, ins, dels, n - subs - dels
+    return subs, ins, dels
 
 
 def edit_counts_udf():
@@ -63,98 +83,126 @@ def best_mapping(refs: list[str], hyps: list[str], overlap: dict[tuple[str, str]
     """One-to-one mapping of sorted labels with the most shared time, exact for any number of labels.
 
     Of equal totals the first in label order counts. Pairs without overlap are left out. Shared times count in whole
-    nanoseconds. The work grows with the third power of the number of labels.
+    nanoseconds. Memory follows the pairs that overlap; prices and paths never leave a connected part of them.
     """
-    if not refs or not hyps:
-        return {}
     flip = len(refs) > len(hyps)
     few, many = (hyps, refs) if flip else (refs, hyps)
-    gain = np.zeros((len(many), len(many)), dtype=np.int64)  # rows beyond ``few`` stand for labels left over
-    for i, a in enumerate(few):
-        for j, b in enumerate(many):
-            gain[i, j] = round(overlap.get((b, a) if flip else (a, b), 0.0) * 1e9)
-    row_price, column_price = _prices(-gain)
-    tight = -gain - row_price[:, None] - column_price[None, :] == 0
-    places = _first_matching(tight)
+    place = {label: j for j, label in enumerate(many)}
+    row_of = {label: i for i, label in enumerate(few)}
+    gains: list[dict[int, int]] = [{} for _ in few]
+    for (ref, hyp), seconds in overlap.items():
+        gain = round((seconds or 0.0) * 1e9)
+        if gain > 0:
+            a, b = (hyp, ref) if flip else (ref, hyp)
+            gains[row_of[a]][place[b]] = gain
+    rows, columns, matched = _prices(gains, len(many))
+    found = _first_of_the_best(gains, rows, columns, matched)
     pairs = {}
-    for i, a in enumerate(few):
-        j = places[i]
-        if gain[i, j] > 0:
-            pairs[many[j] if flip else a] = a if flip else many[j]
+    for i, j in enumerate(found):
+        if j in gains[i]:
+            ref, hyp = (many[j], few[i]) if flip else (few[i], many[j])
+            pairs[ref] = hyp
     return pairs
 
 
-def _prices(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Dual prices of the cheapest assignment of a square matrix, by shortest augmenting paths."""
-    size = len(cost)
-    row_price, column_price = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-    owner = np.full(size, -1)
-    for new in range(size):
-        distance = cost[new] - row_price[new] - column_price
-        parent = np.full(size, -1)
-        done = np.zeros(size, dtype=bool)
+def _prices(gains: list[dict[int, int]], n_columns: int) -> tuple[list[int], list[int], list[int]]:
+    """Prices of rows and columns that prove a matching best, and that matching (-1: row left out).
+
+    A row and a column cost together at least their gain, and exactly that where they are matched; who is left out
+    costs nothing. Rows join one by one along the cheapest alternating path, which ends at a free column or leaves out
+    another row.
+    """
+    row_price = [max(g.values(), default=0) for g in gains]
+    column_price, owner, of_row = [0] * n_columns, [-1] * n_columns, [-1] * len(gains)
+    for new in range(len(gains)):
+        reached, parent, settled = {new: 0}, {}, {}
+        heap: list[tuple[int, int, int]] = []
+        end, left_out = row_price[new], new
+        column = -1
+        at, row = 0, new
         while True:
-            open_ = np.flatnonzero(~done)
-            at = open_[np.argmin(distance[open_])]
-            done[at] = True
-            if owner[at] < 0:
+            for j, gain in gains[row].items():
+                if j not in settled:
+                    heapq.heappush(heap, (at + row_price[row] + column_price[j] - gain, j, row))
+            while heap and heap[0][1] in settled:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= end:
                 break
-            row = owner[at]
-            through = distance[at] + cost[row] - row_price[row] - column_price
-            shorter = ~done & (through < distance)
-            distance[shorter], parent[shorter] = through[shorter], at
-        length = distance[at]
-        inner = done.copy()
-        inner[at] = False
-        row_price[owner[inner]] += length - distance[inner]
-        column_price[inner] -= length - distance[inner]
-        row_price[new] += length
-        while parent[at] >= 0:
-            owner[at] = owner[parent[at]]
-            at = parent[at]
-        owner[at] = new
-    return row_price, column_price
-
-
-def _first_matching(allowed: np.ndarray) -> np.ndarray:
-    """The perfect matching over allowed pairs that is first in row, then column order."""
-    size = len(allowed)
-    of_row, of_column = np.full(size, -1), np.full(size, -1)
-
-    def rematch(row: int, free_from: int, seen: np.ndarray) -> bool:
-        """An augmenting path from ``row`` that leaves rows before ``free_from`` alone (breadth-first)."""
-        come_from, queue = {}, [row]
+            at, j, came = heapq.heappop(heap)
+            settled[j], parent[j] = at, came
+            if owner[j] < 0:
+                end, column = at, j
+                break
+            row = owner[j]
+            reached[row] = at
+            if at + row_price[row] < end:
+                end, left_out = at + row_price[row], row
+        for i, distance in reached.items():
+            row_price[i] -= max(0, end - distance)
+        for j, distance in settled.items():
+            column_price[j] += max(0, end - distance)
+        if column < 0:  # the row that is left out hands its column on
+            column, of_row[left_out] = of_row[left_out], -1
+        while column >= 0:
+            row = parent[column]
+            owner[column], of_row[row], column = row, column, of_row[row]
+    return row_price, column_price, of_row
+
+
+def _first_of_the_best(gains: list[dict[int, int]], rows: list[int], columns: list[int], matched: list[int]) -> list[int]:
+    """A column for every row, the first in row, then column order of all with the best total.
+
+    Rows and columns meet where prices equal gains, and rows without a price meet any column without one (a pair that
+    shares nothing). Columns that no row takes stand empty, which only those without a price may.
+    """
+    zero = [j for j, price in enumerate(columns) if price == 0]
+    tight = [sorted(j for j, g in gain.items() if rows[i] + columns[j] == g) for i, gain in enumerate(gains)]
+    of_row, holder = list(matched), [-1] * len(columns)
+    for i, j in enumerate(of_row):
+        if j >= 0:
+            holder[j] = i
+    spare = (j for j, i in enumerate(holder) if i < 0)
+    for i, j in enumerate(of_row):
+        if j < 0:
+            of_row[i] = next(spare)
+    for i, j in enumerate(of_row):
+        holder[j] = i
+
+    def moved(displaced: int, goal: int, taken: int, after: int) -> bool:
+        """Whether ``displaced`` (-1: an empty place) finds a column, others after ``after`` moving on, until ``goal`` is filled."""
+        come, spread, queue = {taken: -2}, False, [displaced]
         for now in queue:
-            for j in np.flatnonzero(allowed[now] & ~seen):
-                seen[j] = True
-                come_from[j] = now
-                if of_column[j] < 0:
-                    while True:
-                        i = come_from[j]
-                        left = of_row[i]
-                        of_row[i], of_column[j] = j, i
-                        if i == row:
-                            return True
-                        j = left
-                if of_column[j] >= free_from:
-                    queue.append(of_column[j])
+            ways = list(tight[now]) if now >= 0 else []
+            if (now < 0 or rows[now] == 0) and not spread:
+                spread, ways = True, ways + zero
+            for j in ways:
+                if j in come or (j != goal and 0 <= holder[j] <= after):
+                    continue
+                come[j] = now
+                if j == goal:
+                    path = [j]
+                    while come[path[-1]] != displaced:
+                        path.append(column_of[come[path[-1]]])
+                    for j in path:
+                        holder[j] = come[j]
+                        if come[j] >= 0:
+                            of_row[come[j]] = j
+                    return True
+                if holder[j] not in column_of:
+                    column_of[holder[j]] = j
+                    queue.append(holder[j])
         return False
 
-    for row in range(size):
-        rematch(row, 0, np.zeros(size, dtype=bool))
-    for row in range(size):
-        for j in np.flatnonzero(allowed[row]):
-            if j == of_row[row]:
+    for i in range(len(of_row)):
+        choices = tight[i] if rows[i] else heapq.merge(tight[i], zero)
+        for j in choices:
+            own, other = of_row[i], holder[j]
+            if j >= own:
                 break
-            other = of_column[j]
-            if other < row:
+            if 0 <= other < i:
                 continue
-            kept = of_row.copy(), of_column.copy()
-            of_column[of_row[row]] = -1
-            of_row[row], of_column[j], of_row[other] = j, row, -1
-            blocked = np.zeros(size, dtype=bool)
-            blocked[j] = True
-            if rematch(other, row + 1, blocked):
+            column_of: dict[int, int] = {other: j}
+            if moved(other, own, j, i):
+                of_row[i], holder[j] = j, i
                 break
-            of_row, of_column = kept
     return of_row

@@ -83,6 +83,24 @@ def test_mapping_is_exact_at_any_size(size):
     assert got == {"r00": "h01", "r01": "h00"}
 
 
+def test_alignment_equals_a_full_table_where_the_band_grows():
+    rng = random.Random(3)
+    for errors in (0.05, 0.9):
+        a = [rng.choice("abcdefgh") for _ in range(400)]
+        b = [w if rng.random() > errors else rng.choice("abcxyz") for w in a if rng.random() > errors / 4]
+        assert edit_counts(a, b) == table(a, b)
+
+
+def test_mapping_of_thousands_of_labels_by_their_overlaps():
+    size = 3000
+    refs, hyps = [f"r{i:04d}" for i in range(size)], [f"h{i:04d}" for i in range(size)]
+    overlap = {}
+    for i in range(0, size, 2):  # pairs where the greedy choice loses
+        overlap |= {(refs[i], hyps[i]): 10.0, (refs[i], hyps[i + 1]): 9.0, (refs[i + 1], hyps[i]): 9.0}
+    got = best_mapping(refs, hyps, overlap)
+    assert got == {refs[i]: hyps[i + 1 if i % 2 == 0 else i - 1] for i in range(size)}
+
+
 def test_long_texts_keep_their_counts():
     assert edit_counts(["a"], ["b"] * 3_000_000)[:3] == (1, 2_999_999, 0)
 
