@@ -23,7 +23,7 @@ def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     index: dict[str, int] = {}
     r = np.array([index.setdefault(w, len(index)) for w in ref])
     h = np.array([index.setdefault(w, len(index)) for w in hyp])
-    band = max(128, abs(n - m))
+    band = abs(n - m) + 128
     while True:
         subs, ins, dels = _within_band(r, h[::-1], band)
         if subs + ins + dels <= band or band >= max(n, m):
