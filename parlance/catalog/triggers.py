@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parlance.catalog import bindings as b
 from parlance.catalog.registry import query
 from parlance.functions.text import phrase_list, shell_quoted
+from parlance.operators.phrases import register_phrase_hits
 from parlance.plans import changes as ch
 from parlance.plans import triggers as tg
 from parlance.sources.tables import given
@@ -15,12 +16,14 @@ from parlance.sources.tables import given
 PHRASES = ("the", "tion the", "that", "he t", "la ")
 STOPS = ("with", "que")
 
+# The same phrases as three actions of one user, by number.
+ACTIONS = {1: PHRASES[:2], 2: PHRASES[2:4], 3: PHRASES[4:]}
+
 SQL_TEXTS = "texts AS (SELECT conv_id * 100 + turn AS id, text, lower(text) AS low FROM conversations)"
-SQL_MATCHES = (
-    SQL_TEXTS
-    + f""",
+SQL_PHRASES = f"""
 phrases AS (SELECT unnest({list(PHRASES)}) AS phrase),
-parts AS (SELECT id, phrase, lower(trim(phrase)) AS key, string_split(low, lower(trim(phrase))) AS p FROM texts, phrases),
+parts AS (SELECT id, phrase, lower(trim(phrase)) AS key, string_split(low, lower(trim(phrase))) AS p FROM texts, phrases)"""
+SQL_SWEEP = f"""
 pieces AS (SELECT id, phrase, key, i, p, length(p[i]) AS len FROM (SELECT *, unnest(range(1, len(p))) AS i FROM parts)),
 hits AS (SELECT id, phrase, length(key) AS klen,
    SUM(len) OVER (PARTITION BY id, phrase ORDER BY i) + (i - 1) * length(key) AS s FROM pieces),
@@ -37,7 +40,12 @@ cut AS (SELECT a.*, t.text, least(COALESCE(next_s, length(text)),
   FROM accepted a JOIN texts t USING (id)),
 matches AS (SELECT id, phrase, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end",
    trim(substr(text, CAST(s AS BIGINT) + 1, CAST(until - s AS BIGINT)), chr(10) || ' ') AS transcript, text FROM cut)"""
-)
+SQL_MATCHES = f"{SQL_TEXTS}, {SQL_PHRASES}, {SQL_SWEEP}"
+SQL_ACTIONS = " UNION ALL ".join(f"SELECT {n} AS action, unnest({list(p)}) AS phrase" for n, p in ACTIONS.items())
+SQL_ACTED = f"""
+texts AS (SELECT (conv_id * 100 + turn) * 10 + n AS id, n AS action, text, lower(text) AS low FROM conversations, (SELECT unnest({list(ACTIONS)}) AS n)),
+phrases AS ({SQL_ACTIONS}),
+parts AS (SELECT id, phrase, lower(trim(phrase)) AS key, string_split(low, lower(trim(phrase))) AS p FROM texts JOIN phrases USING (action)), {SQL_SWEEP}"""
 
 
 def texts(spark, d):
@@ -67,6 +75,25 @@ def phrase_matches(spark, d):
     return rows.select(F.col("conversation_id").alias("id"), "phrase", "start", "end", "transcript")
 
 
+@query(
+    "phrase_hits_in_sql",
+    "WITH RECURSIVE "
+    + SQL_ACTED
+    + ' SELECT id // 10 AS id, CAST(id % 10 AS INTEGER) AS action, phrase, "start", "end", transcript FROM matches',
+)
+def phrase_hits_in_sql(spark, d):
+    register_phrase_hits(spark)
+    words = lambda items: F.array(*[F.lit(x) for x in items])
+    lists = F.explode(F.array(*[F.struct(F.lit(n).alias("action"), words(p).alias("phrases")) for n, p in ACTIONS.items()]))
+    actions = spark.range(1).select(F.lit("me").alias("user_id"), lists.alias("a")).select("user_id", "a.*", words(STOPS).alias("stops"))
+    return spark.sql(
+        "SELECT t.conversation_id AS id, a.action, h.phrase, h.start, h.end, h.transcript "
+        "FROM {texts} t JOIN {actions} a ON a.user_id = t.user_id, LATERAL phrase_hits(t.text, a.phrases, a.stops) h",
+        texts=texts(spark, d),
+        actions=actions,
+    )
+
+
 @query(
     "trigger_invocations",
     "WITH RECURSIVE "

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 class PhraseSweep:
@@ -95,3 +96,36 @@ def phrase_matches(text: Column, phrases: Column, stops: Column) -> Column:
         return pd.Series(out)
 
     return found(F.when(mentions_any(text, F.flatten(phrases)), text), phrases, stops)
+
+
+class PhraseHits:
+    """Table function ``(text, phrases, stop_phrases) -> nth, phrase, start, end, transcript``: a row per match.
+
+    A null text or list of phrases gives no rows; a null list of stop phrases is an empty one. Arguments of other types
+    are refused when a query is analysed, before it runs.
+    """
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, phrases: AnalyzeArgument, stop_phrases: AnalyzeArgument) -> AnalyzeResult:
+        if not isinstance(text.dataType, StringType):
+            raise ValueError(f"phrase_hits: text must be a string, not {text.dataType.simpleString()}")
+        for name, argument in (("phrases", phrases), ("stop_phrases", stop_phrases)):
+            kind = argument.dataType
+            if not (isinstance(kind, ArrayType) and isinstance(kind.elementType, StringType)):
+                raise ValueError(f"phrase_hits: {name} must be an array of strings, not {kind.simpleString()}")
+        kinds = {"nth": IntegerType(), "phrase": StringType(), "start": IntegerType(), "end": IntegerType(), "transcript": StringType()}
+        return AnalyzeResult(StructType([StructField(name, kind) for name, kind in kinds.items()]))
+
+    def eval(self, text, phrases, stop_phrases):
+        if text is None or phrases is None:
+            return
+        for nth, (phrase, start, end, transcript) in enumerate(sweep(tuple(phrases), tuple(stop_phrases or ())).slices(text)):
+            yield nth, phrase, start, end, transcript
+
+
+def register_phrase_hits(spark: SparkSession, name: str = "phrase_hits") -> None:
+    """Make ``PhraseHits`` known to SQL: ``FROM texts t, LATERAL phrase_hits(t.text, t.phrases, t.stop_phrases)``.
+
+    The column form ``phrase_matches`` does the same in Arrow batches, and many lists in one call.
+    """
+    spark.udtf.register(name, F.udtf(PhraseHits))
