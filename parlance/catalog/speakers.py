@@ -13,6 +13,8 @@ from parlance.plans import speakers as sp
 from parlance.plans import transcripts as tr
 from parlance.sources.tables import given
 
+BUCKET_S = 6 * 3600.0
+
 
 def flat(df, *keys, vector="embedding"):
     """Vectors in long form, one row per dimension."""
@@ -248,6 +250,40 @@ def merged_cluster_turns(spark, d):
     return sp.merge_clusters(turns, b.clusters(spark, d), threshold=0.2)
 
 
+@query(
+    "labelled_segments",
+    b.with_cte("activity", "spoken", "clusters", recursive=True)
+    + ","
+    + SQL_COMPONENTS
+    + """,
+said AS (SELECT s.session_id, s.start_s + 1800 AS start_s, s.end_s + 1800 AS end_s, COALESCE(c.survivor, s.name) AS speaker
+         FROM (SELECT *, 'SPEAKER_' || lpad(CAST(k % 12 AS VARCHAR), 2, '0') AS name FROM spoken WHERE k % 4 < 2) s
+         LEFT JOIN components c ON c.session_id = s.session_id AND c.label = s.name),
+pairs AS (SELECT s.session_id, s.pos, t.speaker,
+                 ROW_NUMBER() OVER (PARTITION BY s.session_id, s.pos
+                   ORDER BY least(s.end_s, t.end_s) - greatest(s.start_s, t.start_s) DESC, t.start_s, t.end_s) AS r
+          FROM spoken s JOIN said t ON s.session_id = t.session_id AND s.start_s < t.end_s AND t.start_s < s.end_s),
+labelled AS (SELECT s.session_id, s.pos, s.start_s, s.end_s, COALESCE(p.speaker, s.speaker) AS speaker
+             FROM spoken s LEFT JOIN pairs p ON s.session_id = p.session_id AND s.pos = p.pos AND p.r = 1),
+talk AS (SELECT session_id, speaker, SUM(end_s - start_s) AS talk_s, MIN(pos) AS first_pos
+         FROM labelled WHERE end_s > start_s GROUP BY ALL),
+ranks AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY talk_s DESC, first_pos) AS r FROM talk)
+SELECT l.session_id, l.pos, CASE WHEN l.session_id % 10 = 3 THEN s.speaker WHEN r = 1 THEN 'USER' ELSE COALESCE('S' || (r - 1), l.speaker) END AS speaker
+FROM labelled l JOIN spoken s USING (session_id, pos) LEFT JOIN ranks ON ranks.session_id = l.session_id AND ranks.speaker = l.speaker""",
+)
+def labelled_segments(spark, d):
+    spoken = b.spoken(spark, d)
+    turns = spoken.filter("k % 4 < 2").select(
+        "session_id",
+        (F.col("start") + 1800).alias("start"),
+        (F.col("end") + 1800).alias("end"),
+        F.concat(F.lit("SPEAKER_"), F.lpad((F.col("k") % 12).cast("string"), 2, "0")).alias("speaker"),
+    )
+    failed = spoken.filter("session_id % 10 = 3").select("session_id")
+    rows = sp.labelled_segments(spoken, turns, b.clusters(spark, d), 0.2, failed, bucket_s=BUCKET_S)
+    return rows.select("session_id", "pos", "speaker")
+
+
 @query(
     "merge_primaries",
     b.with_cte("clusters", "voices")

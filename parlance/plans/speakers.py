@@ -12,10 +12,11 @@ from pyspark.sql.types import DataType, StringType
 
 from parlance.functions.text import string_or_null
 from parlance.functions.vectors import is_zero
+from parlance.operators.overlap import label_by_overlap
 from parlance.operators.rows import without
 from parlance.operators.vectors import mean_vectors, nearest, similarity_components
-from parlance.plans.transcripts import PREVIEW_SECONDS, WEARER
-from parlance.session import parallelism
+from parlance.plans.transcripts import PREVIEW_SECONDS, WEARER, relabel_by_talk_time
+from parlance.session import parallelism, settle
 
 LINK_THRESHOLD = 0.6
 
@@ -37,6 +38,32 @@ def merge_clusters(turns: DataFrame, clusters: DataFrame, threshold: float) -> D
     )
 
 
+def labelled_segments(
+    segments: DataFrame,
+    turns: DataFrame,
+    clusters: DataFrame,
+    merge_threshold: float = 1.0,
+    failed: DataFrame | None = None,
+    bucket_s: float = 60.0,
+) -> DataFrame:
+    """Segments with the labels of a labelling run: alike clusters merged, labels by overlap, then by talk time.
+
+    ``segments``: ``session_id, pos, start, end, speaker``; ``turns``: the run's ``session_id, start, end, speaker``;
+    ``clusters``: see ``merge_clusters``. Sessions of ``failed`` (``session_id``) keep their segments as they are, since
+    labels only improve a transcript; so do segments without a session, which no turn can meet.
+    """
+    gone = None if failed is None else failed.select("session_id").distinct()
+    usable = F.col("session_id").isNotNull()
+    tried = segments.filter(usable)
+    kept = segments.filter(~usable)
+    if gone is not None:
+        kept = kept.unionByName(tried.join(gone, "session_id", "left_semi"))
+        tried = tried.join(gone, "session_id", "left_anti")
+    merged = merge_clusters(turns, clusters, merge_threshold)
+    labelled = settle(label_by_overlap(tried, merged, bucket_s), "labelled")
+    return relabel_by_talk_time(labelled).select(*segments.columns).unionByName(kept.select(*segments.columns))
+
+
 def cluster_embeddings(clips: DataFrame) -> DataFrame:
     """One mean embedding per session and label, from embedded clips."""
     return mean_vectors(clips, ["session_id", "speaker"], "embedding")

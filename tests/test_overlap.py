@@ -5,7 +5,12 @@ import io
 import random
 import time
 
+import pytest
+from pyspark.errors import AnalysisException
+
 from parlance.operators import overlap as O
+from parlance.operators.phrases import register_phrase_hits
+from parlance.plans.speakers import labelled_segments
 
 
 def plan_of(df):
@@ -88,3 +93,34 @@ def test_shared_seconds_like_all_pairs(spark):
     assert "NestedLoop" not in plan_of(got)
     rows = {(r.k, r.l): r.shared_s for r in got.collect()}
     assert rows.keys() == want.keys() and all(abs(rows[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_labelled_segments_chain(spark):
+    kinds = "session_id int, pos int, start double, end double, speaker string"
+    segments = spark.createDataFrame(
+        [(s, p, p * 10.0, p * 10.0 + 9.0 - p, "old") for s in (1, 2) for p in range(4)] + [(None, 9, 0.0, 1.0, "lost")], kinds
+    )
+    turns = spark.createDataFrame(
+        [(s, p * 10.0, p * 10.0 + 8.0, f"SPEAKER_0{p}") for s in (1, 2) for p in range(3)], "session_id int, start double, end double, speaker string"
+    )
+    vectors = {0: [1.0, 0.0], 1: [0.0, 1.0], 2: [0.01, 1.0]}
+    clusters = spark.createDataFrame([(s, f"SPEAKER_0{p}", v) for s in (1, 2) for p, v in vectors.items()], "session_id int, label string, embedding array<double>")
+    failed = spark.createDataFrame([(2,), (2,)], "session_id int")
+    got = {(r.session_id, r.pos): r.speaker for r in labelled_segments(segments, turns, clusters, 0.9, failed).collect()}
+    # speakers 1 and 2 are one voice of 8 + 7 s, speaker 0 has 9 s, the segment that no turn meets has 6 s
+    assert got == {(1, 0): "S1", (1, 1): "USER", (1, 2): "USER", (1, 3): "S2", (None, 9): "lost"} | {(2, p): "old" for p in range(4)}
+    apart = {r.pos: r.speaker for r in labelled_segments(segments, turns, clusters).filter("session_id = 1").collect()}
+    assert apart == {0: "USER", 1: "S1", 2: "S2", 3: "S3"}
+    assert labelled_segments(segments.limit(0), turns, clusters, 0.9).collect() == []
+
+
+def test_phrase_hits_as_a_table_function(spark):
+    register_phrase_hits(spark)
+    rows = spark.createDataFrame(
+        [(1, "Hey Bo wake up, hey bo stop it", ["hey bo", None, " "], ["stop"]), (2, None, ["a"], []), (3, "a a", None, []), (4, "a b", ["a"], None), (5, "", ["a"], [])],
+        "id int, text string, phrases array<string>, stops array<string>",
+    )
+    got = spark.sql("SELECT id, h.* FROM {rows} r, LATERAL phrase_hits(r.text, r.phrases, r.stops) h", rows=rows).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "hey bo", 0, 6, "Hey Bo wake up,"), (1, 1, "hey bo", 16, 22, "hey bo"), (4, 0, "a", 0, 1, "a b")]
+    with pytest.raises(AnalysisException, match="array of strings"):
+        spark.sql("SELECT * FROM phrase_hits('a', 'a', array('b'))")
