@@ -118,10 +118,14 @@ SQL_TABLES = {
 
 
 def counted(found):
-    """Rows left per table, with a checksum of their ids."""
+    """Rows left per table, with a checksum of their ids: their sum, beyond the range of a long modulo 2^64."""
     out = None
+    half, whole = (F.lit(str(x)).cast("decimal(20,0)") for x in (2**63, 2**64))
     for name, df in found.items():
-        part = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).cast("long").alias("id_sum")).withColumn("name", F.lit(name))
+        # ids of a large table add up to more than a long; the sum itself is exact in a decimal
+        total = F.coalesce(F.sum(F.col("id").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+        checksum = (F.pmod(total + half, whole) - half).cast("long")
+        part = df.agg(F.count("*").alias("n"), checksum.alias("id_sum")).withColumn("name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -492,3 +492,17 @@ def test_messages_lose_nothing(spark):
     got = ex.messages(sessions, tr.rendered_parts(rows, 200), "s", budget=200).filter("role = 'user'").collect()
     assert sorted((r.session_id, r.part) for r in got) == [("a", p.part) for p in parts] + [("b", 0), ("b", 1), ("b", 2)]
     assert sum(r.content.count("y") for r in got if r.session_id == "b") == 450
+
+
+def test_checksums_of_large_ids(spark):
+    from parlance.catalog.changes import counted
+
+    frame = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    big = 2**62
+    found = counted(
+        {"in": frame(big, big - 1, None), "over": frame(big, big, 5), "under": frame(-big, -big, -1), "far": frame(*[2**63 - 1] * 5), "none": frame()}
+    )
+    assert {r["name"]: (r["n"], r["id_sum"]) for r in found.collect()} == {
+        "in": (3, 2**63 - 1), "over": (3, 5 - 2**63), "under": (3, 2**63 - 1), "far": (5, 2**63 - 5), "none": (0, 0),
+    }
+    assert dict(found.dtypes) == {"n": "bigint", "id_sum": "bigint", "name": "string"}
