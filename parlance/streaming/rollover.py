@@ -11,12 +11,13 @@ Packets: ``connection_id, ts, seq, kind, bytes, rate`` with kind ``audio-start``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -170,6 +171,34 @@ def _block(column: str, width_us: int) -> Column:
     return ((time - F.pmod(time, F.lit(width_us))) / F.lit(width_us)).cast("long")
 
 
+def _by_group(df: DataFrame, keys: list[str], order: str, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the rows of each group, sorted by ``order``; a task goes through its groups one after another.
+
+    Groups are mostly a few rows: read as runs of sorted rows they cost their rows, not an Arrow stream each.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []  # rows of the last group, which the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if waiting and all(rows[k][0] == waiting[-1][k][0] == rows[k][-1] for k in keys):
+                waiting.append(rows)
+            elif rows.num_rows:
+                rows = pa.concat_tables([*waiting, rows]).combine_chunks()
+                new = np.zeros(rows.num_rows - 1, dtype=bool)
+                for k in keys:
+                    new |= pc.not_equal(rows[k][1:], rows[k][:-1]).to_numpy()
+                starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+                found = [work(rows.slice(a, b - a)) for a, b in zip(starts, starts[1:])]
+                if found:
+                    yield from pa.concat_tables(found).combine_chunks().to_batches()
+                waiting = [rows.slice(starts[-1])]
+        if waiting:
+            yield from work(pa.concat_tables(waiting).combine_chunks()).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(runs, schema)
+
+
 def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
     """Marks (``opens``) the instants that open a segment, by jump pointers.
 
@@ -186,7 +215,6 @@ def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
         return np.searchsorted(times, times + interval_us)
 
     def nodes(group: pa.Table) -> pa.Table:
-        group = group.sort_by("us")
         times = group["us"].to_numpy()
         after = followers(times)
         last = np.where(after < len(times), after, np.arange(len(times)))
@@ -197,9 +225,9 @@ def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
         head = group.slice(0, first).select([*part, "chunk", "us"])
         return head.append_column("due", pa.array(times[last[:first]] + interval_us))
 
-    by_chunk = instants.groupBy(*part, "chunk")
+    by_chunk = [*part, "chunk"]
     schema = f"connection_id {kinds['connection_id']}, part LONG, chunk LONG, us LONG, due LONG"
-    found = settle(by_chunk.applyInArrow(nodes, schema), "nodes")
+    found = settle(_by_group(instants, by_chunk, "us", nodes, schema), "nodes")
 
     # The first node at or after each due time: a scan over nodes and due times, from the latest to the earliest.
     asked = found.select(*part, "due").distinct().select(*part, F.col("due").alias("at"), F.lit(1).alias("asks"), F.lit(None).cast("long").alias("node"))
@@ -219,7 +247,6 @@ def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
         reached = settle(reached.unionByName(reached.join(step, [*part, "us"]).select(*part, F.col("next").alias("us"))), "reached")
 
     def walk(group: pa.Table) -> pa.Table:
-        group = group.sort_by("us")
         entry = group["entry"][0].as_py()
         opens = np.zeros(group.num_rows, dtype=bool)
         if entry is not None:
@@ -234,7 +261,7 @@ def _opening(instants: DataFrame, interval_us: int, width_us: int) -> DataFrame:
     entries = reached.select(*part, _block("us", width_us).alias("chunk"), F.col("us").alias("entry"))
     entered = instants.join(entries, [*part, "chunk"], "left")
     schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", opens BOOLEAN"
-    return entered.groupBy(*part, "chunk").applyInArrow(walk, schema)
+    return _by_group(entered, by_chunk, "us", walk, schema)
 
 
 def live_segments(packets: DataFrame, interval_s: float, delay: str = "5 seconds") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -506,3 +507,28 @@ def test_checksums_of_large_ids(spark):
         "in": (3, 2**63 - 1), "over": (3, 5 - 2**63), "under": (3, 2**63 - 1), "far": (5, 2**63 - 5), "none": (0, 0),
     }
     assert dict(found.dtypes) == {"n": "bigint", "id_sum": "bigint", "name": "string"}
+
+
+def test_rollover_reads_groups_across_batches(spark):
+    """Groups come in sorted runs of rows: none is cut where an Arrow batch ends, none costs a stream of its own."""
+    def sizes(group):
+        assert group["at"].to_pylist() == sorted(group["at"].to_pylist())
+        return pa.table({"a": group["a"][:1], "b": group["b"][:1], "n": pa.array([group.num_rows])})
+
+    rows = [(a, b, at) for a in "xy" for b in range(30) for at in range(b + 1)]
+    random.Random(3).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = ro._by_group(spark.createDataFrame(rows, "a string, b int, at int"), ["a", "b"], "at", sizes, "a string, b int, n long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(tuple(r) for r in got) == sorted((a, b, b + 1) for a in "xy" for b in range(30))
+    assert ro._by_group(spark.createDataFrame([], "a string, b int, at int"), ["a", "b"], "at", sizes, "a string, b int, n long").collect() == []
+
+
+def test_rollover_runs_no_stream_per_group(spark):
+    df = spark.createDataFrame([("x", 5, 1, ro.PACKET, 4, None)], "connection_id string, t long, seq int, kind string, bytes long, rate int").withColumn("ts", F.timestamp_seconds("t"))
+    plan = ro._opening(
+        df.selectExpr("connection_id", "0L AS part", "0L AS chunk", "5000000L AS us", "1L AS n_packets", "4L AS bytes", "0L AS rate"), 10_000_000, 640_000_000
+    )._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
