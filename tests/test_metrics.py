@@ -195,3 +195,26 @@ def test_case_drafts(spark):
     drafts, refused = ev.case_drafts(sessions, segments)
     assert [(r.case, r.text) for r in drafts.orderBy("pos").collect()] == [("2024-05-01-11111111", "one"), ("2024-05-01-11111111", "two")]
     assert sorted(r.reason for r in refused.collect()) == ["audio is gone", "no transcript yet", "transcript is empty"]
+
+
+def test_pairs_aligned_together_equal_single_ones(monkeypatch):
+    import random
+
+    from parlance.operators import alignment as al
+
+    rng = random.Random(5)
+    word = lambda kinds: str(rng.randrange(kinds))
+    pairs = []
+    for _ in range(300):
+        kinds, n, m = rng.choice([2, 5, 200]), rng.choice([0, 1, 3, 20, 60]), rng.choice([0, 1, 2, 20, 55])
+        said = [word(kinds) for _ in range(rng.randint(0, n))]
+        pairs.append((said, [word(kinds) for _ in range(rng.randint(0, m))] if rng.random() < 0.7 else [w for w in said if rng.random() < 0.9] + ["z"]))
+    want = [al.edit_counts(r, h) for r, h in pairs]
+    single = []
+    monkeypatch.setattr(al, "edit_counts", lambda r, h: single.append((r, h)) or (0, 0, 0, 0))
+    assert al.edit_counts_of(pairs) == want and not single
+    monkeypatch.setattr(al, "TOGETHER_CELLS", 64)
+    assert al.edit_counts_of(pairs) == want and al.edit_counts_of([]) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(al, "TOGETHER_WORDS", 10)
+    assert al.edit_counts_of(pairs) == want
