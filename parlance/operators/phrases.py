@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
+from parlance.functions.batches import slices
+
 
 class PhraseSweep:
     """Finds the hits of a set of phrases and the slices that they open, in one pass over a text.
@@ -65,6 +67,11 @@ def sweep(phrases: tuple[str, ...], stops: tuple[str, ...]) -> PhraseSweep:
     return PhraseSweep(phrases, stops)
 
 
+ARROW_MATCHES = pa.list_(
+    pa.struct(
+        [("action", pa.int32()), ("nth", pa.int32()), ("phrase", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("transcript", pa.string())]
+    )
+)
 MATCH = "action int, nth int, phrase string, start int, end int, transcript string"
 
 
@@ -83,17 +90,19 @@ def phrase_matches(text: Column, phrases: Column, stops: Column) -> Column:
     any phrase stay in the JVM.
     """
 
-    @F.pandas_udf(ArrayType(StructType.fromDDL(MATCH)))
-    def found(texts: pd.Series, wanted: pd.Series, ended: pd.Series) -> pd.Series:
-        out = []
-        for text, lists, stop_lists in zip(texts, wanted, ended):
-            rows = []
-            if text is not None and lists is not None:
-                for action, (words, ends) in enumerate(zip(lists, stop_lists)):
-                    slices = sweep(tuple(words if words is not None else ()), tuple(ends if ends is not None else ())).slices(text)
-                    rows += [{"action": action, "nth": n, "phrase": p, "start": a, "end": b, "transcript": t} for n, (p, a, b, t) in enumerate(slices)]
-            out.append(rows)
-        return pd.Series(out)
+    @F.arrow_udf(ArrayType(StructType.fromDDL(MATCH)))
+    def found(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, wanted, ended in batches:
+            for parts in zip(slices(texts), slices(wanted), slices(ended)):
+                yield pa.array([matches(*row) for row in zip(*(p.to_pylist() for p in parts))], ARROW_MATCHES)
+
+    def matches(text: str | None, lists: list | None, stop_lists: list | None) -> list[dict]:
+        rows = []
+        if text is not None and lists is not None:
+            for action, (words, ends) in enumerate(zip(lists, stop_lists)):
+                hits = sweep(tuple(words if words is not None else ()), tuple(ends if ends is not None else ())).slices(text)
+                rows += [{"action": action, "nth": n, "phrase": p, "start": a, "end": b, "transcript": t} for n, (p, a, b, t) in enumerate(hits)]
+        return rows
 
     return found(F.when(mentions_any(text, F.flatten(phrases)), text), phrases, stops)
 

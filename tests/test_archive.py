@@ -532,3 +532,23 @@ def test_rollover_runs_no_stream_per_group(spark):
         df.selectExpr("connection_id", "0L AS part", "0L AS chunk", "5000000L AS us", "1L AS n_packets", "4L AS bytes", "0L AS rate"), 10_000_000, 640_000_000
     )._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan
+
+
+def test_batches_are_read_in_small_parts(spark):
+    from parlance.functions import batches
+    from parlance.functions.answers import _recovered, answer_object
+    from parlance.operators.phrases import phrase_matches
+
+    assert [p.to_pylist() for p in batches.slices(pa.array(range(5)), 2)] == [[0, 1], [2, 3], [4]] and list(batches.slices(pa.array([]))) == []
+    raw = [None if i % 7 == 0 else f"so {{'n': {i}, 'text': 'the {i}'" + "}" * (i % 2) for i in range(3 * batches.ROWS + 5)]
+    df = spark.createDataFrame(list(enumerate(raw)), "id int, raw string").coalesce(1)
+    found, repaired = answer_object(F.col("raw"))
+    got = [tuple(r) for r in df.select(found.alias("o"), F.coalesce(repaired, F.lit(False)).alias("r")).collect()]
+    assert got == [_recovered(t) for t in raw]
+    words = lambda *w: F.array(F.array(*[F.lit(x) for x in w]))
+    hits = df.select("raw", phrase_matches(F.col("raw"), words("the", "so"), words("'}")).alias("m")).collect()
+    assert [[tuple(m) for m in r.m] for r in hits] == [
+        [] if t is None else [(0, n, *s[:1], *s[1:]) for n, s in enumerate(sweep(("the", "so"), ("'}",)).slices(t))] for t in raw
+    ]
+    plan = df.select(found.alias("o"))._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan
