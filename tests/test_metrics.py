@@ -218,3 +218,49 @@ def test_pairs_aligned_together_equal_single_ones(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(al, "TOGETHER_WORDS", 10)
     assert al.edit_counts_of(pairs) == want
+
+
+def test_alike_pairs_are_aligned_only_where_they_differ(monkeypatch):
+    from parlance.operators import alignment as al
+
+    rng = random.Random(8)
+    handed = []
+    whole, together = al.edit_counts, al._together
+    monkeypatch.setattr(al, "edit_counts", lambda r, h: handed.append(len(r) + len(h)) or whole(r, h))
+    monkeypatch.setattr(al, "_together", lambda pairs, *band: handed.extend(len(r) + len(h) for r, h in pairs) or together(pairs, *band))
+    said = [str(rng.randrange(50)) for _ in range(2000)]
+    pairs = [(said, ["oui", *said]), (said, said), (said, [*said, "oui"]), (said[:900] + ["a"] + said[900:], said[:900] + ["b"] + said[900:])]
+    assert al.edit_counts_of(pairs) == [(0, 1, 0, 2000), (0, 0, 0, 2000), (0, 1, 0, 2000), (1, 0, 0, 2000)]
+    assert sum(handed) <= 2
+    some = []
+    for _ in range(150):  # common words at both ends, few and many errors between, beyond the narrow band too
+        a, b = ([rng.choice("abc") for _ in range(rng.randint(0, n))] for n in (30, 30))
+        head, tail = ([rng.choice("abc") for _ in range(rng.randint(0, 4))] for _ in "ht")
+        some.append((head + a + tail, head + b + tail))
+    monkeypatch.setattr(al, "TOGETHER_BAND", 3)
+    assert al.edit_counts_of(some) == [table(a, b) for a, b in some]
+
+
+def test_cases_are_mapped_without_a_group_each(spark):
+    rows = [(case, ref, hyp, 1.0 + (ref == hyp)) for case in range(500) for ref in "ab" for hyp in "ab"]
+    overlap = spark.createDataFrame(rows, "case long, ref string, hyp string, shared_s double")
+    sides = spark.createDataFrame([(case, side, p) for case in range(500) for side in "rh" for p in "ab"], "case long, side string, speaker string")
+    mapped = ev.label_mapping(sides, overlap)
+    assert sorted(tuple(r) for r in mapped.collect()) == [(case, p, p) for case in range(500) for p in "ab"]
+    assert "FlatMapGroups" not in mapped._jdf.queryExecution().toString()
+
+
+def test_cells_equal_ticks_whatever_the_batches(spark, monkeypatch):
+    rng = random.Random(9)
+    sides = [(side, case, f"{side}{p}", float(a), float(a + rng.randint(1, 9))) for case in range(6) for side in "rh" for p in range(3) for a in (rng.randint(0, 9), rng.randint(20, 40))]
+    zones = [(case, float(a), float(a + 2)) for case in range(6) for a in (3, 8, 25)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        both = spark.createDataFrame(sides, "side string, case long, speaker string, start double, end double")
+        cells = ev.active_cells(both, spark.createDataFrame(zones, "case long, start double, end double"), 7.0)
+        got = sorted((r.case, t, r.side, r.speaker) for r in cells.collect() for t in range(int(r.lo), int(r.lo + r.d)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    dead = {(case, t) for case, a, b in zones for t in range(int(a), int(b))}
+    assert got == sorted((case, t, side, p) for side, case, p, a, b in sides for t in range(int(a), int(b)) if (case, t) not in dead)
+    assert "Join" not in cells._jdf.queryExecution().toString()
