@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions.batches import slices
 from parlance.functions.text import fingerprint, string_or_null, strip, tokens  # noqa: F401
 from parlance.operators.alignment import best_mapping, edit_counts_udf
 from parlance.operators.intervals import cut_at_buckets, no_score_collars, turns, union_intervals, valid
@@ -67,26 +72,81 @@ def side_of(sides: DataFrame, side: str) -> DataFrame:
 def active_cells(sides: DataFrame, zones: DataFrame | None, bucket_s: float) -> DataFrame:
     """Speakers active in each scored elementary interval: ``case, bucket, lo, d, side, speaker``.
 
-    Everything is cut at bucket borders, so a long case is many independent buckets.
+    Everything is cut at bucket borders, so a long case is many independent buckets. A bucket's pieces meet in one task, where
+    sorted points number its cells; its rows are given on a part at a time.
     """
     rows = sides
     if zones is not None:
         excluded = zones.select(F.lit("x").alias("side"), "case", F.lit("").alias("speaker"), "start", "end")
         rows = sides.unionByName(excluded)
-    pieces = settle(cut_at_buckets(rows, bucket_s), "pieces")
     key = ["case", "bucket"]
-    points = pieces.select(*key, F.explode(F.array("start", "end")).alias("lo")).distinct()
-    inside = Window.partitionBy(*key).orderBy("lo")
-    points = settle(points.select(*key, "lo", F.row_number().over(inside).alias("n"), F.lead("lo").over(inside).alias("hi")), "points")
-    # a piece begins and ends on numbered points, so it is active in exactly the cells between their numbers
-    first = points.select(*key, F.col("lo").alias("start"), F.col("n").alias("first"))
-    last = points.select(*key, F.col("lo").alias("end"), F.col("n").alias("last"))
-    spans = pieces.join(first, [*key, "start"]).join(last, [*key, "end"]).filter("last > first")
-    hits = spans.select(*key, "side", "speaker", F.explode(F.sequence("first", F.col("last") - 1)).alias("n"))
-    zone = hits.filter("side = 'x'").select(*key, "n").distinct()
-    cells = points.filter(F.col("hi") - F.col("lo") > 1e-9).select(*key, "n", "lo", (F.col("hi") - F.col("lo")).alias("d"))
-    scored = hits.filter("side <> 'x'").join(zone, [*key, "n"], "left_anti")
-    return scored.join(cells, [*key, "n"]).select("case", "bucket", "lo", "d", "side", "speaker")
+    pieces = cut_at_buckets(rows, bucket_s).select(*key, "side", "speaker", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
+    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
+    schema = f"case {kinds['case']}, bucket {kinds['bucket']}, lo double, d double, side string, speaker {kinds['speaker']}"
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []  # pieces of the last bucket, which the next batch may go on with
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            if waiting and all(table[k][0] == waiting[-1][k][0] == table[k][-1] for k in key):
+                waiting.append(table)
+                continue
+            table = pa.concat_tables([*waiting, table]).combine_chunks()
+            last = pc.and_(*(pc.equal(table[k], table[k][-1]) for k in key)).to_numpy()
+            whole = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            yield from _cells_of(table.slice(0, whole))
+            waiting = [table.slice(whole)]
+        if waiting:
+            yield from _cells_of(pa.concat_tables(waiting).combine_chunks())
+
+    return pieces.repartition(parallelism(pieces), *key).sortWithinPartitions(*key).mapInArrow(cells, schema)
+
+
+#: Rows that a task gives on at a time.
+CELL_ROWS = 1 << 15
+
+
+def _cells_of(pieces: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The scored cells of whole buckets, whose pieces follow each other: a row per cell and piece active in it.
+
+    Pieces begin and end on points of their bucket, so a piece is active in exactly the cells between the numbers of its points.
+    """
+    rows = pieces.num_rows
+    if rows == 0:
+        return
+    border = np.zeros(rows, dtype=bool)
+    for name in ("case", "bucket"):
+        border[1:] |= pc.not_equal(pieces[name][1:], pieces[name][:-1]).to_numpy()
+    group = np.cumsum(border)
+    start, end = pieces["start"].to_numpy(), pieces["end"].to_numpy()
+    of, at = np.concatenate([group, group]), np.concatenate([start, end])
+    order = np.lexsort((at, of))
+    new = np.ones(2 * rows, dtype=bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (at[order][1:] != at[order][:-1])
+    number = np.empty(2 * rows, dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    first, last = number[:rows], number[rows:]
+    lo = at[order][new]
+    width = np.append(np.diff(lo), 0.0)  # the cell behind a bucket's last point is no piece's
+    excluded = pc.equal(pieces["side"], "x").to_numpy()
+    opens = np.zeros(len(lo) + 1, dtype=np.int64)
+    some = excluded & (last > first)
+    np.add.at(opens, first[some], 1)
+    np.add.at(opens, last[some], -1)
+    scored = (np.cumsum(opens[:-1]) == 0) & (width > 1e-9)
+    lengths = np.where(excluded, 0, np.maximum(last - first, 0))
+    ends = np.cumsum(lengths)
+    for begin in range(0, int(ends[-1]), CELL_ROWS):
+        places = np.arange(begin, min(begin + CELL_ROWS, int(ends[-1])))
+        piece = np.searchsorted(ends, places, side="right")
+        cell = first[piece] + places - (ends[piece] - lengths[piece])
+        piece, cell = piece[scored[cell]], cell[scored[cell]]
+        if len(piece):
+            taken = pieces.select(["case", "bucket", "side", "speaker"]).take(pa.array(piece))
+            columns = [taken["case"], taken["bucket"], pa.array(lo[cell]), pa.array(width[cell]), taken["side"], taken["speaker"]]
+            yield from pa.table(columns, names=["case", "bucket", "lo", "d", "side", "speaker"]).combine_chunks().to_batches()
 
 
 def speech_totals(cells: DataFrame) -> DataFrame:
@@ -115,7 +175,7 @@ def co_active(cells: DataFrame) -> DataFrame:
 def label_mapping(sides: DataFrame, overlap: DataFrame) -> DataFrame:
     """Best one-to-one mapping per case, over its matrix of summed overlaps.
 
-    A group holds one row per label and per pair of labels that ever speak together.
+    A case holds one row per label and per pair of labels that ever speak together.
     """
     labels = sides.select("case", "side", "speaker").distinct()
     name = lambda side: F.when(F.col("side") == side, F.col("speaker"))
@@ -124,17 +184,39 @@ def label_mapping(sides: DataFrame, overlap: DataFrame) -> DataFrame:
     )
     schema = overlap.select("case", "ref", "hyp").schema
 
-    def assign(part: pa.Table) -> pa.Table:
-        table = part.to_pydict()
-        rows_of = list(zip(table["ref"], table["hyp"], table["shared_s"]))
-        shared = {(r, h): x for r, h, x in rows_of if r is not None and h is not None}
-        refs, hyps = {r for r, _, _ in rows_of} - {None}, {h for _, h, _ in rows_of} - {None}
-        found = best_mapping(sorted(refs), sorted(hyps), shared)
-        columns = [[table["case"][0]] * len(found), list(found), list(found.values())]
-        return pa.table([pa.array(c, part.schema.field(n).type) for c, n in zip(columns, names)], names=names)
-
-    names = ["case", "ref", "hyp"]
-    return rows.repartition(parallelism(rows), "case").groupBy("case").applyInArrow(assign, schema)
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # cases are mostly a few rows: read as runs of sorted rows they cost their rows, not an Arrow stream each
+        key, refs, hyps, shared = None, set(), set(), {}
+        found: list[tuple] = []
+
+        def close() -> None:
+            if refs or hyps:
+                found.extend((key, *pair) for pair in best_mapping(sorted(refs), sorted(hyps), shared).items())
+
+        for batch in batches:
+            for part in slices(batch, 4096):
+                for case, ref, hyp, seconds in zip(*(c.to_pylist() for c in part.columns)):
+                    if case != key:
+                        close()
+                        key, refs, hyps, shared = case, set(), set(), {}
+                    if ref is not None:
+                        refs.add(ref)
+                    if hyp is not None:
+                        hyps.add(hyp)
+                    if ref is not None and hyp is not None:
+                        shared[ref, hyp] = seconds
+            yield of(found, batch)
+            found.clear()
+        if key is not None or refs or hyps:
+            close()
+            yield of(found, batch)
+
+    def of(found: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        names = ["case", "ref", "hyp"]
+        columns = zip(*found) if found else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, like.schema.field(n).type) for c, n in zip(columns, names)], names=names)
+
+    return rows.repartition(parallelism(rows), "case").sortWithinPartitions("case").mapInArrow(assign, schema)
 
 
 def diarization_errors(
