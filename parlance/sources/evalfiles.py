@@ -17,19 +17,21 @@ METRICS = (
 )
 TOTALS = "STRUCT<cases: LONG, failed: LONG, wer: DOUBLE, ref_words: LONG, der: DOUBLE, ref_speech_s: DOUBLE, user_acc: DOUBLE>"
 RECORD = f"STRUCT<ts: STRING, run: LONG, note: STRING, settings: MAP<STRING, STRING>, fingerprint: STRING, totals: {TOTALS}, cases: MAP<STRING, {METRICS}>>"
-_CASE = r"([^/]+)/[^/]+$"
+_CASE, _NAME, _ROOT = r"([^/]+)/[^/]+$", r"([^/]+)$", r"/[^/]+/[^/]+$"
 
 
-def _files(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Whole small files ``folder/<case>/name``: ``case, value``."""
+def _files(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    """Files ``folder/<case>/name`` whose names fit: ``case, name, path, content``.
+
+    Spark lists the folder once, its cases as tasks; a pattern over them would be resolved in the driver, one case after another.
+    """
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())
     files.getFileStatus(place)  # a folder that is missing or closed to us is an error, not an empty suite
-    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/{name}"))
-    rows = spark.read.text(f"{folder}/*/{name}", wholetext=True) if len(found) else None
-    if rows is None:  # no case has such a file
-        return spark.range(0).select(F.lit("").alias("case"), F.lit("").alias("value"))
-    return rows.select(F.regexp_extract(F.input_file_name(), _CASE, 1).alias("case"), "value")
+    root = files.makeQualified(place).toString()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(folder)
+    own = found.filter(F.regexp_replace("path", _ROOT, "") == root)
+    return own.select(F.regexp_extract("path", _CASE, 1).alias("case"), F.regexp_extract("path", _NAME, 1).alias("name"), "path", "content")
 
 
 def load_cases(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,18 +39,15 @@ def load_cases(spark: SparkSession, folder: str) -> DataFrame:
 
     Unreadable turns or metadata count as absent.
     """
-    texts = _files(spark, folder, "reference.txt").withColumnRenamed("value", "reference")
-    audio = (
-        spark.read.format("binaryFile").load(f"{folder}/*/audio.*").select("path")
-        .groupBy(F.regexp_extract("path", _CASE, 1).alias("case")).agg(F.min("path").alias("audio_path"))
+    whole = lambda name: F.max(F.when(F.col("name") == name, F.col("content").cast("string")))
+    texts = _files(spark, folder, "{reference.txt,reference_turns.json,case.json}").groupBy("case").agg(
+        whole("reference.txt").alias("reference"), whole("reference_turns.json").alias("turns"), whole("case.json").alias("meta")
     )
-    turns = _files(spark, folder, "reference_turns.json").select("case", F.from_json("value", TURNS).alias("turns"))
-    meta = _files(spark, folder, "case.json").select("case", F.from_json("value", "MAP<STRING, STRING>").alias("meta"))
+    audio = _files(spark, folder, "audio.*").groupBy("case").agg(F.min("path").alias("audio_path"))
+    read = texts.withColumns({"turns": F.from_json("turns", TURNS), "meta": F.from_json("meta", "MAP<STRING, STRING>")})
     return (
-        texts.filter(string_or_null(F.col("reference")).isNotNull())
+        read.filter(string_or_null(F.col("reference")).isNotNull())
         .join(audio, "case")
-        .join(turns, "case", "left")
-        .join(meta, "case", "left")
         .select(
             "case", "audio_path", "reference", F.when(F.size("turns") > 0, F.col("turns")).alias("turns"),
             F.coalesce(F.try_element_at("meta", F.lit("verified")) == "true", F.lit(False)).alias("verified"), "meta",

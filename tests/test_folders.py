@@ -78,3 +78,18 @@ def test_runs_keep_their_order(spark, tmp_path):
     (tmp_path / "history/_runs/00000009").write_bytes(b"")  # another appender took a number
     assert evalfiles.append_history(row(0.9, "z"), folder, "2024-01-01") == 10
     assert {r.case: r.wer for r in evalfiles.latest_metrics(spark, folder).collect()}["z"] == 0.9
+
+
+def test_cases_are_loaded_in_two_scans(spark, tmp_path):
+    for name, files in {"a": ("reference.txt", "audio.ogg", "case.json"), "b": ("reference.txt",), "c": ("audio.ogg",), "d": ("reference.txt", "audio.ogg", "audio.mp3", "reference_turns.json")}.items():
+        (tmp_path / name / "deep").mkdir(parents=True)
+        for file in files:
+            (tmp_path / name / file).write_text({"case.json": '{"verified": "true"}', "reference_turns.json": '[{"start": 1, "text": "x"}]'}.get(file, f"{name} é"))
+        for file in ("reference.txt", "audio.ogg"):  # below a case, so no case
+            (tmp_path / name / "deep" / file).write_text("no")
+    cases = evalfiles.load_cases(spark, str(tmp_path))
+    got = {r.case: (r.reference, r.audio_path.rsplit("/", 1)[1], r.verified, r.turns and len(r.turns)) for r in cases.collect()}
+    assert got == {"a": ("a é", "audio.ogg", True, None), "d": ("d é", "audio.mp3", False, 1)}
+    assert cases._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    (tmp_path / "none").mkdir()
+    assert evalfiles.load_cases(spark, str(tmp_path / "none")).count() == 0
