@@ -115,6 +115,98 @@ class CaseFolders(DataSource):
         return CaseFolderWriter(self.options["path"], overwrite)
 
 
+@dataclass
+class Attempt(WriterCommitMessage):
+    name: str
+
+
+class CaseLinesWriter(DataSourceWriter):
+    """Tasks write below a hidden folder beside the path; the commit renames it. Attempts that failed leave a mark, and no lines."""
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+        above, name = posixpath.split(self.path)
+        self.waiting = f"{above}/_{name}-{uuid.uuid4().hex}"
+        self._refuse()
+
+    def _refuse(self) -> None:
+        system, root = _files(self.path)
+        if system.get_file_info(root).type.name != "NotFound":
+            raise FileExistsError(f"{self.path!r} is there already")
+
+    def write(self, rows: Iterator[Row]) -> Attempt:
+        """Rows in order of (case, start): a line of the reference, where there is one, and a turn."""
+        from pyspark import TaskContext
+
+        system, root = _files(self.waiting)
+        task = TaskContext.get()
+        attempt = f"part-{task.partitionId() if task else 0:05d}-{uuid.uuid4().hex}"
+        system.create_dir(f"{root}/_attempts/{attempt}", recursive=True)
+        case, streams = None, {}
+
+        def closed() -> None:
+            for stream in streams.values():
+                stream.close()
+            streams.clear()
+
+        def add(kind: str, suffix: str, value: str) -> None:
+            if kind not in streams:
+                folder = f"{root}/{kind}/{case}"
+                system.create_dir(folder, recursive=True)
+                streams[kind] = system.open_output_stream(f"{folder}/{attempt}.{suffix}")
+            streams[kind].write(value.encode() + b"\n")
+
+        for row in rows:
+            if (now := partition_folder("case", row["case"])) != case:
+                closed()
+                case = now
+            if row["line"] is not None:
+                add("reference", "txt", row["line"])
+            add("turns", "json", row["turn"])
+        closed()
+        return Attempt(attempt)
+
+    def commit(self, messages: list[Attempt | None]) -> None:
+        from pyarrow import fs
+
+        self._refuse()
+        system, root = _files(self.waiting)
+        for kind in ("reference", "turns", "_attempts"):
+            system.create_dir(f"{root}/{kind}", recursive=True)
+        begun = {info.base_name for info in system.get_file_info(fs.FileSelector(f"{root}/_attempts"))}
+        if lost := begun - {m.name for m in messages if m}:
+            for kind in ("reference", "turns"):
+                for info in system.get_file_info(fs.FileSelector(f"{root}/{kind}", recursive=True)):
+                    if info.base_name.rsplit(".", 1)[0] in lost:
+                        system.delete_file(info.path)
+        system.delete_dir(f"{root}/_attempts")
+        system.move(root, _files(self.path)[1])
+
+    def abort(self, messages: list[Attempt | None]) -> None:
+        system, root = _files(self.waiting)
+        if system.get_file_info(root).type.name != "NotFound":
+            system.delete_dir(root)
+
+
+def partition_folder(column: str, value: str | None) -> str:
+    """The folder of a partition value, as Spark names and reads it."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    odd = lambda c: c < " " or c in "\"#%'*/:=?\\\x7f{[]^"
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if odd(c) else c for c in value)
+
+
+class CaseLines(DataSource):
+    """``df.write.format("case_lines").mode("append").save(folder)`` of ``case, line, turn`` to a new folder, a folder per case."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "case_lines"
+
+    def writer(self, schema: StructType, overwrite: bool) -> CaseLinesWriter:
+        return CaseLinesWriter(self.options["path"])
+
+
 def write_cases(turns: DataFrame, facts: DataFrame, folder: str, replace: bool = False) -> None:
     """Write cases: ``turns`` (``case, pos, start, end, speaker, text``) and ``facts`` (``case, audio_path``, ``meta`` a map of texts).
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.functions.text import fingerprint, string_or_null
+from parlance.session import parallelism
+from parlance.sources.casefolders import CaseLines
 
 TURNS = "ARRAY<STRUCT<start: DOUBLE, end: DOUBLE, speaker: STRING, text: STRING>>"
 METRICS = (
@@ -61,11 +63,14 @@ def reference_lines(rows: DataFrame) -> DataFrame:
 
 
 def write_reference(rows: DataFrame, folder: str) -> None:
-    """Write ``reference`` text and ``turns`` JSON lines, one folder per case, in start order."""
+    """Write ``reference`` text and ``turns`` JSON lines, one folder per case, in start order; the folder must be new."""
+    spark = rows.sparkSession
+    spark.dataSource.register(CaseLines)
     order = ["case", "start", "pos"]
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    reference_lines(spread).select("case", F.col("line").alias("value")).write.partitionBy("case").text(f"{folder}/reference")
-    spread.select("case", "pos", "start", "end", "speaker", "text").write.partitionBy("case").json(f"{folder}/turns")
+    line = F.when(string_or_null(F.col("text")).isNotNull(), F.col("text"))
+    dealt = rows.repartitionByRange(parallelism(rows), *order).sortWithinPartitions(*order)
+    turn = F.to_json(F.struct("pos", "start", "end", "speaker", "text"))
+    dealt.select(F.col("case").cast("string").alias("case"), line.alias("line"), turn.alias("turn")).write.format(CaseLines.name()).mode("append").save(folder)
 
 
 def read_reference(spark: SparkSession, folder: str) -> DataFrame:

@@ -93,3 +93,26 @@ def test_cases_are_loaded_in_two_scans(spark, tmp_path):
     assert cases._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
     (tmp_path / "none").mkdir()
     assert evalfiles.load_cases(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_reference_lines_are_written_without_a_hadoop_file_each(spark, tmp_path):
+    kinds = "case string, pos long, start double, end double, speaker string, text string"
+    turns = [("a", 1, 2.0, 3.0, "USER", "two é"), ("a", 0, 0.5, 1.0, None, "one"), ("b/=1", 0, 0.0, 1.0, "B", "x"), ("c", 0, 0.0, 1.0, "B", ""), (None, 0, None, None, "B", None)]
+    rows, folder = spark.createDataFrame(turns, kinds), tmp_path / "out" / "cases"
+    evalfiles.write_reference(rows, str(folder))
+    assert sorted(map(tuple, evalfiles.read_reference(spark, str(folder)).collect()), key=str) == sorted(turns, key=str)
+    texts = {p.name: "".join(f.read_text() for f in sorted(p.iterdir())) for p in (folder / "reference").iterdir()}
+    assert texts == {"case=a": "one\ntwo é\n", "case=b%2F%3D1": "x\n"}
+    assert [p for p in tmp_path.rglob("*") if p.name.endswith(".crc") or p.name.startswith("_cases")] == [] and {p.name for p in folder.iterdir()} == {"reference", "turns"}
+    with pytest.raises(Exception, match="there already"):
+        evalfiles.write_reference(rows, str(folder))
+    evalfiles.write_reference(rows.limit(0), str(tmp_path / "empty"))
+    assert evalfiles.read_reference(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_lines_of_lost_attempts_are_left_out(tmp_path):
+    writer = casefolders.CaseLinesWriter(str(tmp_path / "cases"))
+    lost, kept = (writer.write(iter([{"case": "a", "line": said, "turn": "{}"}])) for said in ("lost", "kept"))
+    writer.commit([kept])
+    assert [p.read_text() for p in (tmp_path / "cases").rglob("*.txt")] == ["kept\n"] and lost.name != kept.name
+    assert [p.name for p in tmp_path.iterdir()] == ["cases"]
